@@ -113,15 +113,16 @@ _DECOR = re.compile(r"^(?:[\s>]|\*\*)+|(?:\s|\*\*)+$")
 _MARK = re.compile(r"^(?:[-*•–—‣+]|\d{1,3}[.)])\s+")
 _PAGE_NO = re.compile(r"^(?:[-–—·|\[(]\s*)?(?:\w{1,8}\.?\s+)?\d{1,4}(?:\s*(?:of|von|de|/)\s*\d{1,4})?(?:\s*[-–—·|\])])?$", re.I)
 _TRAIL = re.compile(r"\S\s+[>›»→/]\s+\S.*\S\s+[>›»→/]\s+\S|^\S+\s+[›»]\s+\S")
-_TAGS = re.compile(r"^(?:#+\s*)?(?:\w+:\s*|\w+ \w+:?\s+)?[^\W\d_]+(?:,\s+[^\W\d_]+){2,}$")
-_PAIR_TAGS = re.compile(r"^(?:#+\s*|\w+:\s*|\w+ \w+:?\s+)[^\W\d_]+(?:,\s+[^\W\d_]+)+$")
+_TAGS = re.compile(r"^(?:#+\s*)?(?:\w+:\s*|\w+ \w+:?\s+)?([^\W\d_]+(?:, [^\W\d_]+){2,})$")
+_SHORT_TAGS = re.compile(r"^(?:\w+:|\w+ \w+:) ([^\W\d_]+(?:, [^\W\d_]+)*)$")
+_FOLIO = re.compile(r"^(.{8,}?)\s+\d{1,4}$")
 _PAGER = re.compile(r"^(?:←|«|‹|<<|⟵)|(?:→|»|›|>>|⟶)$")
 _MENU = re.compile(r"\s[|·•/]\s")
 
 
 def bare(line: str) -> str:
     """``line`` without quote marks, bold marks and blanks around it."""
-    return _DECOR.sub("", line)
+    return " ".join(_DECOR.sub("", line).split())
 
 
 def _slot(text: str) -> bool:
@@ -130,7 +131,7 @@ def _slot(text: str) -> bool:
     return len(text) < 160 and len(text.split()) <= SLOT_WORDS and not text.startswith("|") and not (_END.search(text) and len(text.split()) > 4)
 
 
-def _by_form(text: str, lower_case_page: bool) -> bool:
+def _by_form(text: str) -> bool:
     """A single line that is furniture by its form alone."""
     words = len(text.split())
     if text[0] == "|" or words > 34:
@@ -177,15 +178,19 @@ def furniture(lines: list[str], constant: dict[int, int], kind: str) -> list[boo
     if pdf:
         heads.update(k for i in range(n) if lines[i].strip() and len(lines[i]) < 120 and (k := line_key(lines[i])))
     seen_title = False
+    title = ""
     for block in blocks:
         texts_ = [bare(lines[i]) or lines[i].strip() for i in block]
         fixed = [(i + 1) in constant and not inside[i] for i in block]
         if pdf:
             numbers = [bool(_PAGE_NO.match(t)) for t in texts_]
             near = any(numbers)
+            title = title or line_key(lines[block[0]])
             for j, i in enumerate(block):
                 t = texts_[j]
-                if numbers[j] and (len(block) <= 3 or j in (0, len(block) - 1)):
+                if seen_title and (folio := _FOLIO.match(t)) and len(block) <= 3 and title.startswith(line_key(folio[1])):
+                    out[i] = True
+                elif numbers[j] and (len(block) <= 3 or j in (0, len(block) - 1)):
                     out[i] = True
                 elif fixed[j] or (heads[line_key(lines[i])] >= 2 and not _END.search(t) and not t.startswith(("|", "#")) and len(block) <= 3):
                     out[i] = True
@@ -208,17 +213,16 @@ def furniture(lines: list[str], constant: dict[int, int], kind: str) -> list[boo
             continue
         if any(inside[i] for i in block):
             continue
-        if len(block) <= 2 and all(_by_form(t, False) or (_slot(t) and _PAGER.search(t)) for t in texts_):
+        if len(block) <= 2 and all(_by_form(t) or (_slot(t) and _PAGER.search(t)) for t in texts_):
             for i in block:
                 out[i] = True
             continue
         if len(block) == 1:
             t = texts_[0]
-            if _TAGS.match(t) or (_PAIR_TAGS.match(t) and not seen_title is False and ":" in t):
-                low = t.lower() == t or t.split(" ", 1)[0].rstrip(":").lower() + t[len(t.split(" ", 1)[0].rstrip(":")) :] == t.lower() or t.upper() == t
-                if low and seen_title or low and t.startswith("#"):
-                    out[block[0]] = True
-                    continue
+            tags = _TAGS.match(t) or _SHORT_TAGS.match(t)
+            if tags and (seen_title or t[0] == "#") and (tags[1].islower() or tags[1].isupper()):
+                out[block[0]] = True
+                continue
             if t[0] != "|" and not _END.search(t) and len(items := _MENU.split(t)) > 2 and all(x.strip() and len(x.split()) <= 3 for x in items):
                 out[block[0]] = True
                 continue
