@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import main_text, repeated_lines
+from leafmill.llm import main_text, packing, pieces, repeated_lines, subjects, tokens
 from leafmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,8 +25,13 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": _converted(repeated_lines.excessive_lines),
         "p1_clean": _p1_clean,
+        "p2_found": lambda spark, d: pieces.oversized_blocks(table(spark, d, "conversion_results")),
+        "p2_pieces": lambda spark, d: pieces.pieces(table(spark, d, "conversion_results")),
         "p7_found": _converted(main_text.furniture_lines),
         "p7_main_text": _converted(main_text.main_texts),
+        "p8_ids": lambda spark, d: tokens.token_ids(table(spark, d, "documents")),
+        "p9_containers": lambda spark, d: packing.packed_documents(table(spark, d, "documents")),
+        "p10_found": lambda spark, d: subjects.document_subjects(*(table(spark, d, t) for t in ("documents", "subject_labels", "subject_areas"))),
     }
 
 
@@ -54,4 +59,12 @@ def oracle_sql() -> dict[str, str]:
             )
             SELECT result_id, md_content, removed FROM r
             UNION ALL SELECT DISTINCT result_id, md_content, 0 FROM conversion_results WHERE md_content IS NULL""",
+        "p2_found": r"""
+            WITH t AS (SELECT DISTINCT result_id, string_split(md_content, chr(10)) AS lines FROM conversion_results WHERE md_content IS NOT NULL),
+            l AS (SELECT result_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM t),
+            f AS (SELECT *, regexp_matches(line, '^[\s\p{Z}\x0b\x1c-\x1f\x85]*$') AS blank FROM l),
+            g AS (SELECT *, sum(blank::INT) OVER (PARTITION BY result_id ORDER BY pos) AS run FROM f),
+            b AS (SELECT result_id, run, sum(length(line)) + count(*) - 1 AS n FROM g WHERE NOT blank GROUP BY result_id, run),
+            o AS (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY run) AS block_no FROM b)
+            SELECT result_id, block_no::INT AS block_no FROM o WHERE n > 1200""",
     }
