@@ -28,7 +28,7 @@ def line_key(line: str) -> str:
     return key
 
 
-def hash64(text: str, seed: int = 0) -> int:
+def hash64(text: str | bytes, seed: int = 0) -> int:
     """A stable signed 64-bit hash."""
     h = xxhash.xxh64_intdigest(text, seed)
     return h - (1 << 64) if h >> 63 else h

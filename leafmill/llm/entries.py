@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import main_text, packing, pieces, repeated_lines, subjects, tokens
+from leafmill.llm import main_text, near_duplicates, packing, pieces, repeated_lines, subjects, tokens
 from leafmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,8 @@ def queries() -> dict[str, Query]:
         "p1_clean": _p1_clean,
         "p2_found": lambda spark, d: pieces.oversized_blocks(table(spark, d, "conversion_results")),
         "p2_pieces": lambda spark, d: pieces.pieces(table(spark, d, "conversion_results")),
+        "p5_found": _converted(near_duplicates.linked_pairs),
+        "p5_groups": _converted(near_duplicates.article_groups),
         "p7_found": _converted(main_text.furniture_lines),
         "p7_main_text": _converted(main_text.main_texts),
         "p8_ids": lambda spark, d: tokens.token_ids(table(spark, d, "documents")),
