@@ -40,6 +40,8 @@ MIN_COUNT = 8
 CONCENTRATION = 0.4
 #: A sentence deals with a subject if its score leads the next by so much.
 LEAD = 1.0
+#: Posteriors up to this count as none.
+SLIGHT = 0.02
 #: Sentences that a document is taken to have on every subject, in the refinement.
 DOCUMENT_PRIOR = 0.1
 #: A subject is about a third of the sentences; the calibration starts from here.
@@ -98,19 +100,23 @@ def hashed_sentences(documents: DataFrame) -> DataFrame:
     return spark.read.schema("doc_id long, words array<int>, ends array<int>").parquet(path)
 
 
-def _scores(batch: pa.RecordBatch, weights: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """doc_id, sentences of each document, score of each sentence and subject, the words and their sentence."""
+def _scores(batch: pa.RecordBatch, weights: np.ndarray | None, subjects: int) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc_id, sentences of each document, score of each sentence and subject, the words, and where each sentence begins among them."""
     docs = batch.column(0).to_pylist()
     words, ends = batch.column(1), batch.column(2)
     flat = words.flatten().to_numpy(zero_copy_only=False)
-    first = np.diff(words.offsets.to_numpy()) if len(docs) else np.empty(0, np.int64)
-    count = np.diff(ends.offsets.to_numpy()) if len(docs) else np.empty(0, np.int64)
+    first = np.diff(words.offsets.to_numpy())
+    count = np.diff(ends.offsets.to_numpy())
     base = np.cumsum(first) - first
     stop = ends.flatten().to_numpy(zero_copy_only=False) + np.repeat(base, count)
-    length = np.diff(np.concatenate([[0], stop]))
-    total = np.concatenate([np.zeros((1, weights.shape[1])), np.cumsum(weights[flat], axis=0, dtype=np.float64)])
-    scores = total[stop] - total[stop - length]
-    return docs, count, scores, flat, np.repeat(np.arange(len(stop)), length)
+    start = np.concatenate([[0], stop])
+    scores = np.zeros((len(stop), subjects)) if weights is None else np.add.reduceat(weights[flat], start[:-1], axis=0).astype(np.float64)
+    return docs, count, scores, flat, start
+
+
+def _only(batch: pa.RecordBatch, docs: dict | set) -> pa.RecordBatch:
+    """The rows of some documents."""
+    return batch.take(pa.array([i for i, d in enumerate(batch.column(0).to_pylist()) if d in docs], pa.int64()))
 
 
 def _posteriors(scores: np.ndarray) -> np.ndarray:
@@ -123,9 +129,13 @@ def _count(weights: np.ndarray | None, labels: dict[int, list[int]], subjects: i
     posteriors of every sentence, a labelled one among its document's subjects."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((BUCKETS, subjects), np.float32)
+        held = np.zeros(BUCKETS * subjects)
         for batch in batches:
-            docs, count, scores, flat, sentence = _scores(batch, np.zeros((BUCKETS, subjects), np.float32) if weights is None else weights)
+            if weights is None:
+                batch = _only(batch, labels)
+            if not batch.num_rows:
+                continue
+            docs, count, scores, flat, start = _scores(batch, weights, subjects)
             if weights is None:
                 mask = np.zeros((len(docs), subjects))
             else:  # a sentence that says little goes the way of its document
@@ -138,9 +148,12 @@ def _count(weights: np.ndarray | None, labels: dict[int, list[int]], subjects: i
             p = _posteriors(scores) * np.repeat(mask, count, axis=0)
             s = p.sum(axis=1, keepdims=True)
             p = np.divide(p, s, out=np.zeros_like(p), where=s > 0)
-            for c in range(subjects):
-                w = p[:, c][sentence]
-                held[:, c] += np.bincount(flat, w, BUCKETS)
+            i, c = np.nonzero(p > SLIGHT)
+            length = (start[1:] - start[:-1])[i]
+            ends = np.cumsum(length)
+            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[i] - ends + length, length)
+            held += np.bincount(flat[at].astype(np.int64) * subjects + np.repeat(c, length), np.repeat(p[i, c], length), len(held))
+        held = held.reshape(BUCKETS, subjects).astype(np.float32)
         some = np.flatnonzero(held.any(axis=1))
         for at in range(0, len(some), 20_000):
             part = some[at : at + 20_000]
@@ -188,14 +201,15 @@ def _shares(weights: np.ndarray, only: set[int] | None, cut: np.ndarray | None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, count, scores, _flat, _sentence = _scores(batch, weights)
-            if not docs:
+            if only is not None:
+                batch = _only(batch, only)
+            if not batch.num_rows:
                 continue
+            docs, count, scores, _flat, _start = _scores(batch, weights, weights.shape[1])
             hits = _per_document(_hits(scores), count)
             share = hits / np.maximum(hits.sum(axis=1, keepdims=True), 1)
             if only is not None:
-                rows = [(d, s.tolist()) for d, s in zip(docs, share) if d in only]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], ["doc_id", "share"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(share.tolist(), pa.list_(pa.float64()))], ["doc_id", "share"])
             else:
                 i, c = np.nonzero((share >= cut) & (hits > 0))
                 yield pa.RecordBatch.from_arrays([pa.array([docs[k] for k in i], pa.int64()), pa.array([names[k] for k in c], pa.string())], ["doc_id", "subject"])
