@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.corpus import beside_text, hash64, line_key, places, rows_to_batches, unique
+from leafmill.session import cut_lineage
 
 #: A node is constant if at least one of so many pages of the host has it ...
 ONE_OF = 8
@@ -83,10 +84,12 @@ def template_nodes(conversions: DataFrame, where: DataFrame) -> DataFrame:
     """
     texts = beside_text(conversions, where.select("result_id", "domain", "n_domain"))
     parts = texts.mapInArrow(_count_nodes, "domain string, key long, n_domain long, n long, apart long, beside long, headed long")
-    nodes = parts.groupBy("key", "domain").agg(
+    counted = parts.groupBy("key", "domain").agg(
         F.max("n_domain").alias("of"), *(F.sum(c).alias(c) for c in ("n", "apart", "beside", "headed"))
     )
     constant = (F.col("domain") != "") & (F.col("n") >= MIN_PAGES) & (F.col("n") * ONE_OF >= F.col("of"))
+    # three uses follow; what they need is little, and counted once
+    nodes = cut_lineage(counted.where(constant | (F.col("apart") > 0)))
     hosts = nodes.where("apart > 0").groupBy("key").agg(F.count("*").alias("hosts"), *(F.sum(c).alias(f"all_{c}") for c in ("apart", "beside", "headed")))
     shared = hosts.where(
         (F.col("hosts") >= MIN_HOSTS) & (F.col("all_beside") >= BESIDE_ARTICLE * F.col("all_apart")) & (F.col("all_headed") <= AS_HEADING * F.col("all_apart"))
