@@ -20,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +38,14 @@ ARTICLE_SENTENCES = 8
 BESIDE_ARTICLE = 0.7
 #: ... and is hardly ever marked as a heading.
 AS_HEADING = 0.03
-#: A slot line has no more words than this.
+#: A slot line has no more words than this, and fewer characters.
 SLOT_WORDS = 16
+LONG = 160
 
 _ANNOUNCE = re.compile(r"^[\s>*_]*[^\W\d_][^\d|;{}()=<\[\]\t]{8,90}$")
+_FIRST = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?][\"”]?(?:\s|$)")
-_NODE = pa.schema([("domain", pa.string()), ("key", pa.int64()), ("n_domain", pa.int64()), ("n", pa.int64()), ("apart", pa.int64()), ("beside", pa.int64()), ("headed", pa.int64())])
+_NODE = pa.schema([("domain", pa.string()), ("key", pa.int64()), ("first", pa.int32()), ("n_domain", pa.int64()), ("n", pa.int64()), ("apart", pa.int64()), ("beside", pa.int64()), ("headed", pa.int64())])
 #: Nodes a task holds before it hands its counts on.
 HELD_NODES = 200_000
 
@@ -70,22 +73,28 @@ def _count_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     node[3] += article
                     node[4] += flags >> 1
             if len(held) > HELD_NODES:
-                yield from ((d, hash64(k), *node) for (d, k), node in held.items())
+                yield from ((d, hash64(k), first_word(k), *node) for (d, k), node in held.items())
                 held = {}
-        yield from ((d, hash64(k), *node) for (d, k), node in held.items())
+        yield from ((d, hash64(k), first_word(k), *node) for (d, k), node in held.items())
 
     return rows_to_batches(rows(), _NODE)
 
 
+def first_word(key: str) -> int:
+    """A hash of the first word of ``key``."""
+    return xxhash.xxh32_intdigest(key.split(" ", 1)[0]) >> 1
+
+
 def template_nodes(conversions: DataFrame, where: DataFrame) -> DataFrame:
-    """(domain, constant, shared): for each host the keys of its constant nodes and of the announcements on it.
+    """(domain, constant, shared, firsts): for each host the keys of its constant nodes and of the
+    announcements on it, and the first words of all these, by which most lines are told apart.
 
     Both are bounded by the lines of a few pages: a constant node is on an eighth of them.
     """
     texts = beside_text(conversions, where.select("result_id", "domain", "n_domain"))
-    parts = texts.mapInArrow(_count_nodes, "domain string, key long, n_domain long, n long, apart long, beside long, headed long")
+    parts = texts.mapInArrow(_count_nodes, "domain string, key long, first int, n_domain long, n long, apart long, beside long, headed long")
     counted = parts.groupBy("key", "domain").agg(
-        F.max("n_domain").alias("of"), *(F.sum(c).alias(c) for c in ("n", "apart", "beside", "headed"))
+        F.max("first").alias("first"), F.max("n_domain").alias("of"), *(F.sum(c).alias(c) for c in ("n", "apart", "beside", "headed"))
     )
     constant = (F.col("domain") != "") & (F.col("n") >= MIN_PAGES) & (F.col("n") * ONE_OF >= F.col("of"))
     # three uses follow; what they need is little, and counted once
@@ -94,10 +103,10 @@ def template_nodes(conversions: DataFrame, where: DataFrame) -> DataFrame:
     shared = hosts.where(
         (F.col("hosts") >= MIN_HOSTS) & (F.col("all_beside") >= BESIDE_ARTICLE * F.col("all_apart")) & (F.col("all_headed") <= AS_HEADING * F.col("all_apart"))
     )
-    own = nodes.where(constant).select("domain", "key", F.lit(1).alias("kind"))
-    common = nodes.where("apart > 0").join(shared.select("key"), "key", "left_semi").select("domain", "key", F.lit(2).alias("kind"))
+    own = nodes.where(constant).select("domain", "key", "first", F.lit(1).alias("kind"))
+    common = nodes.where("apart > 0").join(shared.select("key"), "key", "left_semi").select("domain", "key", "first", F.lit(2).alias("kind"))
     of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("key")))
-    return own.unionByName(common).groupBy("domain").agg(of(1).alias("constant"), of(2).alias("shared"))
+    return own.unionByName(common).groupBy("domain").agg(of(1).alias("constant"), of(2).alias("shared"), F.collect_set("first").alias("firsts"))
 
 
 # ---- the page as a tree ----------------------------------------------------
@@ -112,7 +121,6 @@ MONTHS = (
 _DATE = re.compile(r"\b(?:\d{4}-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./]\d{2,4}|(?:%s)\b\.?,? (?:\d{1,2},? )?\d{1,4}|\d{1,2}\.? (?:de )?(?:%s))\b" % ("|".join(MONTHS), "|".join(MONTHS)), re.I)
 _LETTER = re.compile(r"[^\W\d_]")
 _END = re.compile(r"[.!?…。][\"”’»)]*$")
-_DECOR = re.compile(r"^(?:[\s>]|\*\*)+|(?:\s|\*\*)+$")
 _MARK = re.compile(r"^(?:[-*•–—‣+]|\d{1,3}[.)])\s+")
 _PAGE_NO = re.compile(r"^(?:[-–—·|\[(]\s*)?(?:\w{1,8}\.?\s+)?\d{1,4}(?:\s*(?:of|von|de|/)\s*\d{1,4})?(?:\s*[-–—·|\])])?$", re.I)
 _TRAIL = re.compile(r"\S\s+[>›»→/]\s+\S.*\S\s+[>›»→/]\s+\S|^\S+\s+[›»]\s+\S")
@@ -124,26 +132,37 @@ _MENU = re.compile(r"\s[|·•/]\s")
 
 
 def bare(line: str) -> str:
-    """``line`` without quote marks, bold marks and blanks around it."""
-    return " ".join(_DECOR.sub("", line).split())
+    """``line`` without quote marks, bold marks and blanks around it, inner blanks single."""
+    s = line.strip()
+    while s[:1] == ">" or s.startswith("**"):
+        s = s[1 if s[0] == ">" else 2 :].lstrip()
+    while s.endswith("**"):
+        s = s[:-2].rstrip()
+    return " ".join(s.split()) if len(s) < LONG else s
+
+
+def _ended(text: str) -> bool:
+    return _END.search(text[-6:]) is not None
 
 
 def _slot(text: str) -> bool:
     """A line that may fill a slot of the template: short, and no running text."""
+    if len(text) >= LONG:
+        return False
     text = _MARK.sub("", text)
-    return len(text) < 160 and len(text.split()) <= SLOT_WORDS and not text.startswith("|") and not (_END.search(text) and len(text.split()) > 4)
+    words = len(text.split())
+    return words <= SLOT_WORDS and not text.startswith("|") and not (words > 4 and _ended(text))
 
 
 def _by_form(text: str) -> bool:
     """A single line that is furniture by its form alone."""
-    words = len(text.split())
-    if text[0] == "|" or words > 34:
+    if text[0] == "|" or len(text) > 2 * LONG or (words := len(text.split())) > 34:
         return False
     if _PAGER.search(text) and words <= 20:
         return True
-    if _TRAIL.search(text) and not _END.search(text) and "|" not in text:
+    if _TRAIL.search(text) and not _ended(text) and "|" not in text:
         return True
-    if words <= 14 and not _END.search(text) and _DATE.search(text) and not _MARK.match(text) and text[0] != "#":
+    if words <= 14 and not _ended(text) and _DATE.search(text) and not _MARK.match(text) and text[0] != "#":
         return True
     return False
 
@@ -195,9 +214,9 @@ def furniture(lines: list[str], constant: dict[int, int], kind: str) -> list[boo
                     out[i] = True
                 elif numbers[j] and (len(block) <= 3 or j in (0, len(block) - 1)):
                     out[i] = True
-                elif fixed[j] or (heads[line_key(lines[i])] >= 2 and not _END.search(t) and not t.startswith(("|", "#")) and len(block) <= 3):
+                elif fixed[j] or (heads[line_key(lines[i])] >= 2 and not _ended(t) and not t.startswith(("|", "#")) and len(block) <= 3):
                     out[i] = True
-                elif near and len(block) <= 3 and _slot(t) and not _END.search(t) and seen_title:
+                elif near and len(block) <= 3 and _slot(t) and not _ended(t) and seen_title:
                     out[i] = True
             if not all(out[i] for i in block):
                 seen_title = True
@@ -226,7 +245,7 @@ def furniture(lines: list[str], constant: dict[int, int], kind: str) -> list[boo
             if tags and (seen_title or t[0] == "#") and (tags[1].islower() or tags[1].isupper()):
                 out[block[0]] = True
                 continue
-            if t[0] != "|" and not _END.search(t) and len(items := _MENU.split(t)) > 2 and all(x.strip() and len(x.split()) <= 3 for x in items):
+            if t[0] != "|" and not _ended(t) and len(items := _MENU.split(t)) > 2 and all(x.strip() and len(x.split()) <= 3 for x in items):
                 out[block[0]] = True
                 continue
         if not all(out[i] for i in block):
@@ -238,22 +257,24 @@ def furniture(lines: list[str], constant: dict[int, int], kind: str) -> list[boo
 
 
 def page_nodes(conversions: DataFrame, pages: DataFrame) -> DataFrame:
-    """(result_id, md_content, content_type, constant, shared): each text with its host's template."""
+    """(result_id, md_content, domain, content_type, constant, shared): each text with its host's template."""
     where = places(conversions, pages)
     templates = template_nodes(conversions, where)
-    narrow = where.select("result_id", "domain", "content_type").join(templates, "domain", "left").drop("domain")
+    narrow = where.select("result_id", "domain", "content_type").join(templates, "domain", "left")
     return beside_text(conversions, narrow)
 
 
 def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[str], list[bool]]]:
     """result_id, lines and furniture flags of each row of ``page_nodes``."""
-    for rid, md, kind, constant, shared in unique(batches, "result_id", "md_content", "content_type", "constant", "shared"):
+    firsts_of: dict[str, int] = {}
+    for rid, md, kind, constant, shared, firsts in unique(batches, "result_id", "md_content", "content_type", "constant", "shared", "firsts"):
         lines = md.split("\n")
-        constant, shared = set(constant or ()), set(shared or ())
         nodes = {}
-        if constant or shared:
+        if firsts:
+            constant, shared, firsts = set(constant), set(shared), set(firsts)
             for i, line in enumerate(lines, 1):
-                if key := line_key(line):
+                # exact: a line of the template has the first word of its node
+                if (word := _FIRST.search(line)) and (not word[0].isalpha() or _known(word[0], firsts_of) in firsts) and (key := line_key(line)):
                     h = hash64(key)
                     if h in constant:
                         nodes[i] = 1
@@ -262,6 +283,15 @@ def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[str],
         yield rid, lines, furniture(lines, nodes, kind)
 
 
+def _known(word: str, seen: dict[str, int]) -> int:
+    h = seen.get(word)
+    if h is None:
+        if len(seen) > 100_000:
+            seen.clear()
+        h = seen[word] = first_word(line_key(word))
+    return h
+
+
 def _furniture_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = ((rid, i) for rid, _lines, flags in marked(batches) for i, flag in enumerate(flags, 1) if flag)
     return rows_to_batches(rows, pa.schema([("result_id", pa.int64()), ("line_no", pa.int32())]))
