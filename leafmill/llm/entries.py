@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import main_text, near_duplicates, packing, pieces, repeated_lines, subjects, tokens
+from leafmill.llm import main_text, near_duplicates, packing, pieces, quality, repeated_lines, similar_vectors, subjects, tokens
 from leafmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,8 +27,14 @@ def queries() -> dict[str, Query]:
         "p1_clean": _p1_clean,
         "p2_found": lambda spark, d: pieces.oversized_blocks(table(spark, d, "conversion_results")),
         "p2_pieces": lambda spark, d: pieces.pieces(table(spark, d, "conversion_results")),
+        "p3_found": _converted(quality.residue_results),
+        "p3_articles": _converted(quality.articles_only),
+        "p4_found": lambda spark, d: similar_vectors.neighbour_pairs(table(spark, d, "chunk_vectors")),
+        "p4_nearest": lambda spark, d: similar_vectors.nearest(table(spark, d, "chunk_vectors")),
         "p5_found": _converted(near_duplicates.linked_pairs),
         "p5_groups": _converted(near_duplicates.article_groups),
+        "p6_found": _converted(quality.not_prose),
+        "p6_statistics": lambda spark, d: quality.text_statistics(table(spark, d, "conversion_results")),
         "p7_found": _converted(main_text.furniture_lines),
         "p7_main_text": _converted(main_text.main_texts),
         "p8_ids": lambda spark, d: tokens.token_ids(table(spark, d, "documents")),
