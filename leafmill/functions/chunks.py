@@ -10,6 +10,9 @@ from pathlib import PurePosixPath
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from leafmill.schema import CHUNK
 
 #: Characters of a chunk's own text, of the text it repeats, and of a part of its heading.
 TARGET = 1200
@@ -116,10 +119,7 @@ def chunk_markdown(text: str, source: str) -> list[dict]:
     return out
 
 
-CHUNK = "text string, source string, heading string, line int, index int"
-
-
-@F.pandas_udf(f"array<struct<{CHUNK.replace(' string', ':string').replace(' int', ':int')}>>")
+@F.pandas_udf(T.ArrayType(CHUNK))
 def _chunks(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for text, source in batches:
         yield pd.Series([chunk_markdown(t, s) if t and s else [] for t, s in zip(text, source)])

@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.functions.text import strip
 
@@ -181,7 +182,7 @@ def markdown_of(html: str, code: bool = False) -> str | None:
     return text or None
 
 
-@F.pandas_udf("struct<stripped string, whole string>")
+@F.pandas_udf(T.StructType([T.StructField("stripped", T.StringType()), T.StructField("whole", T.StringType())]))
 def html_to_markdown(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Markdown without code blocks and, where that is short, with them; null pages and pages without content give null."""
     for html in batches:

@@ -9,6 +9,7 @@ from urllib.parse import urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A markdown link with balanced parentheses in its URL; a bare URL outside of one;
 # and the place between two URLs that run together, unless the second is a query's value.
@@ -67,7 +68,7 @@ def anchors(html: str, url: str) -> list[str]:
     return list(out)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def page_links(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The links of HTML pages (html, url); a null page has none."""
     for html, url in batches:

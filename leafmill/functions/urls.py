@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.functions import urlspec
 
@@ -100,7 +101,7 @@ def canonical_query(query: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(kept), lambda s: F.concat(encoded(s["k"]), F.lit("="), encoded(s["v"]))), "&")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _canonical_residue(url: pd.Series) -> pd.Series:
     return url.map(urlspec.canonical, na_action="ignore")
 

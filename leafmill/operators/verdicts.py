@@ -65,8 +65,9 @@ def with_verdict(df: DataFrame, source: str, rules: list[Rule] = (), prefix: str
         if skip:
             reason = F.when(mine, F.lit(skip)).otherwise(reason)
     staged = staged.withColumn("_result", result).withColumn("_reason", reason).withColumn("_name", name)
-    staged = urls.with_canonical(staged, "_result", "_canonical")
-    skipped = F.col("_reason").isNotNull()
+    # a filter on the result stops here: pushed further down it would hold all the steps written out
+    staged = urls.with_canonical(staged, "_result", "_canonical").withColumn("_row", F.monotonically_increasing_id())
+    skipped = F.col("_reason").isNotNull() | (F.col("_row") < 0)
     moved = F.col("_result") != F.col("_low")
     return staged.select(
         *keep,

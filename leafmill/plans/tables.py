@@ -181,7 +181,7 @@ def _crawl(s: SparkSession, d: str) -> DataFrame:
 
 def _stream_windows(s: SparkSession, d: str) -> DataFrame:
     rows = events.streamed_table(events.windowed(events.read_stream(s, d, "events")))
-    return rows.withColumn("total", F.round("total", 2))
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 def queries() -> dict[str, Query]:

@@ -14,7 +14,9 @@ from leafmill.session import checkpoint_dir
 def read_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """A stream of the Parquet files of one table, a file or a folder below ``folder``."""
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{table}.parque[t]")
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{table}.parque[t]")
+    # watermarks need times with a zone
+    return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
 def windowed(events: DataFrame, width: str = "1 day", late: str = "2 hours", slide: str | None = None) -> DataFrame:
