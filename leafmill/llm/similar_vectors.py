@@ -141,7 +141,9 @@ def _search(k: int):
         x = np.stack([np.frombuffer(u, np.float32) for u in rows.column("unit").to_pylist()])
         ids = rows.column("ids").to_pylist()
         for run in prefix_runs(strings, x):
-            if len(run) < 2:
+            if len(run) < 2:  # alone, but it may have equals
+                own = ids[run[0]]
+                yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((own[0], own, [], []), _FOUND)], schema=_FOUND)
                 continue
             v = x[run]
             sims = v @ v.T
@@ -231,10 +233,7 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str =
     others = beyond.select("vec_id", F.posexplode(F.slice("ids", 1, k)).alias("pos", "near_id")).select(
         "vec_id", "near_id", (F.col("pos") + 1).alias("rank"), F.lit(1.0).alias("cosine")
     )
-    # a direction that is alone in all its runs still has its equals
-    lone = few.where(F.size("ids") > 1).select(F.get("ids", F.lit(0)).alias("vec_id"), "ids").join(found.select("vec_id").distinct(), "vec_id", "left_anti")
-    alone = lone.select(F.explode("ids").alias("x"), "ids").select("x", F.posexplode(F.slice(F.filter("ids", lambda i: i != F.col("x")), 1, k)).alias("pos", "near_id"))
-    return own.unionByName(others).unionByName(alone.select(F.col("x").alias("vec_id"), "near_id", (F.col("pos") + 1).alias("rank"), F.lit(1.0).alias("cosine")))
+    return own.unionByName(others)
 
 
 def neighbour_pairs(vectors: DataFrame) -> DataFrame:
