@@ -19,8 +19,14 @@ from leafmill.streaming import events
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _pages(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "pages").dropDuplicates(["url"])
+STATE = ("url", "fetched_at", "parsed_at", "fail_reason")
+
+
+def _pages(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The pages, repeats once. Only the columns asked for are read; a filter on them reaches the scan,
+    as it would not through the first values that dropDuplicates takes."""
+    pages = table(s, d, "pages")
+    return (pages.select("url", *(c for c in columns if c != "url")) if columns else pages).distinct()
 
 
 def _links(s: SparkSession, d: str) -> DataFrame:
@@ -35,16 +41,20 @@ def _source(s: SparkSession, d: str) -> str:
     return table(s, d, "sources").agg(F.min("name")).first()[0]
 
 
+def _of(columns: tuple[str, ...], f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda s, d: f(_pages(s, d, *columns))
+
+
 def _on(table_: Callable[[SparkSession, str], DataFrame], f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda s, d: f(table_(s, d))
 
 
 def _prune(mode: str) -> Query:
-    return lambda s, d: catalog.prune_victims(_pages(s, d), _links(s, d), mode).select("url", "slug")
+    return lambda s, d: catalog.prune_victims(_pages(s, d, "slug", "fail_reason"), _links(s, d), mode).select("url", "slug")
 
 
 def _pruned_links(s: SparkSession, d: str) -> DataFrame:
-    pages, links = _pages(s, d), _links(s, d)
+    pages, links = _pages(s, d, "fail_reason"), _links(s, d)
     return catalog.without(pages, links, catalog.prune_victims(pages, links, "failed"))[1].select("url", "file_path")
 
 
@@ -63,7 +73,7 @@ def _upsert(s: SparkSession, d: str) -> DataFrame:
 def _insert_absent(s: SparkSession, d: str) -> DataFrame:
     linked = table(s, d, "links").select("url").distinct()
     found = linked.withColumn("original_url", F.col("url")).withColumn("domain", urls.domain_for_url(F.col("url"))).withColumn("slug", urls.slug_for_url(F.col("url")))
-    known = _pages(s, d).where("parsed_at is not null")
+    known = _pages(s, d, "original_url", "domain", "slug", "parsed_at").where("parsed_at is not null")
     return catalog.insert_absent(known, found).select("url", "original_url", "domain", "slug", "parsed_at")
 
 
@@ -76,13 +86,13 @@ def _replace_links(s: SparkSession, d: str) -> DataFrame:
 
 
 def _diverted(s: SparkSession, d: str) -> DataFrame:
-    pages = _pages(s, d)
+    pages = _pages(s, d, *STATE)
     told = verdicts.with_verdict(pages.select("url"), "url", DEFAULT_RULES)
     return catalog.mark_diverted(pages, told).select("url", "fail_reason")
 
 
 def _verdicts(s: SparkSession, d: str) -> DataFrame:
-    return verdicts.with_verdict(_pages(s, d).select("url", "original_url"), "original_url", DEFAULT_RULES)
+    return verdicts.with_verdict(_pages(s, d, "original_url"), "original_url", DEFAULT_RULES)
 
 
 def _registered(s: SparkSession, d: str) -> DataFrame:
@@ -169,7 +179,7 @@ def _ranks(s: SparkSession, d: str) -> DataFrame:
 def _crawl(s: SparkSession, d: str) -> DataFrame:
     """From each domain's first page: a page's links are those of the files that link it, within its domain."""
     links = _links(s, d).select("url", "file_path")
-    domains = _pages(s, d).select("url", "domain")
+    domains = _pages(s, d, "domain")
     seeds = domains.groupBy("domain").agg(F.min("url").alias("url"))
     # a file's pages of one domain, each linked to the next, so that a much linked page makes no product
     from pyspark.sql import Window
@@ -185,23 +195,23 @@ def _stream_windows(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    pages, links = _pages, _links
+    links = _links
     return {
-        "status_by_domain": _on(pages, lambda p: catalog.status_by(p, "domain")),
-        "status_counts": _on(pages, catalog.status_counts),
-        "page_states": _on(pages, lambda p: p.select("url", catalog.state().alias("state"))),
-        "fail_summary": _on(pages, catalog.fail_summary),
-        "duplicate_slugs": _on(pages, catalog.duplicate_slugs),
-        "list_newest": lambda s, d: catalog.list_fetched(_pages(s, d), limit=20).select("url", "fetched_at"),
-        "list_of_source": lambda s, d: catalog.list_fetched(_pages(s, d), _links(s, d), source=_source(s, d)).select("url", "domain", "fetched_at"),
-        "unparsed": _on(pages, lambda p: p.where(catalog.unparsed()).select("url")),
-        "fetch_candidates": lambda s, d: catalog.candidates(_links(s, d).groupBy("url").agg(F.min("url").alias("original_url")), _pages(s, d)),
-        "linked_failures": lambda s, d: catalog.failures_for(_pages(s, d), _links(s, d)).select("url", "fail_reason"),
+        "status_by_domain": _of(("domain", *STATE), lambda p: catalog.status_by(p, "domain")),
+        "status_counts": _of(STATE, catalog.status_counts),
+        "page_states": _of(STATE, lambda p: p.select("url", catalog.state().alias("state"))),
+        "fail_summary": _of(("domain", "fail_reason"), catalog.fail_summary),
+        "duplicate_slugs": _of(("slug",), catalog.duplicate_slugs),
+        "list_newest": lambda s, d: catalog.list_fetched(_pages(s, d, "fetched_at"), limit=20).select("url", "fetched_at"),
+        "list_of_source": lambda s, d: catalog.list_fetched(_pages(s, d, "domain", "fetched_at"), _links(s, d), source=_source(s, d)).select("url", "domain", "fetched_at"),
+        "unparsed": _of(STATE, lambda p: p.where(catalog.unparsed()).select("url")),
+        "fetch_candidates": lambda s, d: catalog.candidates(_links(s, d).groupBy("url").agg(F.min("url").alias("original_url")), _pages(s, d, "original_url", "fetched_at", "fail_reason")),
+        "linked_failures": lambda s, d: catalog.failures_for(_pages(s, d, "fail_reason"), _links(s, d)).select("url", "fail_reason"),
         "prune_failed": _prune("failed"),
         "prune_missing": _prune("missing"),
         "links_after_prune": _pruned_links,
-        "exclusive_pages": lambda s, d: catalog.exclusive_pages(_pages(s, d), _links(s, d), _source(s, d)).select("url"),
-        "dangling_links": lambda s, d: catalog.dangling_links(_links(s, d), _pages(s, d), table(s, d, "sources")).select("url", "file_path", "missing"),
+        "exclusive_pages": lambda s, d: catalog.exclusive_pages(_pages(s, d, "url"), _links(s, d), _source(s, d)).select("url"),
+        "dangling_links": lambda s, d: catalog.dangling_links(_links(s, d), _pages(s, d, "url"), table(s, d, "sources")).select("url", "file_path", "missing"),
         "newest_links": _on(links, lambda x: x),
         "replace_links": _replace_links,
         "remove_source": lambda s, d: catalog.remove_source(table(s, d, "sources"), _links(s, d), _source(s, d))[1],
@@ -210,7 +220,7 @@ def queries() -> dict[str, Query]:
         "diverted_pages": _diverted,
         "url_verdicts": _verdicts,
         "registered_urls": _registered,
-        "url_parts": _on(pages, lambda p: p.select("url", urls.domain_for_url(F.col("url")).alias("filed"), urls.slug_for_url(F.col("url")).alias("made_slug"), urls.is_pdf_url(F.col("url")).alias("pdf"), urls.is_raw_text_url(F.col("url")).alias("raw_text"))),
+        "url_parts": _of(("url",), lambda p: p.select("url", urls.domain_for_url(F.col("url")).alias("filed"), urls.slug_for_url(F.col("url")).alias("made_slug"), urls.is_pdf_url(F.col("url")).alias("pdf"), urls.is_raw_text_url(F.col("url")).alias("raw_text"))),
         "note_urls": _note_urls,
         "html_checks": _html_checks,
         "too_short": _too_short,
