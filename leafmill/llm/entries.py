@@ -21,6 +21,10 @@ def _p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.without_lines(conversions, repeated_lines.excessive_lines(conversions, table(spark, d, "pages")))
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.document_subjects(*(table(spark, d, t) for t in ("documents", "subject_labels", "subject_areas")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": _converted(repeated_lines.excessive_lines),
@@ -39,7 +43,8 @@ def queries() -> dict[str, Query]:
         "p7_main_text": _converted(main_text.main_texts),
         "p8_ids": lambda spark, d: tokens.token_ids(table(spark, d, "documents")),
         "p9_containers": lambda spark, d: packing.packed_documents(table(spark, d, "documents")),
-        "p10_found": lambda spark, d: subjects.document_subjects(*(table(spark, d, t) for t in ("documents", "subject_labels", "subject_areas"))),
+        "p10_found": _subjects,
+        "p10_composition": lambda spark, d: subjects.composition(_subjects(spark, d)),
     }
 
 

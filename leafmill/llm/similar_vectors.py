@@ -62,10 +62,13 @@ def _units(id_column: str, vector_column: str):
 def unit_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """(vec_id, same, unit): vectors of length one and a hash of their direction.
 
-    Rows without id or vector, and vectors that are all zero or not finite, take no
-    part; of rows with one id the first in order of the vector counts.
+    Rows without id or vector, vectors that are all zero or not finite, and vectors
+    of another length than most take no part; of rows with one id that by the hash
+    of its direction first counts.
     """
     rows = vectors.where(F.col(id_column).isNotNull() & F.col(vector_column).isNotNull()).select(F.col(id_column).cast("long").alias(id_column), vector_column)
+    lengths = rows.groupBy(F.size(vector_column).alias("length")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "length").limit(1).collect()
+    rows = rows.where(F.size(vector_column) == (lengths[0]["length"] if lengths else 0))
     units = rows.mapInArrow(_units(id_column, vector_column), "vec_id long, same long, unit binary")
     return units.groupBy("vec_id").agg(F.min_by("same", "same").alias("same"), F.min_by("unit", "same").alias("unit"))
 
@@ -209,8 +212,8 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str =
     """(vec_id, near_id, rank, cosine): the ``k`` most similar other vectors of each vector.
 
     At equal similarity the smaller id comes first. Null, all-zero and non-finite
-    vectors neither ask nor answer; with fewer than k others there are fewer rows.
-    All vectors must have one length.
+    vectors, and those of an odd length, neither ask nor answer; with fewer than k
+    others there are fewer rows.
     """
     spark = vectors.sparkSession
     units = unit_vectors(vectors, id_column, vector_column)

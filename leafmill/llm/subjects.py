@@ -289,3 +289,10 @@ def document_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame,
     features = hashed_sentences(documents)
     model = fit(features, labels, areas, hold_out)
     return features.mapInArrow(_shares(model.weights, None, model.cut, model.names), "doc_id long, subject string")
+
+
+def composition(found: DataFrame) -> DataFrame:
+    """(subject, documents, share): how many documents are about each subject, and their share of all that are about any."""
+    weighed = found.join(found.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id")
+    total = found.select("doc_id").distinct().count()
+    return weighed.groupBy("subject").agg(F.count("*").alias("documents"), (F.sum(1 / F.col("n")) / max(1, total)).alias("share"))

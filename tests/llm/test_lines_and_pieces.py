@@ -5,7 +5,7 @@ import random
 import pytest
 
 from leafmill.llm import main_text, pieces, repeated_lines
-from leafmill.llm.corpus import line_key
+from leafmill.llm.corpus import line_key, places
 
 CONV = "result_id long, url string, md_content string, word_count long, domain string"
 PAGE = "url string, domain string, content_type string, md_content string"
@@ -142,3 +142,10 @@ def test_forms():
         assert main_text.furniture(["# T", "", line], {}, "html") == [False, False, True], line
     for line in ("The visit of 3 May 2020 was long and it went well.", "| a | b | c |", "## From May to June", "1. item of May 2020", "```\na, b, c\n```", "One word"):
         assert not any(main_text.furniture(["# T", "", *line.split("\n")], {}, "html")), line
+
+
+def test_places(spark):
+    c = spark.createDataFrame([(1, "https://www.a.com/x", "t"), (2, "https://b.org/y", "t"), (3, None, "t"), (4, "https://a.com/z", None), (5, "https://c.net/1", "t"), (5, "https://c.net/1", "t")], "result_id long, url string, md_content string")
+    p = spark.createDataFrame([("https://b.org/y", "known.org", "pdf"), ("https://c.net/1", None, None), (None, "x", "html"), ("https://b.org/y", "known.org", "pdf")], "url string, domain string, content_type string")
+    got = {r["result_id"]: (r["domain"], r["content_type"], r["n_domain"]) for r in places(c, p).collect()}
+    assert got == {1: ("a.com", "html", 1), 2: ("known.org", "pdf", 1), 3: ("", "html", 1), 5: ("c.net", "html", 1)}

@@ -230,6 +230,8 @@ def test_subjects(spark):
     for r in rows:
         got[r["doc_id"]].add(r["subject"])
     assert len(rows) == sum(map(len, got.values())) and not got.keys() & {900, 901, 902}
+    shares = subjects.composition(spark.createDataFrame(rows)).collect()
+    assert abs(sum(r["share"] for r in shares) - 1) < 1e-9 and sum(r["documents"] for r in shares) == len(rows)
     unseen = [i for i in truth if i % 4 and (i - 1) % 6]
     assert sum(got[i] == truth[i] for i in unseen) >= 0.97 * len(unseen)
     assert subjects.document_subjects(d, l.limit(0), a).count() == subjects.document_subjects(d.limit(0), l, a).count() == 0

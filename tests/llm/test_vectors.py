@@ -26,7 +26,8 @@ def brute(rows, k=5):
 
 def frame(spark, rows):
     data = [(i, None if v is None else [float(x) for x in v], "clash", 0) for i, v in rows]
-    return spark.createDataFrame([*data, *data, (None, [1.0] * 16, None, None)], SCHEMA)
+    odd = [(None, [1.0] * 16, None, None), (9001, [1.0, 2.0], None, None), (9002, [], None, None), (9003, [1.0, None] * 8, None, None), (9004, [float("nan")] * 16, None, None)]
+    return spark.createDataFrame([*data, *data, *(odd if rows else [])], SCHEMA)
 
 
 def found(df):
