@@ -198,6 +198,26 @@ class Archive:
         self.store.commit(**changes)
         return len(paths), new.count(), gone.count()
 
+    def refresh(self, embed: Embed = hashed_words) -> dict[str, tuple[int, int, int] | None]:
+        """Every collection brought up to date from its folder; None for one whose folder is gone, which keeps its chunks."""
+        roots = {r["collection"]: r["root"] for r in self.store.table("roots").collect()}
+        return {name: self.index_documents(root, name, embed) if Path(root).is_dir() else None for name, root in sorted(roots.items())}
+
+    def evaluate(self, gold: DataFrame, embed: Embed = hashed_words, depth: int = 25) -> tuple[DataFrame, DataFrame]:
+        """Metrics of the gold queries (query, expected), and (query, rank) of each: of the first expected
+        source among those of the ``depth`` best chunks."""
+        asked = [(i, r["query"], r["expected"]) for i, r in enumerate(gold.toLocalIterator())]
+        if not asked:
+            ranks = self.spark.createDataFrame([], "query_id long, query string, rank int")
+            return search.metrics(ranks), ranks.select("query", "rank")
+        vectors = self.store.table("vectors")
+        ask = self.spark.createDataFrame([(i, q, e, v) for (i, q, e), v in zip(asked, embed([q for _, q, _ in asked]))], "query_id long, query string, expected array<string>, embedding array<float>")
+        hits = search.merged(search.nearest(ask, vectors, depth, key="id", collection="collection"), depth, key="id")
+        named = hits.join(vectors.select("collection", "id", "source"), ["collection", "id"])
+        expected = ask.select("query_id", F.explode("expected").alias("source"))
+        ranks = search.rank_of_expected(search.ranked_sources(named), expected).join(ask.select("query_id", "query"), "query_id")
+        return search.metrics(ranks), ranks.select("query", "rank")
+
     def query(self, text: str, k: int = 5, collection: str | None = None, embed: Embed = hashed_words) -> DataFrame:
         """(rank, confidence, collection, source, line, document): the best chunks of all collections, or one."""
         vectors = self.store.table("vectors")

@@ -19,6 +19,7 @@ from leafmill.operators import catalog, search
 from leafmill.operators.verdicts import with_verdict
 from leafmill.plans.rules import DEFAULT_RULES
 from leafmill.session import build_session
+from leafmill.sources.gold import read_gold
 from leafmill.sources.rules import load_rules
 
 USAGE, DATA, NO_INPUT = 64, 65, 66
@@ -46,8 +47,8 @@ def parser() -> argparse.ArgumentParser:
     add("source-list")
     add("source-remove", (["name"], text), (["--remove-pages"], flag))
     add("index", (["name"], {"nargs": "?"}), (["--all"], flag))
-    add("get", (["urls"], {"nargs": "+"}))
-    add("extract", (["files"], {"nargs": "+"}))
+    add("get", (["urls"], {"nargs": "+", "help": "- reads them from standard input"}))
+    add("extract", (["files"], {"nargs": "*"}), (["-f", "--files-from"], {"help": "file of paths, - for standard input"}))
     add("parse", (["--reparse"], flag))
     add("status")
     add("list", (["-n"], {"type": int, "default": 20}), (["--reverse"], flag), (["--domain"], text), (["--source"], text))
@@ -58,10 +59,17 @@ def parser() -> argparse.ArgumentParser:
     add("search-index", (["folder"], text), (["collection"], text), (["--no-prune"], flag))
     add("search-query", (["text"], text), (["-k"], {"type": int, "default": 5}), (["--collection"], text))
     add("search-collections")
+    add("search-refresh")
+    add("search-evaluate", (["gold"], text))
     add("db-remove", (["--force"], flag))
     return p
 
 
+def _lines(source) -> list[str]:
+    """Lines with something in them, trimmed, in order."""
+    return [t for line in source if (t := line.strip())]
+
+
 def show(df: DataFrame, as_json: bool) -> None:
     for row in df.toLocalIterator():
         record = row.asDict(recursive=True)
@@ -88,10 +96,15 @@ def run(a: argparse.Namespace, archive: Archive) -> None:
             raise Fail(USAGE, "give a source or --all")
         print(sum(archive.index(sources[n], n) for n in ([a.name] if a.name else sorted(sources))))
     elif a.command == "get":
-        print(archive.register(a.urls))
+        print(archive.register(_lines(sys.stdin) if a.urls == ["-"] else a.urls))
     elif a.command == "extract":
-        missing = [f for f in a.files if not Path(f).is_file()]
-        show(archive.extract([f for f in a.files if f not in missing]), a.json)
+        files = list(a.files)
+        if a.files_from:
+            files += _lines(sys.stdin) if a.files_from == "-" else _lines(Path(a.files_from).read_text(encoding="utf-8").splitlines())
+        if not files:
+            raise Fail(USAGE, "give files or --files-from")
+        missing = [f for f in files if not Path(f).is_file()]
+        show(archive.extract([f for f in files if f not in missing]), a.json)
         if missing:
             raise Fail(NO_INPUT, f"cannot read: {', '.join(missing)}")
     elif a.command == "parse":
@@ -134,6 +147,19 @@ def run(a: argparse.Namespace, archive: Archive) -> None:
         show(archive.query(a.text, a.k, a.collection), a.json)
     elif a.command == "search-collections":
         show(search.collections(store.table("vectors"), store.table("roots")).orderBy("collection"), a.json)
+    elif a.command == "search-refresh":
+        for name, counts in archive.refresh().items():
+            print(name, *(counts or ["folder missing"]), sep="\t")
+    elif a.command == "search-evaluate":
+        try:
+            gold = read_gold(spark, a.gold)
+        except OSError as e:
+            raise Fail(NO_INPUT, str(e)) from e
+        except (ValueError, KeyError, TypeError) as e:
+            raise Fail(DATA, f"no gold queries: {a.gold}") from e
+        metrics, ranks = archive.evaluate(gold)
+        show(metrics, a.json)
+        show(search.imperfect(ranks), a.json)
     elif a.command == "db-remove":
         if not a.force:
             raise Fail(USAGE, "this deletes the warehouse: repeat with --force")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from leafmill.api import Archive
 from leafmill.cli import main
+from leafmill.sources.gold import read_gold
 
 
 def test_archive_end_to_end(spark, tmp_path, capsys):
@@ -34,6 +35,9 @@ def test_archive_end_to_end(spark, tmp_path, capsys):
     assert len(run("prune", "failed")[1]) == 1 and archive.store.table("pages").count() == 2
     assert len(run("prune", "failed", "--force")[1]) == 1 and archive.store.table("pages").count() == 1
     assert run("--json", "extract", str(notes / "b.md"), str(notes / "no.md")) == (66, ['{"url": "https://e.com/one"}', '{"url": "https://e.com/two?utm_source=x"}'])
+    (tmp_path / "list").write_text(f"{notes / 'b.md'}\n\n", encoding="utf-8")
+    assert run("extract", "-f", str(tmp_path / "list"))[1] == ["https://e.com/one", "https://e.com/two?utm_source=x"] and run("extract")[0] == 64
+    assert run("search-evaluate", "none.json")[0] == 66
     assert json.loads(run("--json", "rules-test", "https://youtube.com/v")[1][0])["verdict"] == "skipped"
     assert run("source-remove", "n", "--remove-pages") == (0, []) and archive.store.table("pages").count() == 0
     assert run("db-remove")[0] == 64 and run("db-remove", "--force") == (0, [])
@@ -47,7 +51,12 @@ def test_search_index(spark, tmp_path):
     archive = Archive(spark, tmp_path / "home")
     assert archive.index_documents(docs, "pets") == (2, 2, 0)
     assert archive.query("dogs bark", 1).first()["source"] == "dogs.md"
-    assert archive.index_documents(docs, "pets") == (2, 0, 0)
+    assert archive.refresh() == {"pets": (2, 0, 0)}
+    gold = tmp_path / "gold.json"
+    gold.write_text(json.dumps([{"query": "dogs bark and run", "source": "dogs.md"}, {"query": "cats purr", "source": ["cats.md", "x.md"]}, {"query": "cats", "source": "none.md"}]), encoding="utf-8")
+    metrics, ranks = archive.evaluate(read_gold(spark, gold))
+    assert tuple(metrics.first()) == (3, 0.667, 0.667, 0.667, 0.667) and {r["query"]: r["rank"] for r in ranks.collect()}["cats"] is None
+    assert archive.evaluate(read_gold(spark, gold).limit(0))[0].first()["queries"] == 0
     (docs / "dogs.md").write_text("# Dogs\ndogs bark\n", encoding="utf-8")
     (docs / "cats.md").unlink()
     assert archive.index_documents(docs, "pets") == (1, 1, 1)
