@@ -96,7 +96,9 @@ def template_nodes(conversions: DataFrame, where: DataFrame) -> DataFrame:
     counted = parts.groupBy("key", "domain").agg(
         F.max("first").alias("first"), F.max("n_domain").alias("of"), *(F.sum(c).alias(c) for c in ("n", "apart", "beside", "headed"))
     )
-    constant = (F.col("domain") != "") & (F.col("n") >= MIN_PAGES) & (F.col("n") * ONE_OF >= F.col("of"))
+    # an article's own headings return, too; a heading of the page is on most pages
+    heading = (F.col("headed") * 2 > F.col("n")) & (F.col("n") * 2 < F.col("of"))
+    constant = (F.col("domain") != "") & (F.col("n") >= MIN_PAGES) & (F.col("n") * ONE_OF >= F.col("of")) & ~heading
     # three uses follow; what they need is little, and counted once
     nodes = cut_lineage(counted.where(constant | (F.col("apart") > 0)))
     hosts = nodes.where("apart > 0").groupBy("key").agg(F.count("*").alias("hosts"), *(F.sum(c).alias(f"all_{c}") for c in ("apart", "beside", "headed")))

@@ -109,6 +109,10 @@ def mixed():
         "script": "Please enable JavaScript to view this page.",
         "filler": "# Title\n\nLorem ipsum dolor sit amet consectetur adipiscing elit. Sed tempor magna aliqua nulla.",
         "slots": "{{ title }}\n\n{{ body_text }}\n\n${name} ${value}",
+        "unfilled": "# {{title}}\n\n" + " ".join(w + (" #{name}" if i % 9 == 0 else " __DATE__" if i % 13 == 0 else "") for i, w in enumerate(article(rng).split())),
+        "mentions a slot": "# On forms\n\n" + article(rng) + " A field such as {{name}} was filled in later.",
+        "code": "# On code\n\n" + article(rng) + "\n\n```\n{{ a }} {{ b }} ${c} undefined NaN null [object Object] {0} {1}\n```",
+        "years": "# Wrapped\n\n" + "\n".join(f"{1900 + i}. The {rng.choice(WORDS)} was in the {rng.choice(WORDS)} and had the {rng.choice(WORDS)} in" for i in range(12)),
         "quotes": "# On errors\n\n" + article(rng) + ' The site said "Page not found" and "Please enable JavaScript".',
         "list": "# Things\n\n" + "\n".join(f"- {rng.choice(WORDS)} {rng.choice(WORDS)}, {i} g" for i in range(40)),
         "plain list": "# Things\n\n" + "\n".join(f"{rng.choice(WORDS)} {rng.choice(WORDS)}, {i} g" for i in range(40)),
@@ -127,10 +131,10 @@ def test_residue_and_types(spark):
     names = list(texts)
     c, p = tables(spark, list(texts.values()), hosts=5)
     residue = [r[0] for r in quality.residue_results(c, p).collect()]
-    assert sorted(names[i] for i in residue) == ["filler", "missing", "script", "slots"]
+    assert sorted(names[i] for i in residue) == ["filler", "missing", "script", "slots", "unfilled"]
     kinds = [(names[r["result_id"]], r["body_kind"]) for r in quality.not_prose(c, p).collect()]
     assert sorted(kinds) == [("csv", "table"), ("hex", "junk"), ("list", "list"), ("plain list", "list"), ("stuffing", "junk"), ("table", "table")]
-    assert quality.articles_only(c, p).where("result_id is not null").select("result_id").distinct().count() == len(texts) + 1 - 4
+    assert quality.articles_only(c, p).where("result_id is not null").select("result_id").distinct().count() == len(texts) + 1 - 5
     stats = {r["result_id"]: r for r in quality.text_statistics(c).collect()}
     assert stats[names.index("empty")]["word_count"] == 0 and stats[names.index("list")]["word_count"] == 1 + 3 * 40 + 40
     none = c.limit(0), p.limit(0)
