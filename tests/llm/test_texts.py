@@ -112,7 +112,7 @@ def mixed():
         "unfilled": "# {{title}}\n\n" + " ".join(w + (" #{name}" if i % 9 == 0 else " __DATE__" if i % 13 == 0 else "") for i, w in enumerate(article(rng).split())),
         "mentions a slot": "# On forms\n\n" + article(rng) + " A field such as {{name}} was filled in later.",
         "code": "# On code\n\n" + article(rng) + "\n\n```\n{{ a }} {{ b }} ${c} undefined NaN null [object Object] {0} {1}\n```",
-        "years": "# Wrapped\n\n" + "\n".join(f"{1900 + i}. The {rng.choice(WORDS)} was in the {rng.choice(WORDS)} and had the {rng.choice(WORDS)} in" for i in range(12)),
+        "years": "# Wrapped\n\n" + "\n".join(f"{1900 + i}. The {rng.choice(WORDS)} was in the {rng.choice(WORDS)} and had the {rng.choice(WORDS)} with all of it in" for i in range(12)),
         "quotes": "# On errors\n\n" + article(rng) + ' The site said "Page not found" and "Please enable JavaScript".',
         "list": "# Things\n\n" + "\n".join(f"- {rng.choice(WORDS)} {rng.choice(WORDS)}, {i} g" for i in range(40)),
         "plain list": "# Things\n\n" + "\n".join(f"{rng.choice(WORDS)} {rng.choice(WORDS)}, {i} g" for i in range(40)),
