@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.session import written
+
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -34,6 +36,26 @@ def hash64(text: str | bytes, seed: int = 0) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+#: Repeats of one row that may meet in a task.
+REPEATS = 1000
+
+
+def settled(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with at most ``REPEATS`` rows of one ``key``, of which all are repeats of one row.
+
+    Operators drop repeats where they meet, in the partition of their key. A row
+    that is delivered over and over would make that partition large, so it is
+    reduced to one here, first within each task. Such keys are few, and counting
+    finds that there are none at the price of one narrow aggregation.
+    """
+    hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > REPEATS).select(key)
+    if hot.isEmpty():
+        return rows
+    hot = written(hot)
+    one = rows.join(hot, key, "left_semi").dropDuplicates([key])
+    return rows.join(hot, key, "left_anti").unionByName(one)
+
+
 def places(conversions: DataFrame, pages: DataFrame) -> DataFrame:
     """(result_id, domain, content_type, n_domain): where each result with text
     comes from and how many results with text its domain has.

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.corpus import beside_text, hash64, line_key, places, rows_to_batches, unique
+from leafmill.llm.corpus import beside_text, hash64, line_key, places, rows_to_batches, settled, unique
 from leafmill.session import cut_lineage
 
 #: A node is constant if at least one of so many pages of the host has it ...
@@ -260,6 +260,7 @@ def furniture(lines: list[str], constant: dict[int, int], kind: str) -> list[boo
 
 def page_nodes(conversions: DataFrame, pages: DataFrame) -> DataFrame:
     """(result_id, md_content, domain, content_type, constant, shared): each text with its host's template."""
+    conversions = settled(conversions, "result_id")
     where = places(conversions, pages)
     templates = template_nodes(conversions, where)
     narrow = where.select("result_id", "domain", "content_type").join(templates, "domain", "left")

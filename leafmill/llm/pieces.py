@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.corpus import rows_to_batches, unique
+from leafmill.llm.corpus import rows_to_batches, settled, unique
 
 #: Characters (code points) of a piece, with the overlap.
 MAX_CHARS = 1200
@@ -115,7 +115,7 @@ def _rows(kind: str, key: str, text: str):
 
 def _whole(items: DataFrame, key: str, text: str) -> DataFrame:
     """Rows with key and text; repeats share a partition, where ``unique`` drops them."""
-    return items.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias(key), text).repartition(key)
+    return settled(items.select(key, text), key).where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias(key), text).repartition(key)
 
 
 def pieces(items: DataFrame, key: str = "result_id", text: str = "md_content") -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.corpus import rows_to_batches, unique
+from leafmill.llm.corpus import rows_to_batches, settled, unique
 from leafmill.session import checkpoint_dir
 
 #: Buckets of the hashed vocabulary.
@@ -96,7 +96,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def hashed_sentences(documents: DataFrame) -> DataFrame:
     """(doc_id, words, ends): hashed words, and where each sentence ends among them; written once."""
     spark = documents.sparkSession
-    rows = documents.where("doc_id is not null").select("doc_id", "text").repartition("doc_id")
+    rows = settled(documents.select("doc_id", "text"), "doc_id").where("doc_id is not null").repartition("doc_id")
     path = f"{checkpoint_dir(spark)}/sentences-{uuid.uuid4().hex}"
     rows.mapInArrow(_features, "doc_id long, words array<int>, ends array<int>").write.parquet(path)
     return spark.read.schema("doc_id long, words array<int>, ends array<int>").parquet(path)

@@ -20,7 +20,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from leafmill.llm.corpus import settled
 
 #: Folder of the vocabulary files; a parameter of every function here.
 TOKENIZERS = "/opt/tokenizers"
@@ -170,7 +171,7 @@ def _encoded(path: str, counts_only: bool):
 
 def _documents(documents: DataFrame) -> DataFrame:
     """Repeats of a document share a partition; sizes even out, as ids say nothing of length."""
-    return documents.where("doc_id is not null").select("doc_id", "text").repartition("doc_id")
+    return settled(documents.select("doc_id", "text"), "doc_id").where("doc_id is not null").repartition("doc_id")
 
 
 def token_ids(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = "byte_bpe_50k") -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from leafmill.llm import main_text, pieces, repeated_lines
+from leafmill.llm import corpus, main_text, pieces, repeated_lines
 from leafmill.llm.corpus import line_key, places
 
 CONV = "result_id long, url string, md_content string, word_count long, domain string"
@@ -149,3 +149,16 @@ def test_places(spark):
     p = spark.createDataFrame([("https://b.org/y", "known.org", "pdf"), ("https://c.net/1", None, None), (None, "x", "html"), ("https://b.org/y", "known.org", "pdf")], "url string, domain string, content_type string")
     got = {r["result_id"]: (r["domain"], r["content_type"], r["n_domain"]) for r in places(c, p).collect()}
     assert got == {1: ("a.com", "html", 1), 2: ("known.org", "pdf", 1), 3: ("", "html", 1), 5: ("c.net", "html", 1)}
+
+
+def test_a_row_delivered_over_and_over(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "REPEATS", 5)
+    rows = site()
+    c, p = tables(spark, rows)
+    hot = c.where("result_id = 3")
+    for _ in range(4):
+        hot = hot.unionByName(hot)
+    many = c.unionByName(hot)
+    assert corpus.settled(c, "result_id").count() == c.count()
+    assert corpus.settled(many, "result_id").where("result_id = 3").count() == 1
+    assert sorted(map(tuple, repeated_lines.excessive_lines(many, p).collect())) == sorted(brute_lines(rows))
