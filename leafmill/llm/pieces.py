@@ -27,13 +27,15 @@ MAX_CHARS = 1200
 OVERLAP = 200
 #: New characters of a piece, unless the text ends.
 MIN_NEW = 400
+#: How much shorter a piece may be that ends naturally, where the others could not.
+SHORT = 300
 #: Characters that a landmark depends on.
 WINDOW = 32
 #: A landmark has so many zero bits: one in 128 positions.
 ZERO_BITS = 7
 
 #: From the strongest boundary to the weakest; a cut is the end of a match.
-BOUNDARIES = tuple(map(re.compile, (r"\n[^\S\n]*\n\s*", r"\n", r"[.!?…。！？][\"”’»)\]]*\s+", r"\s+")))
+BOUNDARIES = tuple(map(re.compile, (r"\n[^\S\n]*\n\s*", r"\n", r"[.!?…][\"”’»)\]]*\s+|[。！？][”’」』）]*\s*", r"\s+")))
 _GEAR = np.random.default_rng(20).integers(0, 1 << 64, 1 << 12, dtype=np.uint64)
 
 
@@ -71,7 +73,12 @@ def _snap(text: str, low: int, high: int, mark: int) -> int:
         ends = [e for m in kind.finditer(text, max(0, low - 2), high) if low <= (e := m.end()) <= high]
         if ends:
             return min(ends, key=lambda e: (abs(e - mark), e))
-    return high if mark > high else mark
+    # none: a shorter piece that ends naturally, else a cut between two characters
+    for kind in BOUNDARIES:
+        ends = [e for m in kind.finditer(text, max(0, low - SHORT), low) if low - SHORT <= (e := m.end()) < low]
+        if ends:
+            return ends[-1]
+    return mark
 
 
 def blocks(text: str) -> Iterator[tuple[int, int]]:
