@@ -172,11 +172,12 @@ def mark_diverted(pages: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def pipeline_summary(indexed: DataFrame, fetched: DataFrame, parsed: DataFrame, failed: DataFrame) -> DataFrame:
     """One row: how many urls were indexed, fetched, parsed and failed."""
-    parts = [d.agg(F.count("*").alias(n)) for n, d in (("indexed", indexed), ("fetched", fetched), ("parsed", parsed), ("failed", failed))]
-    first, *rest = parts
-    for part in rest:
-        first = first.crossJoin(part)  # one row each
-    return first
+    named = {"indexed": indexed, "fetched": fetched, "parsed": parsed, "failed": failed}
+    rows = None
+    for name, df in named.items():
+        part = df.select(F.lit(name).alias("what"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.agg(*(F.count_if(F.col("what") == name).alias(name) for name in named))
 
 
 def first_in_order(rows: DataFrame, key: str, order: str) -> DataFrame:
