@@ -162,3 +162,43 @@ def test_a_row_delivered_over_and_over(spark, monkeypatch):
     assert corpus.settled(c, "result_id").count() == c.count()
     assert corpus.settled(many, "result_id").where("result_id = 3").count() == 1
     assert sorted(map(tuple, repeated_lines.excessive_lines(many, p).collect())) == sorted(brute_lines(rows))
+
+
+def tree_of(text):
+    """A page as its blocks of line keys."""
+    blocks = [[]]
+    for line in text.split("\n"):
+        if line.strip():
+            blocks[-1].append(line_key(line))
+        elif blocks[-1]:
+            blocks.append([])
+    return [b for b in blocks if b]
+
+
+def common(a, b, weight):
+    """Greatest total weight of an alignment of two sequences that keeps their order, and its pairs."""
+    best = [[(0, ()) for _ in range(len(b) + 1)] for _ in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            w = weight(x, y)
+            taken = (best[i - 1][j - 1][0] + w, (*best[i - 1][j - 1][1], (i - 1, j - 1))) if w else (0, ())
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], taken, key=lambda t: t[0])
+    return best[-1][-1]
+
+
+def simple_tree_match(a, b):
+    """Keys of the nodes that simple tree matching pairs in two pages."""
+    same = lambda x, y: int(x == y and x != "")
+    lines = lambda x, y: common(x, y, same)
+    _, pairs = common(a, b, lambda x, y: (n + 1 if (n := lines(x, y)[0]) else 0))
+    return {a[i][k] for i, j in pairs for k, _ in lines(a[i], b[j])[1]}
+
+
+def test_counting_finds_what_tree_matching_finds(spark):
+    rows = [(f"https://a.com/{i}", "a.com", page_of(i, prose(i))) for i in range(12)]
+    trees = [tree_of(t) for _u, _d, t in rows]
+    matched = set().union(*(simple_tree_match(trees[i], trees[j]) for i in range(12) for j in range(i)))
+    c, p = tables(spark, rows)
+    where = corpus.places(c, p)
+    counted = main_text.template_nodes(c, where).where("domain = 'a.com'").first()["constant"]
+    assert {corpus.hash64(k) for k in matched} == set(counted)
