@@ -9,7 +9,9 @@ the host. The block that holds a constant node belongs to the template, and its
 other lines are slots: short lines there (titles of other pages, names) are
 furniture, running text is not. What recurs on many hosts above or below an
 article without belonging to any host's template (announcements) is found the
-same way over the whole collection. Slots that hold a different text on each
+same way over the whole collection, if the pages that have it differ in their
+text; a line of an article that is copied to many hosts has one text beside it
+everywhere. Slots that hold a different text on each
 page (bylines, trails, tags, pagers, page numbers) are told by their form.
 """
 
@@ -24,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.bodies import longest_half, resemblance, sketch
 from leafmill.llm.corpus import beside_text, hash64, line_key, places, rows_to_batches, settled, unique
 from leafmill.session import cut_lineage
 
@@ -38,6 +41,10 @@ ARTICLE_SENTENCES = 8
 BESIDE_ARTICLE = 0.7
 #: ... and is hardly ever marked as a heading.
 AS_HEADING = 0.03
+#: Text that two of its pages have in common, on average, is less than this: four different articles, copied or not.
+ALIKE = 0.25
+#: Pages of a host, drawn by a hash of result_id, whose text is compared.
+DRAWN = 4
 #: A slot line has no more words than this, and fewer characters.
 SLOT_WORDS = 16
 LONG = 160
@@ -45,17 +52,18 @@ LONG = 160
 _ANNOUNCE = re.compile(r"^[\s>*_]*[^\W\d_][^\d|;{}()=<\[\]\t]{8,90}$")
 _FIRST = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?][\"”]?(?:\s|$)")
-_NODE = pa.schema([("domain", pa.string()), ("key", pa.int64()), ("first", pa.int32()), ("n_domain", pa.int64()), ("n", pa.int64()), ("apart", pa.int64()), ("beside", pa.int64()), ("headed", pa.int64())])
+_NODE = pa.schema([("domain", pa.string()), ("key", pa.int64()), ("first", pa.int32()), ("n_domain", pa.int64()), ("n", pa.int64()), ("apart", pa.int64()), ("beside", pa.int64()), ("headed", pa.int64()), ("drawn", pa.list_(pa.list_(pa.int32())))])
 #: Nodes a task holds before it hands its counts on.
 HELD_NODES = 200_000
 
 
 def _count_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of each node over the pages of a task: pages, as a line apart, beside an article, as a heading."""
+    """Counts of each node over the pages of a task: pages, as a line apart, beside an article, as a heading;
+    and the texts, sketched, of a few pages that have it as a line apart."""
 
     def rows() -> Iterator[tuple]:
         held: dict[tuple, list[int]] = {}
-        for _rid, md, domain, n_domain in unique(batches, "result_id", "md_content", "domain", "n_domain"):
+        for rid, md, domain, n_domain in unique(batches, "result_id", "md_content", "domain", "n_domain"):
             article = len(_SENTENCE.findall(md)) >= ARTICLE_SENTENCES
             page: dict[str, int] = {}
             for line in md.split("\n"):
@@ -63,15 +71,19 @@ def _count_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     headed = line.lstrip(" >*_").startswith("#")
                     apart = headed or (len(line) < 120 and 2 <= key.count(" ") <= 13 and _ANNOUNCE.match(line.rstrip()) is not None)
                     page[key] = page.get(key, 0) | apart | headed << 1
+            drawn = None
             for key, flags in page.items():
                 node = held.get((domain, key))
                 if node is None:
-                    node = held[domain, key] = [n_domain, 0, 0, 0, 0]
+                    node = held[domain, key] = [n_domain, 0, 0, 0, 0, []]
                 node[1] += 1
                 if flags:
                     node[2] += 1
                     node[3] += article
                     node[4] += flags >> 1
+                    if flags == 1:
+                        drawn = drawn or [xxhash.xxh32_intdigest(str(rid)) >> 1, *sketch(longest_half(page))]
+                        node[5] = sorted([*node[5], drawn])[:DRAWN] if node[5] else [drawn]
             if len(held) > HELD_NODES:
                 yield from ((d, hash64(k), first_word(k), *node) for (d, k), node in held.items())
                 held = {}
@@ -92,9 +104,10 @@ def template_nodes(conversions: DataFrame, where: DataFrame) -> DataFrame:
     Both are bounded by the lines of a few pages: a constant node is on an eighth of them.
     """
     texts = beside_text(conversions, where.select("result_id", "domain", "n_domain"))
-    parts = texts.mapInArrow(_count_nodes, "domain string, key long, first int, n_domain long, n long, apart long, beside long, headed long")
+    parts = texts.mapInArrow(_count_nodes, "domain string, key long, first int, n_domain long, n long, apart long, beside long, headed long, drawn array<array<int>>")
     counted = parts.groupBy("key", "domain").agg(
-        F.max("first").alias("first"), F.max("n_domain").alias("of"), *(F.sum(c).alias(c) for c in ("n", "apart", "beside", "headed"))
+        F.max("first").alias("first"), F.max("n_domain").alias("of"), *(F.sum(c).alias(c) for c in ("n", "apart", "beside", "headed")),
+        F.slice(F.sort_array(F.flatten(F.collect_list("drawn"))), 1, DRAWN).alias("drawn"),
     )
     # an article's own headings return, too; a heading of the page is on most pages
     heading = (F.col("headed") * 2 > F.col("n")) & (F.col("n") * 2 < F.col("of"))
@@ -105,6 +118,9 @@ def template_nodes(conversions: DataFrame, where: DataFrame) -> DataFrame:
     shared = hosts.where(
         (F.col("hosts") >= MIN_HOSTS) & (F.col("all_beside") >= BESIDE_ARTICLE * F.col("all_apart")) & (F.col("all_headed") <= AS_HEADING * F.col("all_apart"))
     )
+    pages = nodes.where("apart > 0").join(shared.select("key"), "key", "left_semi").select("key", F.explode("drawn").alias("page"))
+    alike = resemblance(pages.select("key", F.slice("page", 2, 4).alias("least")), "key")
+    shared = alike.where(F.col("alike") < ALIKE)
     own = nodes.where(constant).select("domain", "key", "first", F.lit(1).alias("kind"))
     common = nodes.where("apart > 0").join(shared.select("key"), "key", "left_semi").select("domain", "key", "first", F.lit(2).alias("kind"))
     of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("key")))

@@ -202,3 +202,22 @@ def test_counting_finds_what_tree_matching_finds(spark):
     where = corpus.places(c, p)
     counted = main_text.template_nodes(c, where).where("domain = 'a.com'").first()["constant"]
     assert {corpus.hash64(k) for k in matched} == set(counted)
+
+
+def test_copies_of_an_article_are_no_announcement(spark):
+    """Lines of one article on 50 hosts stay, with small differences too; a prompt beside different articles goes."""
+    line, prompt = "The quiet river kept its own slow counsel", "Please tell your friends about these pages"
+    rng = random.Random(8)
+    text = lambda: " ".join(" ".join(word(rng) for _ in range(9)) + "." for _ in range(10))
+    rows, article = [], text()
+    for i in range(50):
+        words = article.split(" ")
+        for k in range(len(words)):
+            if rng.random() < 0.03:
+                words[k] = word(rng)
+        rows.append((f"https://copy{i}.com/a", f"copy{i}.com", f"# Title\n\n{line}\n\n" + " ".join(words)))
+        rows.append((f"https://own{i}.com/a", f"own{i}.com", f"# Title {word(rng)}\n\n{text()}\n\n{prompt}"))
+    c, p = tables(spark, rows)
+    found = {(r["result_id"], r["line_no"]) for r in main_text.furniture_lines(c, p).collect()}
+    lines = {(i, n): x for i, (_u, _d, t) in enumerate(rows) for n, x in enumerate(t.split("\n"), 1)}
+    assert {k for k, x in lines.items() if x == prompt} == found
