@@ -108,16 +108,16 @@ def _strings(directions: np.ndarray, thresholds: np.ndarray):
     return run
 
 
-def prefix_runs(strings: np.ndarray, x: np.ndarray, limit: int = CANDIDATES) -> Iterator[np.ndarray]:
+def prefix_runs(strings: np.ndarray, x: np.ndarray, limit: int = CANDIDATES, tree: int = 0) -> Iterator[np.ndarray]:
     """Positions of the sorted ``strings`` in groups of at most ``limit``: the largest subtrees of
-    the prefix tree that are no larger, runs of one whole string being split further."""
+    the prefix tree that are no larger, runs of one whole string being split further, in each tree another way."""
     todo = [(0, len(strings), BITS - 1)]
     while todo:
         low, high, bit = todo.pop()
         if high - low <= limit:
             yield np.arange(low, high)
         elif bit < 0:
-            yield from _denser(np.arange(low, high), x, limit, np.random.default_rng(high - low))
+            yield from _denser(np.arange(low, high), x, limit, np.random.default_rng([tree, int(strings[low])]))
         else:
             middle = low + int(np.searchsorted((strings[low:high] >> bit) & 1, 1))
             todo += [(a, b, bit - 1) for a, b in ((low, middle), (middle, high)) if b > a]
@@ -143,7 +143,7 @@ def _search(k: int):
         strings = rows.column("string").to_numpy()
         x = np.stack([np.frombuffer(u, np.float32) for u in rows.column("unit").to_pylist()])
         ids = rows.column("ids").to_pylist()
-        for run in prefix_runs(strings, x):
+        for run in prefix_runs(strings, x, tree=rows.column("tree")[0].as_py()):
             if len(run) < 2:  # alone, but it may have equals
                 own = ids[run[0]]
                 yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((own[0], own, [], []), _FOUND)], schema=_FOUND)

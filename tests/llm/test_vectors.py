@@ -68,3 +68,24 @@ def test_few_and_none(spark):
     assert found(frame(spark, two).where("vec_id is not null")) == {1: [2], 2: [1]}
     one = spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<float>")
     assert V.nearest(one).count() == 0 and V.nearest(one.limit(0)).count() == 0
+
+
+def test_recall_in_a_cluster_that_no_threshold_cuts(spark):
+    """Vectors that share their strings in all trees are split in each tree another way."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal(64) + 0.005 * rng.standard_normal((10_000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    directions, above = np.zeros((64, V.TREES * V.BITS), np.float32), np.ones(V.TREES * V.BITS, np.float32)
+    units = spark.createDataFrame([([i], x[i].tobytes()) for i in range(len(x))], "ids array<long>, unit binary")
+    strings = units.coalesce(1).mapInArrow(V._strings(directions, above), V._ENTRY).sortWithinPartitions("tree", "string")
+    near = strings.mapInArrow(V._search(5), "vec_id long, ids array<long>, near array<long>, cosine array<double>").collect()
+    found = {}
+    for r in near:
+        found.setdefault(r["vec_id"], set()).update(r["near"])
+    asked = range(0, len(x), 20)
+    sims = x[asked].astype(np.float64) @ x.T.astype(np.float64)
+    sims[np.arange(len(asked)), asked] = -2
+    best = np.argsort(-sims, axis=1)[:, :5]
+    recall = np.mean([len(found[i] & set(b)) / 5 for i, b in zip(asked, best.tolist())])
+    print("recall", recall)
+    assert recall >= 0.95
