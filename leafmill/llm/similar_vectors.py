@@ -1,13 +1,15 @@
 """Problem 4: the most similar vectors of every vector.
 
 A hash-prefix forest. Each tree gives a vector a long string of bits, the signs
-of projections beside thresholds; the strings of a tree are sorted over the
-cluster by range, and each task holds a run of the sorted array. A vector's
-query descends to its longest prefix match and ascends, in all trees alike, to
-the longest prefix that at least ``CANDIDATES / 2`` or so and at most
-``CANDIDATES`` vectors share; these are compared exactly where they lie. Where
-even whole strings are shared by more, further bits are drawn inside that run,
-so dense groups are split like any other. The best of all trees are merged.
+of projections beside thresholds; the strings of a tree are sorted, and each
+task holds cells of the sorted arrays. Cells are cut at prefixes only, so no
+subtree of up to ``CANDIDATES`` vectors lies in two. A vector's query descends to
+the largest prefix that at most ``CANDIDATES`` vectors share; where fewer than
+half as many do, it ascends to the prefix around that, so in every tree it meets
+``CANDIDATES / 2`` others at least. Candidates are compared exactly where they
+lie. Where even whole strings are shared by more, further bits are drawn inside
+that run, so dense groups are split like any other. The best of all trees are
+merged.
 
 Projections are fitted on a bounded sample: random directions scaled by its
 covariance, thresholds at its medians. Every vector is indexed and queried.
@@ -34,8 +36,9 @@ BITS = 48
 CANDIDATES = 2000
 #: Vectors that the projections are fitted on, at most.
 SAMPLE = 4096
-#: Entries of the sorted arrays in one task, about.
+#: Entries of a cell of the sorted arrays, about, and vectors of the sample that a cell has at least.
 RUN = 24_000
+SAMPLED = 8
 #: Digits to which directions must agree to be equal.
 DIGITS = 6
 
@@ -73,8 +76,8 @@ def unit_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
     return units.groupBy("vec_id").agg(F.min_by("same", "same").alias("same"), F.min_by("unit", "same").alias("unit"))
 
 
-def projections(units: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Directions and thresholds of all trees, fitted on ``SAMPLE`` vectors that a hash of vec_id draws."""
+def projections(units: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Directions and thresholds of all trees, fitted on ``SAMPLE`` vectors that a hash of vec_id draws; these."""
     rows = units.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("unit").collect()
     sample = np.stack([np.frombuffer(r[0], np.float32) for r in rows]).astype(np.float64)
     size = sample.shape[1]
@@ -82,15 +85,45 @@ def projections(units: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     spread = axes * np.sqrt(np.maximum(values, 1e-9))
     rng = np.random.default_rng(4)
     directions = (spread @ rng.standard_normal((size, TREES * BITS))).astype(np.float32)
-    return directions, np.median(sample.astype(np.float32) @ directions, axis=0)
+    sample = sample.astype(np.float32)
+    return directions, np.median(sample @ directions, axis=0), sample
 
 
-_ENTRY = "tree int, string long, ids array<long>, unit binary"
+def strings_of(x: np.ndarray, directions: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
+    """The string of each vector in each tree."""
+    place = (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)).astype(np.int64)
+    return (x @ directions > thresholds).reshape(len(x), TREES, BITS).astype(np.int64) @ place
 
 
-def _strings(directions: np.ndarray, thresholds: np.ndarray):
+def cells_of(strings: np.ndarray, n: int) -> np.ndarray:
+    """First strings of the cells of a tree of ``n`` entries, told from the ``strings`` of a sample.
+
+    Prefixes of more than ``RUN`` entries are cut in two. A side that is too small
+    for a cell stays with what is next to it in the other, and can ascend there.
+    """
+    strings = np.sort(strings)
+    of_each = n / len(strings)
+    least = max(SAMPLED, CANDIDATES / of_each)
+    starts = [0]
+    todo = [(0, len(strings), BITS - 1, 0)]
+    while todo:
+        low, high, bit, prefix = todo.pop()
+        if bit >= 0 and (high - low) * of_each > RUN:
+            middle = low + int(np.searchsorted((strings[low:high] >> bit) & 1, 1))
+            if min(middle - low, high - middle) >= least:
+                starts.append(prefix | 1 << bit)
+            todo += [(low, middle, bit - 1, prefix), (middle, high, bit - 1, prefix | 1 << bit)]
+    return np.array(sorted(starts), np.int64)
+
+
+_ENTRY = "tree int, cell int, string long, ids array<long>, unit binary"
+
+
+def _strings(directions: np.ndarray, thresholds: np.ndarray, cells: list[np.ndarray] | None = None):
+    starts = cells or [np.zeros(1, np.int64)] * TREES
+    first = np.cumsum([0, *map(len, starts)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)).astype(np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
@@ -98,11 +131,12 @@ def _strings(directions: np.ndarray, thresholds: np.ndarray):
                     continue
                 unit = part.column("unit")
                 x = np.stack([np.frombuffer(u, np.float32) for u in unit.to_pylist()])
-                bits = (x @ directions > thresholds).reshape(len(x), TREES, BITS)
-                strings = bits.astype(np.int64) @ place
+                strings = strings_of(x, directions, thresholds)
                 for t in range(TREES):
+                    own = np.ascontiguousarray(strings[:, t])
+                    cell = (first[t] + np.searchsorted(starts[t], own, side="right") - 1).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(x), t, np.int32)), pa.array(np.ascontiguousarray(strings[:, t])), part.column("ids"), unit], ["tree", "string", "ids", "unit"]
+                        [pa.array(np.full(len(x), t, np.int32)), pa.array(cell), pa.array(own), part.column("ids"), unit], ["tree", "cell", "string", "ids", "unit"]
                     )
 
     return run
@@ -111,16 +145,24 @@ def _strings(directions: np.ndarray, thresholds: np.ndarray):
 def prefix_runs(strings: np.ndarray, x: np.ndarray, limit: int = CANDIDATES, tree: int = 0) -> Iterator[np.ndarray]:
     """Positions of the sorted ``strings`` in groups of at most ``limit``: the largest subtrees of
     the prefix tree that are no larger, runs of one whole string being split further, in each tree another way."""
-    todo = [(0, len(strings), BITS - 1)]
+    for rows, _low, _high in queries(strings, x, limit, tree):
+        yield rows
+
+
+def queries(strings: np.ndarray, x: np.ndarray, limit: int = CANDIDATES, tree: int = 0) -> Iterator[tuple[np.ndarray, int, int]]:
+    """The groups of ``prefix_runs``, each with the range of its candidates in ``strings``: its own,
+    the prefix around it if that is less than half of ``limit``, or none for a piece of a whole string."""
+    todo = [(0, len(strings), BITS - 1, 0, len(strings))]
     while todo:
-        low, high, bit = todo.pop()
+        low, high, bit, around, end = todo.pop()
         if high - low <= limit:
-            yield np.arange(low, high)
+            yield np.arange(low, high), *((low, high) if 2 * (high - low) >= limit else (around, end))
         elif bit < 0:
-            yield from _denser(np.arange(low, high), x, limit, np.random.default_rng([tree, int(strings[low])]))
+            for rows in _denser(np.arange(low, high), x, limit, np.random.default_rng([tree, int(strings[low])])):
+                yield rows, 0, 0
         else:
             middle = low + int(np.searchsorted((strings[low:high] >> bit) & 1, 1))
-            todo += [(a, b, bit - 1) for a, b in ((low, middle), (middle, high)) if b > a]
+            todo += [(a, b, bit - 1, low, high) for a, b in ((low, middle), (middle, high)) if b > a]
 
 
 def _denser(rows: np.ndarray, x: np.ndarray, limit: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
@@ -138,42 +180,52 @@ def _denser(rows: np.ndarray, x: np.ndarray, limit: int, rng: np.random.Generato
 _FOUND = pa.schema([("vec_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("near", pa.list_(pa.int64())), ("cosine", pa.list_(pa.float64()))])
 
 
-def _search(k: int):
-    def one_tree(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+#: Products that are held at once.
+PRODUCTS = 4_000_000
+
+
+def _search(k: int, limit: int = CANDIDATES):
+    def one_cell(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         strings = rows.column("string").to_numpy()
         x = np.stack([np.frombuffer(u, np.float32) for u in rows.column("unit").to_pylist()])
         ids = rows.column("ids").to_pylist()
-        for run in prefix_runs(strings, x, tree=rows.column("tree")[0].as_py()):
-            if len(run) < 2:  # alone, but it may have equals
-                own = ids[run[0]]
+        for group, low, high in queries(strings, x, limit, rows.column("tree")[0].as_py()):
+            among = np.arange(low, high) if high else group
+            if len(among) < 2:  # alone, but it may have equals
+                own = ids[group[0]]
                 yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((own[0], own, [], []), _FOUND)], schema=_FOUND)
                 continue
-            v = x[run]
-            sims = v @ v.T
-            np.fill_diagonal(sims, -2)
-            m = min(k, len(run) - 1)
-            best = np.argpartition(sims, len(run) - m, axis=1)[:, len(run) - m :]
-            # the last digits of float32 products depend on the block: what is kept is computed again
-            exact = np.einsum("ij,ikj->ik", v.astype(np.float64), v[best].astype(np.float64))
-            found = []
-            for r, (others, cosines) in enumerate(zip(best.tolist(), exact.tolist())):
-                near = sorted((-c, i) for o, c in zip(others, cosines) for i in ids[run[o]])[:k]
-                own = ids[run[r]]
-                found.append((own[0], own, [i for _, i in near], [-c for c, _ in near]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), _FOUND)], schema=_FOUND)
+            itself = group - low if high else np.arange(len(group))
+            c = x[among]
+            m = min(k, len(among) - 1)
+            size = max(1, PRODUCTS // len(among))
+            for at in range(0, len(group), size):
+                run = group[at : at + size]
+                v = x[run]
+                sims = v @ c.T
+                sims[np.arange(len(run)), itself[at : at + size]] = -2
+                best = np.argpartition(sims, len(among) - m, axis=1)[:, len(among) - m :]
+                # the last digits of float32 products depend on the block: what is kept is computed again
+                exact = np.einsum("ij,ikj->ik", v.astype(np.float64), c[best].astype(np.float64))
+                found = []
+                for r, (others, cosines) in enumerate(zip(best.tolist(), exact.tolist())):
+                    near = sorted((-s, i) for o, s in zip(others, cosines) for i in ids[among[o]])[:k]
+                    own = ids[run[r]]
+                    found.append((own[0], own, [i for _, i in near], [-s for s, _ in near]))
+                yield pa.RecordBatch.from_arrays([pa.array(c_, f.type) for c_, f in zip(zip(*found), _FOUND)], schema=_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            tree = batch.column("tree").to_numpy(zero_copy_only=False)
-            for a, b in zip(*_edges(tree)):
+            cell = batch.column("cell").to_numpy(zero_copy_only=False)
+            for a, b in zip(*_edges(cell)):
                 part = batch.slice(a, b - a)
-                if held and held[-1].column("tree")[0].as_py() != tree[a]:
-                    yield from one_tree(pa.Table.from_batches(held))
+                if held and held[-1].column("cell")[0].as_py() != cell[a]:
+                    yield from one_cell(pa.Table.from_batches(held))
                     held = []
                 held.append(part)
         if held:
-            yield from one_tree(pa.Table.from_batches(held))
+            yield from one_cell(pa.Table.from_batches(held))
 
     return run
 
@@ -219,15 +271,17 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str =
     units = unit_vectors(vectors, id_column, vector_column)
     if units.isEmpty():
         return spark.createDataFrame([], "vec_id long, near_id long, rank int, cosine double")
-    directions, thresholds = projections(units)
+    directions, thresholds, sample = projections(units)
     # of each direction the k + 1 smallest ids answer for all; salted, as one direction may have any share of the rows
     narrow = units.select("same", "vec_id", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt"))
     few = _smallest(_smallest(narrow, k + 1, "same", "salt"), k + 1, "same").groupBy("same").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     entries = units.select("vec_id", "unit", "same").join(few, "same").where(F.col("vec_id") == F.get("ids", F.lit(0))).select("ids", "unit")
-    strings = entries.mapInArrow(_strings(directions, thresholds), _ENTRY)
-    runs = max(1, -(-vectors.count() * TREES // RUN))
-    placed = strings.repartitionByRange(runs, "tree", "string").sortWithinPartitions("tree", "string")
-    found = placed.mapInArrow(_search(k), "vec_id long, ids array<long>, near array<long>, cosine array<double>")
+    different = np.unique(sample, axis=0)
+    n = vectors.count() * len(different) // len(sample)
+    cells = [cells_of(of_tree, n) for of_tree in strings_of(different, directions, thresholds).T]
+    strings = entries.mapInArrow(_strings(directions, thresholds, cells), _ENTRY)
+    placed = strings.repartition(sum(map(len, cells)), "cell").sortWithinPartitions("cell", "string")
+    found = placed.mapInArrow(_search(k, CANDIDATES), "vec_id long, ids array<long>, near array<long>, cosine array<double>")
     merged = found.groupBy("vec_id").agg(F.first("ids").alias("ids"), F.collect_list("near").alias("nears"), F.collect_list("cosine").alias("cosines"))
     own = merged.mapInArrow(_merge(k), "vec_id long, near_id long, rank int, cosine double")
     # an id beyond the k + 1 smallest of its direction has the k smallest as neighbours

@@ -89,3 +89,18 @@ def test_recall_in_a_cluster_that_no_threshold_cuts(spark):
     recall = np.mean([len(found[i] & set(b)) / 5 for i, b in zip(asked, best.tolist())])
     print("recall", recall)
     assert recall >= 0.95
+
+
+def test_few_ascend_to_the_prefix_around():
+    """A small run is compared with the prefix around it, and no cell cuts a run."""
+    rng = np.random.default_rng(6)
+    strings = np.sort(np.concatenate([rng.integers(0, 1 << 10, 199), (1 << 20) + rng.integers(0, 9, 11)]))
+    for rows, low, high in V.queries(strings, np.zeros((len(strings), 2), np.float32), 200):
+        assert high - low >= 100 and low <= rows[0] and rows[-1] < high
+    many = rng.integers(0, 1 << V.BITS, 1000)
+    many[:5] = 7  # few far from the others: no cell of their own
+    many[5:500] |= 1 << (V.BITS - 1)
+    many[500:] = many[500:] >> 20
+    starts = V.cells_of(many, 100_000)
+    sizes = np.bincount(np.searchsorted(starts, many, side="right") - 1)
+    assert len(starts) > 3 and sizes.min() >= 20 and sizes.sum() == 1000
