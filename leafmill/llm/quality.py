@@ -6,8 +6,9 @@ facts for each result; what follows works on these.
 Problem 3. The sentences of small main texts are masked (numbers and tokens
 with digits) and parsed into a prefix tree of fixed depth, whose leaves merge
 sentences that differ in few tokens into templates. A template is classified
-once: as a message by what it says, if it is the text of pages on many hosts, or
-if it stands beside messages wherever it occurs. The verdict goes back to the
+once: as a message by what it says, if it is the text of pages on many hosts
+that differ in their other sentences (copies of a short article do not), or if it
+stands beside messages wherever it occurs. The verdict goes back to the
 results: one is residue if most of its words stand in messages; what stands in
 quotation marks is no message of the page. Filler and unresolved slots are found
 in every main text.
@@ -32,14 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.bodies import resemblance, sketch
 from leafmill.llm.corpus import hash64
 from leafmill.llm.main_text import bare, main_lines, page_nodes
 from leafmill.session import written
 
 #: Words up to which a main text may be nothing but messages.
 SMALL_WORDS = 150
-#: Hosts on whose pages a sentence stands as body: more than copies of one short article reach.
+#: Hosts on whose pages a sentence stands as body, ...
 MIN_HOSTS = 10
+#: ... where the other sentences of two of these pages have less than this in common, on average: no copies of one article.
+ALIKE = 0.25
 #: Tokens that lead to a leaf after their number, and share of tokens in which a template's sentences agree.
 DEPTH = 2
 AGREEMENT = 0.7
@@ -338,6 +342,25 @@ def _mine(leaf: pd.DataFrame) -> pd.DataFrame:
     return leaf[["sentence", "template", "hosts"]]
 
 
+def _others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            least = [sketch(s) for s in part.column("others").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("template"), pa.array(least, pa.list_(pa.int32()))], ["template", "least"])
+
+
+def in_differing_bodies(rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(template) of ``frequent`` (sentence, template) whose pages differ in their other sentences.
+
+    A sentence that is all of its pages says nothing of what stands beside it, and does not count.
+    """
+    pages = rows.join(frequent, "sentence").groupBy("result_id", "template").agg(F.collect_set("sentence").alias("own"))
+    bodies = rows.join(pages.select("result_id").distinct(), "result_id", "left_semi").groupBy("result_id").agg(F.collect_set("sentence").alias("all"))
+    others = pages.join(bodies, "result_id").select("template", F.array_except("all", "own").alias("others"))
+    return resemblance(others.mapInArrow(_others, "template string, least array<int>"), "template").where(F.col("alike") < ALIKE).select("template")
+
+
 def message_sentences(parts: DataFrame) -> DataFrame:
     """(sentence) of every message among ``parts`` (result_id, domain, sentence).
 
@@ -355,7 +378,8 @@ def message_sentences(parts: DataFrame) -> DataFrame:
     placed = readable.join(crowded, "leaf", "left").withColumn("leaf", F.when(F.col("_n").isNull(), F.col("leaf")).otherwise(deeper)).drop("_n")
     mined = placed.groupBy("leaf").applyInPandas(_mine, "sentence string, template string, hosts long")
     hosts = mined.groupBy("template").agg(F.max("hosts").alias("all_hosts"))
-    often = mined.join(hosts, "template").where((F.col("all_hosts") >= MIN_HOSTS) & (F.size(tokens) >= 3)).select("sentence")
+    frequent = written(mined.join(hosts, "template").where((F.col("all_hosts") >= MIN_HOSTS) & (F.size(tokens) >= 3)).select("sentence", "template"))
+    often = frequent.join(in_differing_bodies(rows, frequent), "template", "left_semi").select("sentence")
     says = seen.where(F.col("sentence").rlike("(?i)" + MESSAGES.pattern) & (F.size(tokens) <= 16)).select("sentence")
     known = written(often.unionByName(says).distinct())
     pages = rows.join(known, "sentence", "left_semi").select("result_id").distinct().withColumn("has", F.lit(1))

@@ -155,6 +155,16 @@ def test_templates_of_a_leaf():
     assert quality.merge_leaf(["quote the <*> now please", "quote the code now please", "quote all of it never"]) == ["quote the <*> now please"] * 2 + ["quote all of it never"]
 
 
+def test_a_short_article_on_50_hosts_is_no_message(spark):
+    """Copies have one text beside each sentence; a notice that no phrase list knows stands beside different ones."""
+    rng = random.Random(7)
+    copy = "# A title\n\n" + article(rng, 60)
+    notice = "Members of the club can read all of it after they sign in at the door."
+    texts = [copy] * 50 + [f"# {rng.choice(WORDS)} {rng.choice(WORDS)} {rng.choice(WORDS)}\n\n{notice}" for _ in range(50)]
+    c, p = tables(spark, texts, hosts=50)
+    assert sorted(r[0] for r in quality.residue_results(c, p).collect()) == list(range(50, 100))
+
+
 # ---- 8 and 9 ------------------------------------------------------------------
 
 TEXTS = ["", None, " ", "Hello  world's 12,5 €\r\n\t日本 é", "<|endoftext|>", "a" * 3000, " " * 500, "\x1c\x85\xa0x", "🙂" * 50, "mixed ASCII and ünïcode 123abc"]
