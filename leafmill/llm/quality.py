@@ -3,10 +3,11 @@
 Both judge the main text (problem 7). One pass over the pages makes a row of
 facts for each result; what follows works on these.
 
-Problem 3. The sentences of small main texts are masked (numbers and tokens
-with digits) and parsed into a prefix tree of fixed depth, whose leaves merge
-sentences that differ in few tokens into templates. A template is classified
-once: as a message by what it says, if it is the text of pages on many hosts
+Problem 3. The sentences of all main texts are masked (numbers and tokens with
+digits) and parsed into a prefix tree of fixed depth. Sentences of a leaf that
+differ in few tokens are one template; only leaves with a sentence that may make
+a template a message are mined. A template is classified once for all its
+sentences: as a message by what it says, if it is the text of pages on many hosts
 that differ in their other sentences (copies of a short article do not), or if it
 stands beside messages wherever it occurs. The verdict goes back to the
 results: one is residue if most of its words stand in messages; what stands in
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.bodies import resemblance, sketch
-from leafmill.llm.corpus import hash64
+from leafmill.llm.corpus import hash64, rows_to_batches
 from leafmill.llm.main_text import bare, main_lines, page_nodes
 from leafmill.session import written
 
@@ -47,11 +48,11 @@ ALIKE = 0.25
 #: Tokens that lead to a leaf after their number, and share of tokens in which a template's sentences agree.
 DEPTH = 2
 AGREEMENT = 0.7
-#: Sentences of a leaf; where there are more, the next tokens lead on to deeper leaves.
-LEAF = 2000
-DEEPER = 6
-#: A sentence is a message if at least so much of its pages, two or more, have a known one.
+#: A sentence is a message if at least so much of its pages, two or more, have known ones, which hold so much of their words.
 BESIDE = 0.8
+BESIDE_WORDS = 0.25
+#: Share of a template's sentences that say something of a message, if it is one.
+SAYING = 0.5
 #: Share of the words that makes a text residue.
 RESIDUE = 0.5
 #: Unresolved slots of a text that was never filled in: so many, and so many for each word; an article that quotes some has fewer.
@@ -298,8 +299,8 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for rid, lines in main_lines(noted(batches)):
         stats = statistics(lines)
-        small = body_sentences(lines) if stats.words <= SMALL_WORDS else []
-        held.append((rid, domains.pop(rid), *(getattr(stats, f.name) for f in fields(Stats)), [s for s, _ in small], [n for _, n in small]))
+        sentences = body_sentences(lines) if stats.words <= SMALL_WORDS else []
+        held.append((rid, domains.pop(rid), *(getattr(stats, f.name) for f in fields(Stats)), [s for s, _ in sentences], [n for _, n in sentences]))
         if len(held) >= 2000:
             yield _arrow(held)
             held = []
@@ -312,7 +313,7 @@ def _arrow(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def text_facts(conversions: DataFrame, pages: DataFrame) -> DataFrame:
-    """One row of facts for each result with text: statistics of its main text, and its sentences if it is small."""
+    """One row of facts for each result with text: statistics of its main text, and its sentences."""
     return written(page_nodes(conversions, pages).mapInArrow(_facts, _FACTS_SQL))
 
 
@@ -336,10 +337,27 @@ def merge_leaf(sentences: list[str]) -> list[str]:
     return [" ".join(templates[i]) for i in place]
 
 
-def _mine(leaf: pd.DataFrame) -> pd.DataFrame:
+def _templates(leaf: pd.DataFrame) -> pd.DataFrame:
     leaf = leaf.sort_values(["hosts", "sentence"], ascending=[False, True])
-    leaf["template"] = merge_leaf(leaf["sentence"].tolist())
-    return leaf[["sentence", "template", "hosts"]]
+    templates = sorted(set(merge_leaf(leaf["sentence"].tolist())))
+    return pd.DataFrame({"leaf": leaf["leaf"].iloc[:1], "templates": [templates]})
+
+
+_MINED = pa.schema([("sentence", pa.string()), ("template", pa.string()), ("hosts", pa.int64()), ("says", pa.bool_())])
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each sentence with the template of its leaf that it agrees with best, if with any."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for sentence, hosts, says, templates in zip(*(batch.column(c).to_pylist() for c in ("sentence", "hosts", "says", "templates"))):
+                tokens = sentence.split(" ")
+                agree, template = max((sum(a == b for a, b in zip(t.split(" "), tokens)), t) for t in templates)
+                if agree >= AGREEMENT * len(tokens):
+                    yield sentence, template, hosts, says
+
+    return rows_to_batches(rows(), _MINED)
 
 
 def _others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,29 +380,33 @@ def in_differing_bodies(rows: DataFrame, frequent: DataFrame) -> DataFrame:
 
 
 def message_sentences(parts: DataFrame) -> DataFrame:
-    """(sentence) of every message among ``parts`` (result_id, domain, sentence).
+    """(sentence) of every message among ``parts`` (result_id, domain, words, sentence, n).
 
-    Only sentences of several pages reach a leaf, so a leaf has few; a sentence of
-    one page is judged by what it says.
+    What says something of a message, or stands on many hosts, makes the templates
+    of its leaf; every sentence of the leaf, of one page or many, is matched with these.
     """
-    rows = parts.where(~F.col("sentence").startswith('"')).distinct()
-    seen = rows.groupBy("sentence", "domain").agg(F.count("*").alias("n")).groupBy("sentence").agg(F.count("*").alias("hosts"), F.sum("n").alias("n"))
+    rows = parts.where(~F.col("sentence").startswith('"')).groupBy("result_id", "domain", "sentence").agg(F.sum("n").alias("n"), F.max("words").alias("words"))
     tokens = F.split("sentence", " ")
     slots = F.size(F.filter(tokens, lambda t: t == "<*>"))
     leaf = F.concat_ws(" ", F.size(tokens), *(F.get(tokens, F.lit(i)) for i in range(DEPTH)))
-    readable = seen.where((F.col("n") > 1) & (slots * 2 <= F.size(tokens))).withColumn("leaf", leaf)
-    crowded = readable.groupBy("leaf").agg(F.count("*").alias("_n")).where(F.col("_n") > LEAF)
-    deeper = F.concat_ws(" ", "leaf", *(F.get(tokens, F.lit(i)) for i in range(DEPTH, DEEPER)))
-    placed = readable.join(crowded, "leaf", "left").withColumn("leaf", F.when(F.col("_n").isNull(), F.col("leaf")).otherwise(deeper)).drop("_n")
-    mined = placed.groupBy("leaf").applyInPandas(_mine, "sentence string, template string, hosts long")
-    hosts = mined.groupBy("template").agg(F.max("hosts").alias("all_hosts"))
-    frequent = written(mined.join(hosts, "template").where((F.col("all_hosts") >= MIN_HOSTS) & (F.size(tokens) >= 3)).select("sentence", "template"))
-    often = frequent.join(in_differing_bodies(rows, frequent), "template", "left_semi").select("sentence")
-    says = seen.where(F.col("sentence").rlike("(?i)" + MESSAGES.pattern) & (F.size(tokens) <= 16)).select("sentence")
-    known = written(often.unionByName(says).distinct())
-    pages = rows.join(known, "sentence", "left_semi").select("result_id").distinct().withColumn("has", F.lit(1))
-    beside = rows.join(pages, "result_id", "left").groupBy("sentence").agg(F.count("*").alias("n"), F.count("has").alias("with"))
-    beside = beside.where((F.col("n") > 1) & (F.col("with") >= BESIDE * F.col("n"))).select("sentence")
+    seen = rows.groupBy("sentence", "domain").agg(F.count("*").alias("n")).groupBy("sentence").agg(F.count("*").alias("hosts"), F.sum("n").alias("n"))
+    says = F.col("sentence").rlike("(?i)" + MESSAGES.pattern) & (F.size(tokens) <= 16)
+    seen = written(seen.withColumns({"says": says, "leaf": leaf, "readable": slots * 2 <= F.size(tokens)}))
+    often = (F.col("hosts") >= MIN_HOSTS) & (F.size(tokens) >= 3)
+    seeds = seen.where(F.col("readable") & (F.col("says") | often))
+    templates = seeds.groupBy("leaf").applyInPandas(_templates, "leaf string, templates array<string>")
+    met = seen.where("readable").join(templates, "leaf").select("sentence", "hosts", "says", "templates")
+    mined = written(met.mapInArrow(_matched, "sentence string, template string, hosts long, says boolean"))
+    kinds = mined.groupBy("template").agg(F.max("hosts").alias("all_hosts"), F.avg(F.col("says").cast("int")).alias("saying"))
+    frequent = written(mined.join(kinds.where(F.col("all_hosts") >= MIN_HOSTS), "template").where(F.size(tokens) >= 3).select("sentence", "template"))
+    messages = kinds.where(F.col("saying") >= SAYING).select("template").unionByName(in_differing_bodies(rows, frequent))
+    told = mined.join(messages, "template", "left_semi").select("sentence")
+    known = written(told.unionByName(seen.where("says").select("sentence")).distinct())
+    pages = rows.join(known, "sentence", "left_semi").groupBy("result_id").agg(F.sum("n").alias("told"), F.max("words").alias("words"))
+    pages = pages.where(F.col("told") >= BESIDE_WORDS * F.col("words")).select("result_id", F.lit(1).alias("has"))
+    # only a sentence of such a page may stand beside messages
+    near = rows.join(pages, "result_id").groupBy("sentence").agg(F.count("*").alias("with"))
+    beside = seen.join(near, "sentence").where((F.col("n") > 1) & (F.col("with") >= BESIDE * F.col("n"))).select("sentence")
     return known.unionByName(beside).distinct()
 
 
@@ -392,7 +414,7 @@ def residue(facts: DataFrame) -> DataFrame:
     """(result_id) of the results whose main text is residue."""
     parts = facts.where(F.size("sentences") > 0).select("result_id", "domain", "words", F.explode(F.arrays_zip("sentences", "sentence_words")).alias("s"))
     parts = parts.select("result_id", "domain", "words", F.col("s.sentences").alias("sentence"), F.col("s.sentence_words").alias("n"))
-    found = message_sentences(parts.select("result_id", "domain", "sentence"))
+    found = message_sentences(parts)
     told = parts.join(found, "sentence", "left_semi").groupBy("result_id").agg(F.sum("n").alias("told"), F.max("words").alias("words"))
     messages = told.where(F.col("told") >= RESIDUE * F.col("words")).select("result_id")
     by_form = facts.where((F.col("words") > 0) & ((F.col("filler") >= RESIDUE) | ((F.col("slots") >= MIN_SLOTS) & (F.col("slots") >= SLOT_RATE * F.col("words"))))).select("result_id")

@@ -165,6 +165,15 @@ def test_a_short_article_on_50_hosts_is_no_message(spark):
     assert sorted(r[0] for r in quality.residue_results(c, p).collect()) == list(range(50, 100))
 
 
+def test_a_verdict_holds_for_all_sentences_of_a_template(spark):
+    """Each sentence is on one page; what most of a template's say is said of the one that says it in no listed words."""
+    texts = [f"The request ended in a server error near {w} today, dear friends." for w in WORDS[:8]]
+    texts += [f"The request ended in a tunnel error near {WORDS[20]} today, dear friends."]
+    texts += [f"The request came from a quiet town near {WORDS[21]} many years ago."]
+    c, p = tables(spark, texts)
+    assert sorted(r[0] for r in quality.residue_results(c, p).collect()) == list(range(9))
+
+
 # ---- 8 and 9 ------------------------------------------------------------------
 
 TEXTS = ["", None, " ", "Hello  world's 12,5 €\r\n\t日本 é", "<|endoftext|>", "a" * 3000, " " * 500, "\x1c\x85\xa0x", "🙂" * 50, "mixed ASCII and ünïcode 123abc"]
