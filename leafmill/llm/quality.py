@@ -39,8 +39,6 @@ from leafmill.llm.corpus import hash64, rows_to_batches
 from leafmill.llm.main_text import bare, main_lines, page_nodes
 from leafmill.session import written
 
-#: Words up to which a main text may be nothing but messages.
-SMALL_WORDS = 150
 #: Hosts on whose pages a sentence stands as body, ...
 MIN_HOSTS = 10
 #: ... where the other sentences of two of these pages have less than this in common, on average: no copies of one article.
@@ -299,7 +297,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for rid, lines in main_lines(noted(batches)):
         stats = statistics(lines)
-        sentences = body_sentences(lines) if stats.words <= SMALL_WORDS else []
+        sentences = body_sentences(lines)
         held.append((rid, domains.pop(rid), *(getattr(stats, f.name) for f in fields(Stats)), [s for s, _ in sentences], [n for _, n in sentences]))
         if len(held) >= 2000:
             yield _arrow(held)

@@ -174,6 +174,15 @@ def test_a_verdict_holds_for_all_sentences_of_a_template(spark):
     assert sorted(r[0] for r in quality.residue_results(c, p).collect()) == list(range(9))
 
 
+def test_a_long_page_of_messages(spark):
+    """However long, a body of messages is residue; a long article that tells of some is not."""
+    rng = random.Random(9)
+    messages = " ".join(f"Access denied to the {rng.choice(WORDS)} {rng.choice(WORDS)} of the {rng.choice(WORDS)}." for _ in range(40))
+    texts = ["# Title\n\n" + messages, "# Title\n\n" + article(rng, 400) + " Access denied was what the page said to all of us.", "# Title\n\n" + article(rng, 400)]
+    c, p = tables(spark, [*texts, texts[1]])
+    assert [r[0] for r in quality.residue_results(c, p).collect()] == [0]
+
+
 # ---- 8 and 9 ------------------------------------------------------------------
 
 TEXTS = ["", None, " ", "Hello  world's 12,5 €\r\n\t日本 é", "<|endoftext|>", "a" * 3000, " " * 500, "\x1c\x85\xa0x", "🙂" * 50, "mixed ASCII and ünïcode 123abc"]
