@@ -183,6 +183,16 @@ def test_a_long_page_of_messages(spark):
     assert [r[0] for r in quality.residue_results(c, p).collect()] == [0]
 
 
+def test_the_posterior_is_that_of_the_kind_reported(spark):
+    """A list guessed prose shows how little the posterior has for a list."""
+    row = {"in_list": 0.55, "common_words": 0.3, "in_sentences": 0.6, "mean_word_length": 5.0, "symbol_ratio": 0.02, "ended_lines": 0.9}
+    plain = row | {"in_list": 0.0}
+    names = ["words", "in_list", "in_table", "common_words", "in_sentences", "mean_word_length", "symbol_ratio", "ended_lines", "longest_token", "wide"]
+    facts = spark.createDataFrame([(100, *(float(x.get(n, 0)) for n in names[1:])) for x in [plain] * 50 + [row]], names)
+    kinds = {r["body_kind"]: r["posterior"] for r in quality.text_types(facts).collect()}
+    assert set(kinds) == {"prose", "list"} and kinds["list"] < 0.5 < kinds["prose"]
+
+
 # ---- 8 and 9 ------------------------------------------------------------------
 
 TEXTS = ["", None, " ", "Hello  world's 12,5 €\r\n\t日本 é", "<|endoftext|>", "a" * 3000, " " * 500, "\x1c\x85\xa0x", "🙂" * 50, "mixed ASCII and ünïcode 123abc"]
