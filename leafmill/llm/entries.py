@@ -45,6 +45,7 @@ def queries() -> dict[str, Query]:
         "p8_ids": lambda spark, d: tokens.token_ids(table(spark, d, "documents")),
         "p9_containers": lambda spark, d: packing.packed_documents(table(spark, d, "documents")),
         "p10_found": _subjects,
+        "p10_posteriors": lambda spark, d: subjects.subject_posteriors(*(table(spark, d, t) for t in ("documents", "subject_labels", "subject_areas"))),
         "p10_composition": lambda spark, d: subjects.composition(_subjects(spark, d)),
     }
 

@@ -14,8 +14,9 @@ texts are hashed once and kept in the shared checkpoint folder for the passes.
 from __future__ import annotations
 
 import re
-import uuid
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.corpus import rows_to_batches, settled, unique
-from leafmill.session import checkpoint_dir
+from leafmill.llm.corpus import settled, unique
+from leafmill.session import written
 
 #: Buckets of the hashed vocabulary.
 BUCKETS = 1 << 17
@@ -51,23 +52,32 @@ MISLABELLED = 0.03
 #: Words of a sentence, at least.
 MIN_WORDS = 4
 
+#: Documents that are worked on at once: what they need stays in the processor's cache.
+AT_ONCE = 400
+#: Counts that are held before they are added up.
+HELD = 2_000_000
+
 _FRONT = re.compile(r"\A\s*---\n.*?\n---\n", re.S)
 _CODE = re.compile(r"^```.*?^```[^\n]*$", re.S | re.M)
 _LINK = re.compile(r"https?://\S+")
-_BREAK = re.compile(r"\n(?:\s*\n\s*|(?=\s*(?:[-*•–—+#>|]|\d+[.)]\s)))|(?<=[.!?…。！？])[\"”’»)]*\s+|(?<=[。！？])")
+_BREAK = re.compile(r"\n(?:\s*\n\s*|(?=\s*(?:[-*•–—+#>|]|\d+[.)]\s)))|[.!?…][\"”’»)]*\s+|[。！？][\"”’»)]*\s*")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
 
 def sentences(text: str) -> list[list[str]]:
     """The words, in lower case, of each readable sentence: no front matter, code, headings or tables."""
-    text = _LINK.sub(" ", _CODE.sub("\n\n", _FRONT.sub("", text.replace("\r\n", "\n").replace("\r", "\n"))))
+    if "\r" in text:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if "---" in text:
+        text = _FRONT.sub("", text)
+    if "```" in text:
+        text = _CODE.sub("\n\n", text)
+    if "://" in text:
+        text = _LINK.sub(" ", text)
     out = []
-    for part in _BREAK.split(text):
-        part = part.strip()
-        if part and part[0] not in "#|":
-            words = _WORD.findall(part.lower())
-            if len(words) >= MIN_WORDS:
-                out.append(words)
+    for part in _BREAK.split(text.lower()):
+        if len(words := _WORD.findall(part)) >= MIN_WORDS and part.lstrip()[0] not in "#|":
+            out.append(words)
     return out
 
 
@@ -78,28 +88,37 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, text in unique(batches, "doc_id", "text"):
             words: list[int] = []
             ends: list[int] = []
+            if len(bucket) > 300_000:
+                bucket.clear()
             for sentence in sentences(text or ""):
-                for w in set(sentence):
-                    b = bucket.get(w)
-                    if b is None:
-                        if len(bucket) > 300_000:
-                            bucket.clear()
-                        b = bucket[w] = xxhash.xxh32_intdigest(w) % BUCKETS
-                    words.append(b)
+                own = set(sentence)
+                for w in own.difference(bucket):
+                    bucket[w] = xxhash.xxh32_intdigest(w) % BUCKETS
+                words += map(bucket.__getitem__, own)
                 ends.append(len(words))
             if ends:
-                yield doc, words, ends
+                yield doc, array("i", words), array("i", ends)
+
+    return _feature_batches(rows())
+
+
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("words", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+
 
-    return rows_to_batches(rows(), pa.schema([("doc_id", pa.int64()), ("words", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))]), 1000)
+def _feature_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, 1000)):
+        lists = []
+        for column in (1, 2):
+            values = [np.frombuffer(r[column], np.int32) for r in part]
+            offsets = np.cumsum([0, *map(len, values)], dtype=np.int32)
+            lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values))))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), *lists], schema=_FEATURES)
 
 
 def hashed_sentences(documents: DataFrame) -> DataFrame:
     """(doc_id, words, ends): hashed words, and where each sentence ends among them; written once."""
-    spark = documents.sparkSession
     rows = settled(documents.select("doc_id", "text"), "doc_id").where("doc_id is not null").repartition("doc_id")
-    path = f"{checkpoint_dir(spark)}/sentences-{uuid.uuid4().hex}"
-    rows.mapInArrow(_features, "doc_id long, words array<int>, ends array<int>").write.parquet(path)
-    return spark.read.schema("doc_id long, words array<int>, ends array<int>").parquet(path)
+    return written(rows.mapInArrow(_features, "doc_id long, words array<int>, ends array<int>"))
 
 
 def _scores(batch: pa.RecordBatch, weights: np.ndarray | None, subjects: int) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -116,9 +135,13 @@ def _scores(batch: pa.RecordBatch, weights: np.ndarray | None, subjects: int) ->
     return docs, count, scores, flat, start
 
 
-def _only(batch: pa.RecordBatch, docs: dict | set) -> pa.RecordBatch:
-    """The rows of some documents."""
-    return batch.take(pa.array([i for i, d in enumerate(batch.column(0).to_pylist()) if d in docs], pa.int64()))
+def _slices(batches: Iterator[pa.RecordBatch], docs: dict | set | None) -> Iterator[pa.RecordBatch]:
+    """The rows, of some documents or of all, ``AT_ONCE`` at a time."""
+    for batch in batches:
+        if docs is not None:
+            batch = batch.take(pa.array([i for i, d in enumerate(batch.column(0).to_pylist()) if d in docs], pa.int64()))
+        for at in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(at, AT_ONCE)
 
 
 def _posteriors(scores: np.ndarray) -> np.ndarray:
@@ -132,11 +155,10 @@ def _count(weights: np.ndarray | None, labels: dict[int, list[int]], subjects: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(BUCKETS * subjects)
-        for batch in batches:
-            if weights is None:
-                batch = _only(batch, labels)
-            if not batch.num_rows:
-                continue
+        cells: list[np.ndarray] = []
+        shares: list[np.ndarray] = []
+        waiting = 0
+        for batch in _slices(batches, labels if weights is None else None):
             docs, count, scores, flat, start = _scores(batch, weights, subjects)
             if weights is None:
                 mask = np.zeros((len(docs), subjects))
@@ -154,7 +176,14 @@ def _count(weights: np.ndarray | None, labels: dict[int, list[int]], subjects: i
             length = (start[1:] - start[:-1])[i]
             ends = np.cumsum(length)
             at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[i] - ends + length, length)
-            held += np.bincount(flat[at].astype(np.int64) * subjects + np.repeat(c, length), np.repeat(p[i, c], length), len(held))
+            cells.append(flat[at] * np.int32(subjects) + np.repeat(c.astype(np.int32), length))
+            shares.append(np.repeat(p[i, c], length))
+            waiting += len(at)
+            if waiting > HELD:
+                held += np.bincount(np.concatenate(cells), np.concatenate(shares), len(held))
+                cells, shares, waiting = [], [], 0
+        if waiting:
+            held += np.bincount(np.concatenate(cells), np.concatenate(shares), len(held))
         held = held.reshape(BUCKETS, subjects).astype(np.float32)
         some = np.flatnonzero(held.any(axis=1))
         for at in range(0, len(some), 20_000):
@@ -198,23 +227,33 @@ def _per_document(values: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, np.cumsum(count) - count, axis=0) if len(count) else np.zeros((0, values.shape[1]))
 
 
-def _shares(weights: np.ndarray, only: set[int] | None, cut: np.ndarray | None, names: list[str] | None):
-    """Share of each subject among the sentences on any: of the documents in ``only``, or the subjects above ``cut``."""
+def _share(batch: pa.RecordBatch, weights: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """doc_id, and the share of each subject among the sentences on any."""
+    docs, count, scores, _flat, _start = _scores(batch, weights, weights.shape[1])
+    hits = _per_document(_hits(scores), count)
+    return docs, hits / np.maximum(hits.sum(axis=1, keepdims=True), 1)
+
+
+def _shares(weights: np.ndarray, only: dict[int, list[int]]):
+    """Shares of the subjects of the documents in ``only``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if only is not None:
-                batch = _only(batch, only)
-            if not batch.num_rows:
-                continue
-            docs, count, scores, _flat, _start = _scores(batch, weights, weights.shape[1])
-            hits = _per_document(_hits(scores), count)
-            share = hits / np.maximum(hits.sum(axis=1, keepdims=True), 1)
-            if only is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(share.tolist(), pa.list_(pa.float64()))], ["doc_id", "share"])
-            else:
-                i, c = np.nonzero((share >= cut) & (hits > 0))
-                yield pa.RecordBatch.from_arrays([pa.array([docs[k] for k in i], pa.int64()), pa.array([names[k] for k in c], pa.string())], ["doc_id", "subject"])
+        for batch in _slices(batches, only):
+            docs, share = _share(batch, weights)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(share.tolist(), pa.list_(pa.float64()))], ["doc_id", "share"])
+
+    return run
+
+
+def _judged(weights: np.ndarray, slope: np.ndarray, cut: np.ndarray, names: list[str]):
+    """The calibrated posterior of each subject that a document has any sentence on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, None):
+            docs, share = _share(batch, weights)
+            i, c = np.nonzero(share)
+            posterior = 1 / (1 + np.exp(-slope[c] * (share[i, c] - cut[c])))
+            yield pa.RecordBatch.from_arrays([pa.array([docs[k] for k in i], pa.int64()), pa.array([names[k] for k in c], pa.string()), pa.array(posterior)], ["doc_id", "subject", "posterior"])
 
     return run
 
@@ -244,17 +283,13 @@ class SubjectModel:
 
 
 def labelled(labels: DataFrame, names: list[str]) -> dict[int, list[int]]:
-    """Subjects of at most ``MAX_LABELLED`` labelled documents, drawn by a hash of doc_id."""
-    rows = (
-        labels.where(F.col("doc_id").isNotNull() & F.col("subject").isin(names))
-        .groupBy("doc_id")
-        .agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(MAX_LABELLED)
-        .collect()
-    )
-    at = {n: i for i, n in enumerate(names)}
-    return {r["doc_id"]: [at[s] for s in r["subjects"]] for r in rows}
+    """Subjects of ``MAX_LABELLED`` labelled documents or, of more, of about so many, drawn by a hash of doc_id."""
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col("subject").isin(names)).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
+    n = rows.count()
+    if n > MAX_LABELLED:  # a threshold on the hash: tasks send what is drawn and no more
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int((1 << 32) * MAX_LABELLED / n))
+    at = {name: i for i, name in enumerate(names)}
+    return {r["doc_id"]: [at[s] for s in r["subjects"]] for r in rows.collect()}
 
 
 def fit(features: DataFrame, labels: DataFrame, areas: DataFrame, hold_out: int = 0) -> SubjectModel:
@@ -267,7 +302,7 @@ def fit(features: DataFrame, labels: DataFrame, areas: DataFrame, hold_out: int
     weights = complement_weights(_counts(features, None, known, k), MIN_LABELLED)
     for _ in range(ROUNDS):
         weights = complement_weights(_counts(features, weights, known, k))
-    rows = features.mapInArrow(_shares(weights, set(known), None, None), "doc_id long, share array<double>").collect()
+    rows = features.mapInArrow(_shares(weights, known), "doc_id long, share array<double>").collect()
     share = np.array([r["share"] for r in rows]).reshape(-1, k)
     truth = np.zeros_like(share)
     for i, r in enumerate(rows):
@@ -277,18 +312,25 @@ def fit(features: DataFrame, labels: DataFrame, areas: DataFrame, hold_out: int
     return SubjectModel(weights, names, np.array([f[0] for f in fits]), np.array([f[1] for f in fits]))
 
 
-def document_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame, hold_out: int = 0) -> DataFrame:
-    """(doc_id, subject): a row for each subject whose posterior is one half or more.
+def subject_posteriors(documents: DataFrame, labels: DataFrame, areas: DataFrame, hold_out: int = 0) -> DataFrame:
+    """(doc_id, subject, posterior) of each subject that a document has any sentence on.
 
-    A null, empty or unreadable text has no row; repeated rows count once; without
-    labels or areas nothing can be learned, and the result is empty.
+    Posteriors of a document's subjects are independent and need not add up to one. A null, empty
+    or unreadable text has no row; repeated rows count once; without labels or areas nothing can be
+    learned, and the result is empty.
     """
     spark = documents.sparkSession
+    schema = "doc_id long, subject string, posterior double"
     if areas.where("subject is not null").isEmpty() or labels.isEmpty():
-        return spark.createDataFrame([], "doc_id long, subject string")
+        return spark.createDataFrame([], schema)
     features = hashed_sentences(documents)
     model = fit(features, labels, areas, hold_out)
-    return features.mapInArrow(_shares(model.weights, None, model.cut, model.names), "doc_id long, subject string")
+    return features.mapInArrow(_judged(model.weights, model.slope, model.cut, model.names), schema)
+
+
+def document_subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame, hold_out: int = 0) -> DataFrame:
+    """(doc_id, subject): a row for each subject whose posterior is one half or more."""
+    return subject_posteriors(documents, labels, areas, hold_out).where("posterior >= 0.5").select("doc_id", "subject")
 
 
 def composition(found: DataFrame) -> DataFrame:
