@@ -3,16 +3,7 @@
 Both judge the main text (problem 7). One pass over the pages makes a row of
 facts for each result; what follows works on these.
 
-Problem 3. The sentences of all main texts are masked (numbers and tokens with
-digits) and parsed into a prefix tree of fixed depth. Sentences of a leaf that
-differ in few tokens are one template; only leaves with a sentence that may make
-a template a message are mined. A template is classified once for all its
-sentences: as a message by what it says, if it is the text of pages on many hosts
-that differ in their other sentences (copies of a short article do not), or if it
-stands beside messages wherever it occurs. The verdict goes back to the
-results: one is residue if most of its words stand in messages; what stands in
-quotation marks is no message of the page. Filler and unresolved slots are found
-in every main text.
+Problem 3 is in ``messages``.
 
 Problem 6. Statistics of a text, each against a threshold, vote for prose, list,
 table or junk, or abstain. How far each is to be believed is learned by
@@ -30,37 +21,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.bodies import resemblance, sketch
-from leafmill.llm.corpus import hash64, rows_to_batches
-from leafmill.llm.main_text import bare, main_lines, page_nodes
+from leafmill.llm import messages
+from leafmill.llm.corpus import rows_to_batches
+from leafmill.llm.main_text import main_lines, page_nodes
+from leafmill.llm.messages import merge_leaf, residue  # noqa: F401
 from leafmill.session import written
 
-#: Hosts on whose pages a sentence stands as body, ...
-MIN_HOSTS = 10
-#: ... where the other sentences of two of these pages have less than this in common, on average: no copies of one article.
-ALIKE = 0.25
-#: Tokens that lead to a leaf after their number, and share of tokens in which a template's sentences agree.
-DEPTH = 2
-AGREEMENT = 0.7
-#: A sentence is a message if at least so much of its pages, two or more, have known ones, which hold so much of their words.
-BESIDE = 0.8
-BESIDE_WORDS = 0.25
-#: Share of a template's sentences that say something of a message, if it is one.
-SAYING = 0.5
-#: Share of the words that makes a text residue.
-RESIDUE = 0.5
-#: Unresolved slots of a text that was never filled in: so many, and so many for each word; an article that quotes some has fewer.
-MIN_SLOTS = 3
-SLOT_RATE = 0.03
 #: Share of the words that makes a text a list or a table.
 MOST = 0.5
 
-# The words of the usual filler paragraph and its usual additions.
+#: Words of the usual filler paragraph and its usual additions.
 FILLER = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua "
     "enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in "
@@ -68,7 +42,7 @@ FILLER = frozenset(
     "qui officia deserunt mollit anim id est laborum vestibulum faucibus pulvinar viverra ornare porta tellus mauris vivamus "
     "pellentesque habitant morbi tristique senectus netus malesuada fames ac turpis egestas curabitur praesent".split()
 )
-# Frequent function words of English, German and Spanish.
+#: Frequent function words of English, German and Spanish.
 COMMON = frozenset(
     "the of and to in a is that it for was on are as with his they be at one have this from or had by but some what there we can out "
     "other were all your when up use how said an each she which do their if will about many then them would so these her has him no "
@@ -78,33 +52,13 @@ COMMON = frozenset(
     "el la los las de que y en un una por con no su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando "
     "todo esta ser son dos también fue había era muy hasta desde se porque según aunque luego donde".split()
 )
-# What error, access and script notices and template texts say, in English, German and Spanish.
-MESSAGES = re.compile(
-    r"not found|no(?:thing| longer)? (?:here|available|exists?|offered)|could not be (?:found|located|loaded|displayed)|access denied|forbidden|"
-    r"(?:do|does) not have permission|bad gateway|server error|error \d{3}|\d{3} error|^error$|service (?:temporarily )?unavailable|too many requests|"
-    r"(?:session|link|account) (?:has )?(?:been |is )?(?:expired|suspended|broken)|under maintenance|planned work|please try again|request was blocked|"
-    r"something went wrong|content is gone|upstream server|unexpected condition|start page|search box above|"
-    r"(?:enable|turn on|activate|needs?|without|requires?) (?:java)?scripts?\b|javascript|noscript|are (?:you )?(?:a )?human|captcha|security check|"
-    r"checking your browser|just a moment|please wait|one more step|lorem ipsum|(?:your|sample|example|placeholder|dummy) (?:own )?(?:text|words|heading|title|page|paragraph|name|logo)\b|"
-    r"(?:text|caption|title|heading|content|image|logo|name|description)s? (?:goes |comes )?here|placeholder|todo\b|click to edit|replace this|"
-    r"^(?:add|insert|describe|write) (?:a|an|your|something)\b|"
-    r"nicht gefunden|zugriff verweigert|nicht verfügbar|bitte (?:aktivieren|warten)|beispieltext|platzhalter|interner fehler|wartungsarbeiten|"
-    r"keine berechtigung|existiert nicht|nicht erreichbar|später noch einmal|zurück zur|"
-    r"no encontrad[ao]|acceso denegado|no (?:está )?disponible|no tiene permiso|ya no existe|inténtelo de nuevo|volver al|"
-    r"active javascript|texto de ejemplo|error interno|en mantenimiento|espere",
-    re.I,
-)
-# How template languages write a slot, and what a slot that failed leaves behind.
+#: How template languages write a slot, and what a slot that failed leaves behind.
 _SLOT = re.compile(
     r"\{\{[^{}\n]{0,60}\}\}|[#$]?\{\w[\w. ]{0,40}\}|\{%[^{}\n]{0,60}%\}|<%=?[^<>\n]{0,60}%>|\[\[[^\[\]\n]{0,60}\]\]|%%\w+%%|@@\w+@@|%[A-Z][A-Z_]+%|__\w+?__|"
     r"\[[A-Za-z_]{2,30}\](?![(\[:])|(?<![\w%])%[sd]\b|\[object Object\]|#(?:VALUE|REF|NAME|N/A|DIV/0)!?|\bundefined\b|\bNaN\b|\bnull\b|\bInvalid Date\b|\(not set\)"
 )
 _SLOT_SIGNS = ("{", "[", "%", "__", "@@", "#VALUE", "#REF", "#NAME", "#N/A", "#DIV", "undefined", "NaN", "null", "Invalid Date", "(not set)")
-_QUOTED = re.compile(r"[\"“„«][^\"”“»]{3,}")
-_SENTENCE = re.compile(r"(?<=[.!?…])[\"”’»)]*\s+")
 _WORD = re.compile(r"\w+")
-_DIGITS = re.compile(r"\S*\d\S*")
-_MARKS = re.compile(r"[^\w\s<*>]|_")
 _STOPS = ".!?…。！？"
 _STOP_LAST = re.compile(r"[.!?…。！？][\"”’»)*_]*$")
 _MARKED = re.compile(r"^\s*(?:[-*•–—‣+·]|\d{1,3}[.)]|[a-z]\))\s+\S")
@@ -251,40 +205,8 @@ def statistics(lines: list[str]) -> Stats:
     )
 
 
-def masked(sentence: str) -> str:
-    """``sentence`` in lower case without marks; each token with a digit is a slot."""
-    return " ".join(_MARKS.sub("", _DIGITS.sub("<*>", bare(sentence).lower())).split())
-
-
-def body_sentences(lines: list[str]) -> list[tuple[str, int]]:
-    """Masked sentences of the main text, and their words; lines of a wrapped paragraph are joined."""
-    out: list[tuple[str, int]] = []
-    paragraph: list[str] = []
-
-    def close() -> None:
-        for part in _SENTENCE.split(" ".join(paragraph)):
-            if key := masked(part):
-                # what is quoted is no message, and no sentence like it is
-                out.append((key if not _QUOTED.search(part) else "\"" + key, len(_WORD.findall(part))))
-        paragraph.clear()
-
-    for line in [*lines, ""]:
-        s = re.sub(r"^(?:#{1,6}|[-*•–—])\s+", "", bare(line)) if line.strip() else ""
-        wrapped = paragraph and len(paragraph[-1]) > 50 and s[:1].islower()
-        if paragraph and not wrapped:
-            close()
-        if s:
-            paragraph.append(s)
-    if paragraph:
-        close()
-    return out
-
-
-_FACTS = pa.schema(
-    [("result_id", pa.int64()), ("domain", pa.string()), *((f.name, pa.int64() if f.type == "int" else pa.float64()) for f in fields(Stats))]
-    + [("sentences", pa.list_(pa.string())), ("sentence_words", pa.list_(pa.int32()))]
-)
-_FACTS_SQL = "result_id long, domain string, " + ", ".join(f"{f.name} {'long' if f.type == 'int' else 'double'}" for f in fields(Stats)) + ", sentences array<string>, sentence_words array<int>"
+_FACTS = pa.schema([("result_id", pa.int64()), ("domain", pa.string()), *((f.name, pa.int64() if f.type == "int" else pa.float64()) for f in fields(Stats)), *messages.FIELDS])
+_FACTS_SQL = "result_id long, domain string, " + ", ".join(f"{f.name} {'long' if f.type == 'int' else 'double'}" for f in fields(Stats)) + ", " + messages.FIELDS_SQL
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,8 +220,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for rid, lines in main_lines(noted(batches)):
         stats = statistics(lines)
-        sentences = body_sentences(lines)
-        held.append((rid, domains.pop(rid), *(getattr(stats, f.name) for f in fields(Stats)), [s for s, _ in sentences], [n for _, n in sentences]))
+        held.append((rid, domains.pop(rid), *(getattr(stats, f.name) for f in fields(Stats)), *messages.sentence_facts(lines)))
         if len(held) >= 2000:
             yield _arrow(held)
             held = []
@@ -319,107 +240,6 @@ def text_facts(conversions: DataFrame, pages: DataFrame) -> DataFrame:
 # ---- problem 3 ------------------------------------------------------------------
 
 
-def merge_leaf(sentences: list[str]) -> list[str]:
-    """The template of each of a leaf's sentences, which all have one number of tokens."""
-    templates: list[list[str]] = []
-    place: list[int] = []
-    for sentence in sentences:
-        tokens = sentence.split(" ")
-        for i, t in enumerate(templates):
-            if sum(a == b for a, b in zip(t, tokens)) >= AGREEMENT * len(tokens):
-                templates[i] = [a if a == b else "<*>" for a, b in zip(t, tokens)]
-                place.append(i)
-                break
-        else:
-            templates.append(tokens)
-            place.append(len(templates) - 1)
-    return [" ".join(templates[i]) for i in place]
-
-
-def _templates(leaf: pd.DataFrame) -> pd.DataFrame:
-    leaf = leaf.sort_values(["hosts", "sentence"], ascending=[False, True])
-    templates = sorted(set(merge_leaf(leaf["sentence"].tolist())))
-    return pd.DataFrame({"leaf": leaf["leaf"].iloc[:1], "templates": [templates]})
-
-
-_MINED = pa.schema([("sentence", pa.string()), ("template", pa.string()), ("hosts", pa.int64()), ("says", pa.bool_())])
-
-
-def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each sentence with the template of its leaf that it agrees with best, if with any."""
-
-    def rows() -> Iterator[tuple]:
-        for batch in batches:
-            for sentence, hosts, says, templates in zip(*(batch.column(c).to_pylist() for c in ("sentence", "hosts", "says", "templates"))):
-                tokens = sentence.split(" ")
-                agree, template = max((sum(a == b for a, b in zip(t.split(" "), tokens)), t) for t in templates)
-                if agree >= AGREEMENT * len(tokens):
-                    yield sentence, template, hosts, says
-
-    return rows_to_batches(rows(), _MINED)
-
-
-def _others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            least = [sketch(s) for s in part.column("others").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("template"), pa.array(least, pa.list_(pa.int32()))], ["template", "least"])
-
-
-def in_differing_bodies(rows: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(template) of ``frequent`` (sentence, template) whose pages differ in their other sentences.
-
-    A sentence that is all of its pages says nothing of what stands beside it, and does not count.
-    """
-    pages = rows.join(frequent, "sentence").groupBy("result_id", "template").agg(F.collect_set("sentence").alias("own"))
-    bodies = rows.join(pages.select("result_id").distinct(), "result_id", "left_semi").groupBy("result_id").agg(F.collect_set("sentence").alias("all"))
-    others = pages.join(bodies, "result_id").select("template", F.array_except("all", "own").alias("others"))
-    return resemblance(others.mapInArrow(_others, "template string, least array<int>"), "template").where(F.col("alike") < ALIKE).select("template")
-
-
-def message_sentences(parts: DataFrame) -> DataFrame:
-    """(sentence) of every message among ``parts`` (result_id, domain, words, sentence, n).
-
-    What says something of a message, or stands on many hosts, makes the templates
-    of its leaf; every sentence of the leaf, of one page or many, is matched with these.
-    """
-    rows = parts.where(~F.col("sentence").startswith('"')).groupBy("result_id", "domain", "sentence").agg(F.sum("n").alias("n"), F.max("words").alias("words"))
-    tokens = F.split("sentence", " ")
-    slots = F.size(F.filter(tokens, lambda t: t == "<*>"))
-    leaf = F.concat_ws(" ", F.size(tokens), *(F.get(tokens, F.lit(i)) for i in range(DEPTH)))
-    seen = rows.groupBy("sentence", "domain").agg(F.count("*").alias("n")).groupBy("sentence").agg(F.count("*").alias("hosts"), F.sum("n").alias("n"))
-    says = F.col("sentence").rlike("(?i)" + MESSAGES.pattern) & (F.size(tokens) <= 16)
-    seen = written(seen.withColumns({"says": says, "leaf": leaf, "readable": slots * 2 <= F.size(tokens)}))
-    often = (F.col("hosts") >= MIN_HOSTS) & (F.size(tokens) >= 3)
-    seeds = seen.where(F.col("readable") & (F.col("says") | often))
-    templates = seeds.groupBy("leaf").applyInPandas(_templates, "leaf string, templates array<string>")
-    met = seen.where("readable").join(templates, "leaf").select("sentence", "hosts", "says", "templates")
-    mined = written(met.mapInArrow(_matched, "sentence string, template string, hosts long, says boolean"))
-    kinds = mined.groupBy("template").agg(F.max("hosts").alias("all_hosts"), F.avg(F.col("says").cast("int")).alias("saying"))
-    frequent = written(mined.join(kinds.where(F.col("all_hosts") >= MIN_HOSTS), "template").where(F.size(tokens) >= 3).select("sentence", "template"))
-    messages = kinds.where(F.col("saying") >= SAYING).select("template").unionByName(in_differing_bodies(rows, frequent))
-    told = mined.join(messages, "template", "left_semi").select("sentence")
-    known = written(told.unionByName(seen.where("says").select("sentence")).distinct())
-    pages = rows.join(known, "sentence", "left_semi").groupBy("result_id").agg(F.sum("n").alias("told"), F.max("words").alias("words"))
-    pages = pages.where(F.col("told") >= BESIDE_WORDS * F.col("words")).select("result_id", F.lit(1).alias("has"))
-    # only a sentence of such a page may stand beside messages
-    near = rows.join(pages, "result_id").groupBy("sentence").agg(F.count("*").alias("with"))
-    beside = seen.join(near, "sentence").where((F.col("n") > 1) & (F.col("with") >= BESIDE * F.col("n"))).select("sentence")
-    return known.unionByName(beside).distinct()
-
-
-def residue(facts: DataFrame) -> DataFrame:
-    """(result_id) of the results whose main text is residue."""
-    parts = facts.where(F.size("sentences") > 0).select("result_id", "domain", "words", F.explode(F.arrays_zip("sentences", "sentence_words")).alias("s"))
-    parts = parts.select("result_id", "domain", "words", F.col("s.sentences").alias("sentence"), F.col("s.sentence_words").alias("n"))
-    found = message_sentences(parts)
-    told = parts.join(found, "sentence", "left_semi").groupBy("result_id").agg(F.sum("n").alias("told"), F.max("words").alias("words"))
-    messages = told.where(F.col("told") >= RESIDUE * F.col("words")).select("result_id")
-    by_form = facts.where((F.col("words") > 0) & ((F.col("filler") >= RESIDUE) | ((F.col("slots") >= MIN_SLOTS) & (F.col("slots") >= SLOT_RATE * F.col("words"))))).select("result_id")
-    return messages.unionByName(by_form).distinct()
-
-
 def residue_results(conversions: DataFrame, pages: DataFrame) -> DataFrame:
     """(result_id) of every result whose body is template text, filler or a message.
 
