@@ -41,19 +41,19 @@ REPEATS = 1000
 
 
 def settled(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` with at most ``REPEATS`` rows of one ``key``, of which all are repeats of one row.
+    """``rows`` in which keys with more than ``REPEATS`` rows have each row once.
 
-    Operators drop repeats where they meet, in the partition of their key. A row
-    that is delivered over and over would make that partition large, so it is
-    reduced to one here, first within each task. Such keys are few, and counting
-    finds that there are none at the price of one narrow aggregation.
+    Operators drop exact repeats where they meet, in the partition of their key. A row
+    that is delivered over and over would make that partition large, so it is reduced
+    to one here, first within each task. Nothing but exact repeats is dropped, here or
+    there, so results do not depend on the number. Such keys are few, and counting finds
+    that there are none at the price of one narrow aggregation.
     """
     hot = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > REPEATS).select(key)
     if hot.isEmpty():
         return rows
     hot = written(hot)
-    one = rows.join(hot, key, "left_semi").dropDuplicates([key])
-    return rows.join(hot, key, "left_anti").unionByName(one)
+    return rows.join(hot, key, "left_anti").unionByName(rows.join(hot, key, "left_semi").distinct())
 
 
 def places(conversions: DataFrame, pages: DataFrame) -> DataFrame:
@@ -83,22 +83,45 @@ def beside_text(conversions: DataFrame, narrow: DataFrame) -> DataFrame:
     """``narrow`` (one row for each result_id) with md_content.
 
     The narrow side is the hash table, so the texts are shuffled but not sorted.
-    A repeated row stays next to its twin, in one partition: ``unique`` drops it.
+    A repeated row stays next to its twin, in one partition, where ``unique`` drops it.
     """
     text = conversions.where(F.col("result_id").isNotNull() & F.col("md_content").isNotNull()).select("result_id", "md_content")
     return text.join(narrow.hint("shuffle_hash"), "result_id")
 
 
 def unique(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
-    """The values of ``columns`` of each row, the first of which is its key; a key's later rows are dropped."""
+    """The values of ``columns`` of each row, of which the first is its key and the second its text; exact repeats
+    of both are dropped, and rows of one key with different texts are not."""
     seen: set = set()
-    for batch in batches:
+    for batch in slices(batches, 1000):
         for row in zip(*(batch.column(c).to_pylist() for c in columns)):
-            if row[0] not in seen:
-                seen.add(row[0])
+            if (own := (row[0], hash(row[1]))) not in seen:
+                seen.add(own)
                 yield row
 
 
+def distinct_rows(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """``batches`` of rows with result_id and md_content in parts, without the exact repeats of both."""
+    seen: set = set()
+    for batch in slices(batches, rows):
+        keys = [(rid, hash(text)) for rid, text in zip(batch.column("result_id").to_pylist(), batch.column("md_content").to_pylist())]
+        new = dict.fromkeys(keys)
+        if len(new) < len(keys) or not seen.isdisjoint(new):
+            at = [i for i, key in enumerate(keys) if key not in seen and not seen.add(key)]
+            batch = batch.take(pa.array(at, pa.int64()))
+        else:
+            seen.update(new)
+        if batch.num_rows:
+            yield batch
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """``batches`` in parts of so many rows, so that few of them are held as Python values."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def rows_to_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Arrow batches of ``rows``, made as they come."""
     held: list[tuple] = []

@@ -147,8 +147,8 @@ def _unique_rows(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterato
             part = batch.slice(at, rows)
             keys, texts = [], []
             for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                if k not in seen:
-                    seen.add(k)
+                if (own := (k, hash(t))) not in seen:
+                    seen.add(own)
                     keys.append(k)
                     texts.append(t or "")
             if keys:
