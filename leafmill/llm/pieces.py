@@ -4,8 +4,9 @@ Content-defined chunking. A gear hash of the last ``WINDOW`` characters rolls
 over the text; positions where its top bits are zero are landmarks. A piece
 ends at the natural boundary nearest to the first landmark between the least
 and the greatest size, of the strongest kind of boundary there: a blank line,
-else a line end, a sentence end, white space; only text without any of these is
-cut between two characters. Cuts depend on nearby text alone, so an edit
+else a line end, a sentence end, white space. Where there is none between the
+sizes, a piece ends at the last one before, however short it is; only text
+without any is cut between two characters. Cuts depend on nearby text alone, so an edit
 changes the pieces around it and the old cuts return after it.
 """
 
@@ -27,8 +28,6 @@ MAX_CHARS = 1200
 OVERLAP = 200
 #: New characters of a piece, unless the text ends.
 MIN_NEW = 400
-#: How much shorter a piece may be that ends naturally, where the others could not.
-SHORT = 300
 #: Characters that a landmark depends on.
 WINDOW = 32
 #: A landmark has so many zero bits: one in 128 positions.
@@ -62,20 +61,20 @@ def cuts(text: str) -> list[int]:
         low, high = at + MIN_NEW, at + room
         i = int(np.searchsorted(marks, low))
         mark = int(marks[i]) if i < len(marks) and marks[i] <= high else high
-        at = _snap(text, low, high, mark)
+        at = _snap(text, at, low, high, mark)
         out.append(at)
         room = MAX_CHARS - OVERLAP
     return out
 
 
-def _snap(text: str, low: int, high: int, mark: int) -> int:
+def _snap(text: str, at: int, low: int, high: int, mark: int) -> int:
     for kind in BOUNDARIES:
         ends = [e for m in kind.finditer(text, max(0, low - 2), high) if low <= (e := m.end()) <= high]
         if ends:
             return min(ends, key=lambda e: (abs(e - mark), e))
-    # none: a shorter piece that ends naturally, else a cut between two characters
+    # none: a shorter piece that ends naturally, however short, else a cut between two characters
     for kind in BOUNDARIES:
-        ends = [e for m in kind.finditer(text, max(0, low - SHORT), low) if low - SHORT <= (e := m.end()) < low]
+        ends = [e for m in kind.finditer(text, at, low) if at < (e := m.end()) < low]
         if ends:
             return ends[-1]
     return mark
@@ -98,13 +97,20 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
 
 
 def split_text(text: str) -> tuple[list[tuple[int, int, int]], list[int]]:
-    """Pieces as (start with overlap, start of new text, end), and the blocks, from 1,
-    that no piece can hold whole."""
+    """Pieces as (start with overlap, start of new text, end), and the blocks, from 1, that could not be kept whole:
+    those that no piece holds, and no piece of any cut could, as they are longer than a piece."""
     if len(text) <= MAX_CHARS:
         return ([(0, 0, len(text))] if text else []), []
     at = [0, *cuts(text), len(text)]
     pieces = [(max(0, new - OVERLAP) if new else 0, new, end) for new, end in zip(at, at[1:])]
-    return pieces, [k for k, (a, b) in enumerate(blocks(text), 1) if b - a > MAX_CHARS]
+    broken = []
+    i = 0
+    for k, (a, b) in enumerate(blocks(text), 1):
+        while pieces[i][2] < b:  # the first piece that ends after the block has the earliest start of all that may hold it
+            i += 1
+        if pieces[i][0] > a and b - a > MAX_CHARS:
+            broken.append(k)
+    return pieces, broken
 
 
 def _rows(kind: str, key: str, text: str):
@@ -137,5 +143,5 @@ def pieces(items: DataFrame, key: str = "result_id", text: str = "md_content") -
 
 
 def oversized_blocks(items: DataFrame, key: str = "result_id", text: str = "md_content") -> DataFrame:
-    """(key, block_no) of each block that is longer than a piece and so is cut inside."""
+    """(key, block_no) of each block that no piece holds whole, nor could."""
     return _whole(items, key, text).mapInArrow(_rows("oversized", key, text), f"{key} long, block_no int")
