@@ -29,6 +29,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": _converted(repeated_lines.excessive_lines),
         "p1_clean": _p1_clean,
+        "p1_templates": _converted(repeated_lines.frequent_templates),
         "p2_found": lambda spark, d: pieces.oversized_blocks(table(spark, d, "conversion_results")),
         "p2_pieces": lambda spark, d: pieces.pieces(table(spark, d, "conversion_results")),
         "p3_found": _converted(quality.residue_results),
@@ -38,7 +39,7 @@ def queries() -> dict[str, Query]:
         "p5_found": _converted(near_duplicates.linked_pairs),
         "p5_groups": _converted(near_duplicates.article_groups),
         "p6_found": _converted(quality.not_prose),
-        "p6_types": lambda spark, d: quality.text_types(quality.text_facts(table(spark, d, "conversion_results"), table(spark, d, "pages"))).select("result_id", "body_kind", "posterior"),
+        "p6_types": lambda spark, d: quality.text_types(quality.text_facts(table(spark, d, "conversion_results"), table(spark, d, "pages"))).select("result_id", "guess", "body_kind", "posterior"),
         "p6_statistics": lambda spark, d: quality.text_statistics(table(spark, d, "conversion_results")),
         "p7_found": _converted(main_text.furniture_lines),
         "p7_main_text": _converted(main_text.main_texts),
