@@ -8,44 +8,69 @@ copies of one text agree in half or more, pages of different texts hardly.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Successive words of a run.
+#: Successive words of a run, and hash functions of a sketch.
 SHINGLE = 3
+MINIMA = 4
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F], np.uint64)
 
 
-def longest_half(keys: Iterable[str]) -> list[str]:
-    """The longest of ``keys`` that hold half of their characters: running text rather than menus."""
-    out: list[str] = []
-    ordered = sorted(keys, key=lambda k: (-len(k), k))
-    left = sum(map(len, ordered)) / 2
-    for key in ordered:
-        if left <= 0:
-            break
-        out.append(key)
-        left -= len(key)
-    return out
+_PLACE = np.array([0x9FB21C651E98DF25, 0xA24BAED4963EE407, 0xE7037ED1A0B428DB], np.uint64)
+
 
+def runs(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """A hash of each run of ``SHINGLE`` words, or of all if they are fewer; ``known`` remembers the hashes of words."""
+    if len(known) > 300_000:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh64_intdigest(w)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(h) - SHINGLE + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(min(SHINGLE, len(h))):
+        out += h[i : i + n] * _PLACE[i]
+    return out ^ out >> np.uint64(32)
 
-def sketch(keys: Iterable[str]) -> list[int]:
-    """The least values over the runs of words of ``keys``; a shorter key is one run."""
-    runs = set()
-    for key in keys:
-        words = key.split(" ")
-        if len(words) <= SHINGLE:
-            runs.add(key)
-        else:
-            runs.update(map(" ".join, zip(words, words[1:], words[2:])))
-    if not runs:
-        return []
-    h = np.fromiter(map(xxhash.xxh64_intdigest, runs), np.uint64, len(runs))
-    return [int((h * m).min() >> np.uint64(33)) for m in _MULTIPLY]
+
+def page_sketches(keys: pa.Array, page: np.ndarray, code: np.ndarray, pages: int) -> np.ndarray:
+    """A row of least values for each of ``pages``, whose ``keys`` are given by pairs of ``page`` and ``code``.
+
+    Of each page the longest keys count that hold half of its characters: running text rather than menus.
+    """
+    length = pc.utf8_length(keys).to_numpy().astype(np.int64)
+    words = pc.split_pattern(keys, " ")
+    at = words.offsets.to_numpy().astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    known = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    h = np.append(known[coded.indices.to_numpy()], np.zeros(SHINGLE - 1, np.uint64))
+    n = len(h) - SHINGLE + 1
+    left = np.repeat(at[1:], np.diff(at)) - np.arange(n)  # words of the key from here on
+    run = sum((np.where(left > i, h[i : i + n], np.uint64(0)) * _PLACE[i] for i in range(1, SHINGLE)), h[:n] * _PLACE[0])
+    run ^= run >> np.uint64(32)
+    begins = left == np.repeat(np.diff(at), np.diff(at))
+    counts = (left >= SHINGLE) | begins
+    of_key = np.empty((len(keys), MINIMA), np.int64)
+    for i, m in enumerate(_MULTIPLY):
+        of_key[:, i] = np.minimum.reduceat(np.where(counts, run * m, np.uint64(0xFFFFFFFFFFFFFFFF)), at[:-1]) >> np.uint64(33)
+    order = np.lexsort((code, -length[code], page))
+    page, code = page[order], code[order]
+    starts = np.flatnonzero(np.concatenate([[True], page[1:] != page[:-1]]))
+    sizes = np.diff(np.append(starts, len(page)))
+    before = np.cumsum(length[code]) - length[code]
+    before -= np.repeat(before[starts], sizes)
+    total = np.add.reduceat(length[code], starts)
+    chosen = 2 * before < np.repeat(total, sizes)
+    page, code = page[chosen], code[chosen]
+    starts = np.flatnonzero(np.concatenate([[True], page[1:] != page[:-1]]))
+    out = np.zeros((pages, MINIMA), np.int32)
+    out[page[starts]] = np.minimum.reduceat(of_key[code], starts, axis=0)
+    return out
 
 
 def resemblance(sketches: DataFrame, *keys: str) -> DataFrame:

@@ -21,14 +21,16 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.bodies import longest_half, resemblance, sketch
-from leafmill.llm.corpus import beside_text, hash64, line_key, places, rows_to_batches, settled, unique
-from leafmill.session import cut_lineage
+from leafmill.llm.bodies import MINIMA, page_sketches, resemblance
+from leafmill.llm.corpus import beside_text, distinct_rows, hash64, line_key, places, rows_to_batches, settled
+from leafmill.session import cut_lineage, written
 
 #: A node is constant if at least one of so many pages of the host has it ...
 ONE_OF = 8
@@ -49,47 +51,106 @@ DRAWN = 4
 SLOT_WORDS = 16
 LONG = 160
 
-_ANNOUNCE = re.compile(r"^[\s>*_]*[^\W\d_][^\d|;{}()=<\[\]\t]{8,90}$")
+#: Lines of a host that fewer than one in so many of its pages have are kept beside the pages, not beside the host.
+WIDE = 256
+
+# the patterns of the first pass run over whole columns of lines, so they are written for that engine
+_LETTERS = r"[^\p{L}]+"
+_ANNOUNCE = r"^[\s\p{Z}>*_]*\p{L}[^\p{Nd}|;{}()=<\[\]\t]{8,90}$"
+_HEADED = r"^[ >*_]*#"
+_SENTENCE = r"[.!?][\"”’]?(?:\s|$)"
 _FIRST = re.compile(r"[^\W\d_]+")
-_SENTENCE = re.compile(r"[.!?][\"”]?(?:\s|$)")
-_NODE = pa.schema([("domain", pa.string()), ("key", pa.int64()), ("first", pa.int32()), ("n_domain", pa.int64()), ("n", pa.int64()), ("apart", pa.int64()), ("beside", pa.int64()), ("headed", pa.int64()), ("drawn", pa.list_(pa.list_(pa.int32())))])
-#: Nodes a task holds before it hands its counts on.
-HELD_NODES = 200_000
+_NODE = pa.schema(
+    [("domain", pa.string()), ("key", pa.int64()), ("first", pa.int32()), ("n_domain", pa.int64()), ("result_id", pa.int64()), ("n", pa.int64()), ("apart", pa.int64())]
+    + [("beside", pa.int64()), ("headed", pa.int64()), ("drawn", pa.list_(pa.list_(pa.int32())))]
+)
+_NODE_SQL = "domain string, key long, first int, n_domain long, result_id long, n long, apart long, beside long, headed long, drawn array<array<int>>"
+#: Pages whose lines are counted before the counts are handed on.
+AT_ONCE = 4000
 
 
 def _count_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of each node over the pages of a task: pages, as a line apart, beside an article, as a heading;
-    and the texts, sketched, of a few pages that have it as a line apart."""
-
-    def rows() -> Iterator[tuple]:
-        held: dict[tuple, list[int]] = {}
-        for rid, md, domain, n_domain in unique(batches, "result_id", "md_content", "domain", "n_domain"):
-            article = len(_SENTENCE.findall(md)) >= ARTICLE_SENTENCES
-            page: dict[str, int] = {}
-            for line in md.split("\n"):
-                if key := line_key(line):
-                    headed = line.lstrip(" >*_").startswith("#")
-                    apart = headed or (len(line) < 120 and 2 <= key.count(" ") <= 13 and _ANNOUNCE.match(line.rstrip()) is not None)
-                    page[key] = page.get(key, 0) | apart | headed << 1
-            drawn = None
-            for key, flags in page.items():
-                node = held.get((domain, key))
-                if node is None:
-                    node = held[domain, key] = [n_domain, 0, 0, 0, 0, []]
-                node[1] += 1
-                if flags:
-                    node[2] += 1
-                    node[3] += article
-                    node[4] += flags >> 1
-                    if flags == 1:
-                        drawn = drawn or [xxhash.xxh32_intdigest(str(rid)) >> 1, *sketch(longest_half(page))]
-                        node[5] = sorted([*node[5], drawn])[:DRAWN] if node[5] else [drawn]
-            if len(held) > HELD_NODES:
-                yield from ((d, hash64(k), first_word(k), *node) for (d, k), node in held.items())
-                held = {}
-        yield from ((d, hash64(k), first_word(k), *node) for (d, k), node in held.items())
-
-    return rows_to_batches(rows(), _NODE)
+    """Counts of each node over the pages of a task: pages, as a line apart, beside an article, as a heading; and the
+    texts, sketched, of a few pages that have it as a line apart. Of hosts with more than ``WIDE`` pages a row for each
+    line apart and page, too, with result_id and without counts."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in distinct_rows(batches):
+        held.append(batch)
+        size += batch.num_rows
+        if size >= AT_ONCE:
+            yield from _nodes(pa.Table.from_batches(held))
+            held, size = [], 0
+    if size:
+        yield from _nodes(pa.Table.from_batches(held))
+
+
+def _nodes(pages: pa.Table) -> Iterator[pa.RecordBatch]:
+    pages = pages.combine_chunks()
+    texts = pages.column("md_content").combine_chunks()
+    rid = pages.column("result_id").to_numpy()
+    domains = pages.column("domain").combine_chunks().dictionary_encode()
+    domain = domains.indices.to_numpy()
+    n_domain = pages.column("n_domain").to_numpy()
+    article = pc.count_substring_regex(texts, _SENTENCE).to_numpy() >= ARTICLE_SENTENCES
+    split = pc.split_pattern(texts, "\n")
+    page = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    lines = split.flatten()
+    keys = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(lines), _LETTERS, " "), " ")
+    some = pc.greater(pc.binary_length(keys), 0)
+    lines, keys, page = lines.filter(some), keys.filter(some), page[some.to_numpy(zero_copy_only=False)]
+    if not len(keys):
+        return
+    coded = keys.dictionary_encode()
+    code, unique_keys = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    # of each line: 1 stands apart, 2 is a heading
+    headed = pc.match_substring_regex(lines, _HEADED).to_numpy(zero_copy_only=False)
+    blanks = pc.count_substring(unique_keys, " ").to_numpy()[code]
+    apart = (pc.utf8_length(lines).to_numpy() < 120) & (blanks >= 2) & (blanks <= 13)
+    apart[apart] = pc.match_substring_regex(pc.utf8_rtrim_whitespace(lines.filter(pa.array(apart))), _ANNOUNCE).to_numpy(zero_copy_only=False)
+    flags = (apart | headed) + 2 * headed
+    # a node counts once for each page
+    node = page * len(unique_keys) + code
+    order = np.argsort(node, kind="stable")
+    starts = _starts(node[order])
+    flags = np.bitwise_or.reduceat(flags[order], starts)
+    page, code = page[order][starts], code[order][starts]
+    # over the pages of a host
+    own = domain[page].astype(np.int64) * len(unique_keys) + code
+    order = np.lexsort((rid[page], own))
+    page, code, flags, own = page[order], code[order], flags[order], own[order]
+    starts = _starts(own)
+    hashes = np.fromiter(map(hash64, unique_keys.to_pylist()), np.int64, len(unique_keys))
+    firsts = _first_words(unique_keys)
+    beside = article[page] & (flags > 0)
+    columns = [domain[page[starts]], hashes[code[starts]], firsts[code[starts]], n_domain[page[starts]], np.diff(np.append(starts, len(own)))]
+    columns += [np.add.reduceat(x.astype(np.int64), starts) for x in (flags > 0, beside, flags > 1)]
+    # the pages of the smallest hashes, and their sketches
+    plain = flags == 1
+    drawn_by = (rid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int32)
+    sketches = np.column_stack([drawn_by, page_sketches(unique_keys, page, code, len(rid))])
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(own))))[plain]
+    first = np.lexsort((drawn_by[page[plain]], group))
+    group, drawn_page = group[first], page[plain][first]
+    begins = _starts(group)
+    few = np.arange(len(group)) - np.repeat(begins, np.diff(np.append(begins, len(group)))) < DRAWN
+    group, drawn_page = group[few], drawn_page[few]
+    per_node = np.bincount(group, minlength=len(starts))
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(len(drawn_page) + 1, dtype=np.int32) * sketches.shape[1]), pa.array(sketches[drawn_page].ravel()))
+    drawn = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_node)]).astype(np.int32)), inner)
+    rows = [domains.dictionary.take(pa.array(columns[0])), *map(pa.array, columns[1:4]), pa.nulls(len(starts), pa.int64()), *map(pa.array, columns[4:]), drawn]
+    yield pa.RecordBatch.from_arrays(rows, schema=_NODE)
+    wide = plain & (n_domain[page] > WIDE)
+    if wide.any():
+        p, c = page[wide], code[wide]
+        none = pa.array(np.zeros(len(p), np.int64))
+        rows = [domains.dictionary.take(pa.array(domain[p])), pa.array(hashes[c]), pa.array(firsts[c]), pa.array(n_domain[p]), pa.array(rid[p]), none, none, none, none, pa.nulls(len(p), _NODE.field("drawn").type)]
+        yield pa.RecordBatch.from_arrays(rows, schema=_NODE)
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
 
 
 def first_word(key: str) -> int:
@@ -97,34 +158,50 @@ def first_word(key: str) -> int:
     return xxhash.xxh32_intdigest(key.split(" ", 1)[0]) >> 1
 
 
-def template_nodes(conversions: DataFrame, where: DataFrame) -> DataFrame:
-    """(domain, constant, shared, firsts): for each host the keys of its constant nodes and of the
-    announcements on it, and the first words of all these, by which most lines are told apart.
+def _first_words(keys: pa.Array) -> np.ndarray:
+    words = pc.list_element(pc.split_pattern(keys, " ", max_splits=1), 0).dictionary_encode()
+    return np.array([xxhash.xxh32_intdigest(w) >> 1 for w in words.dictionary.to_pylist()], np.int32)[words.indices.to_numpy()]
 
-    Both are bounded by the lines of a few pages: a constant node is on an eighth of them.
-    """
+
+def _templates(conversions: DataFrame, where: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(domain, constant, shared, firsts) for each host and (result_id, rare, rare_firsts) for pages of large hosts."""
     texts = beside_text(conversions, where.select("result_id", "domain", "n_domain"))
-    parts = texts.mapInArrow(_count_nodes, "domain string, key long, first int, n_domain long, n long, apart long, beside long, headed long, drawn array<array<int>>")
-    counted = parts.groupBy("key", "domain").agg(
+    parts = texts.mapInArrow(_count_nodes, _NODE_SQL)
+    counted = parts.groupBy("key", "domain", "result_id").agg(
         F.max("first").alias("first"), F.max("n_domain").alias("of"), *(F.sum(c).alias(c) for c in ("n", "apart", "beside", "headed")),
         F.slice(F.sort_array(F.flatten(F.collect_list("drawn"))), 1, DRAWN).alias("drawn"),
     )
     # an article's own headings return, too; a heading of the page is on most pages
     heading = (F.col("headed") * 2 > F.col("n")) & (F.col("n") * 2 < F.col("of"))
     constant = (F.col("domain") != "") & (F.col("n") >= MIN_PAGES) & (F.col("n") * ONE_OF >= F.col("of")) & ~heading
-    # three uses follow; what they need is little, and counted once
-    nodes = cut_lineage(counted.where(constant | (F.col("apart") > 0)))
-    hosts = nodes.where("apart > 0").groupBy("key").agg(F.count("*").alias("hosts"), *(F.sum(c).alias(f"all_{c}") for c in ("apart", "beside", "headed")))
+    # four uses follow; what they need is little, and counted once
+    nodes = cut_lineage(counted.where(constant | (F.col("apart") > 0) | F.col("result_id").isNotNull()))
+    apart = nodes.where("apart > 0")
+    hosts = apart.groupBy("key").agg(F.count("*").alias("hosts"), *(F.sum(c).alias(f"all_{c}") for c in ("apart", "beside", "headed")))
     shared = hosts.where(
         (F.col("hosts") >= MIN_HOSTS) & (F.col("all_beside") >= BESIDE_ARTICLE * F.col("all_apart")) & (F.col("all_headed") <= AS_HEADING * F.col("all_apart"))
     )
-    pages = nodes.where("apart > 0").join(shared.select("key"), "key", "left_semi").select("key", F.explode("drawn").alias("page"))
-    alike = resemblance(pages.select("key", F.slice("page", 2, 4).alias("least")), "key")
-    shared = alike.where(F.col("alike") < ALIKE)
-    own = nodes.where(constant).select("domain", "key", "first", F.lit(1).alias("kind"))
-    common = nodes.where("apart > 0").join(shared.select("key"), "key", "left_semi").select("domain", "key", "first", F.lit(2).alias("kind"))
+    pages = apart.join(shared.select("key"), "key", "left_semi").select("key", F.explode("drawn").alias("page"))
+    alike = resemblance(pages.select("key", F.slice("page", 2, MINIMA).alias("least")), "key")
+    shared = written(alike.where(F.col("alike") < ALIKE).select("key"))
+    own = nodes.where(constant & F.col("result_id").isNull()).select("domain", "key", "first", F.lit(1).alias("kind"))
+    common = apart.join(shared, "key", "left_semi").select("domain", "key", "first", (F.col("n") * WIDE >= F.col("of")).alias("often"))
     of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("key")))
-    return own.unionByName(common).groupBy("domain").agg(of(1).alias("constant"), of(2).alias("shared"), F.collect_set("first").alias("firsts"))
+    frequent = common.where("often").select("domain", "key", "first", F.lit(2).alias("kind"))
+    by_domain = own.unionByName(frequent).groupBy("domain").agg(of(1).alias("constant"), of(2).alias("shared"), F.collect_set("first").alias("firsts"))
+    seldom = nodes.where("result_id is not null").join(common.where("not often").select("domain", "key"), ["domain", "key"], "left_semi")
+    by_page = seldom.groupBy("result_id").agg(F.collect_set("key").alias("rare"), F.collect_set("first").alias("rare_firsts"))
+    return by_domain, by_page
+
+
+def template_nodes(conversions: DataFrame, where: DataFrame) -> DataFrame:
+    """(domain, constant, shared, firsts): for each host the keys of its constant nodes and of the
+    announcements on it, and the first words of all these, by which most lines are told apart.
+
+    Both are bounded by the lines of a few pages: a constant node is on one in ``ONE_OF`` of them at least, an
+    announcement on one in ``WIDE``. Those that fewer pages of a large host have are kept by page.
+    """
+    return _templates(conversions, where)[0]
 
 
 # ---- the page as a tree ----------------------------------------------------
@@ -275,31 +352,47 @@ def furniture(lines: list[str], constant: dict[int, int], kind: str) -> list[boo
 
 
 def page_nodes(conversions: DataFrame, pages: DataFrame) -> DataFrame:
-    """(result_id, md_content, domain, content_type, constant, shared): each text with its host's template."""
-    conversions = settled(conversions, "result_id")
+    """(result_id, md_content, domain, content_type, constant, shared, firsts, rare, rare_firsts): each text with its
+    host's template, and the announcements of the page that few pages of its host have."""
+    conversions = settled(conversions.select("result_id", "url", "md_content"), "result_id")
     where = places(conversions, pages)
-    templates = template_nodes(conversions, where)
-    narrow = where.select("result_id", "domain", "content_type").join(templates, "domain", "left")
+    by_domain, by_page = _templates(conversions, where)
+    narrow = where.select("result_id", "domain", "content_type").join(by_domain, "domain", "left").join(by_page, "result_id", "left")
     return beside_text(conversions, narrow)
 
 
-def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[str], list[bool]]]:
-    """result_id, lines and furniture flags of each row of ``page_nodes``."""
+#: Hosts whose templates a task holds as sets.
+HELD_HOSTS = 2000
+
+
+def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[str], list[bool], str]]:
+    """result_id, lines, furniture flags and domain of each row of ``page_nodes``."""
     firsts_of: dict[str, int] = {}
-    for rid, md, kind, constant, shared, firsts in unique(batches, "result_id", "md_content", "content_type", "constant", "shared", "firsts"):
-        lines = md.split("\n")
-        nodes = {}
-        if firsts:
-            constant, shared, firsts = set(constant), set(shared), set(firsts)
-            for i, line in enumerate(lines, 1):
-                # exact: a line of the template has the first word of its node
-                if (word := _FIRST.search(line)) and (not word[0].isalpha() or _known(word[0], firsts_of) in firsts) and (key := line_key(line)):
-                    h = hash64(key)
-                    if h in constant:
-                        nodes[i] = 1
-                    elif h in shared and not line.lstrip(" >*_").startswith("#"):
-                        nodes[i] = 2
-        yield rid, lines, furniture(lines, nodes, kind)
+    templates: dict[str, tuple[set, set, set]] = {}
+    for batch in distinct_rows(batches):
+        lists = [(c.offsets.to_numpy(), c.flatten().to_numpy(zero_copy_only=False)) for c in map(batch.column, ("constant", "shared", "firsts"))]
+        rows = zip(*(batch.column(c).to_pylist() for c in ("result_id", "md_content", "domain", "content_type", "rare", "rare_firsts")))
+        for i, (rid, md, domain, kind, rare, rare_firsts) in enumerate(rows):
+            template = templates.get(domain)
+            if template is None:
+                if len(templates) >= HELD_HOSTS:
+                    templates.clear()
+                template = templates[domain] = tuple(set(flat[of[i] - of[0] : of[i + 1] - of[0]].tolist()) for of, flat in lists)
+            constant, shared, firsts = template
+            if rare:
+                shared, firsts = shared.union(rare), firsts.union(rare_firsts)
+            lines = md.split("\n")
+            nodes = {}
+            if firsts:
+                for at, line in enumerate(lines, 1):
+                    # exact: a line of the template has the first word of its node
+                    if (word := _FIRST.search(line)) and (not word[0].isalpha() or _known(word[0], firsts_of) in firsts) and (key := line_key(line)):
+                        h = hash64(key)
+                        if h in constant:
+                            nodes[at] = 1
+                        elif h in shared and not line.lstrip(" >*_").startswith("#"):
+                            nodes[at] = 2
+            yield rid, lines, furniture(lines, nodes, kind), domain
 
 
 def _known(word: str, seen: dict[str, int]) -> int:
@@ -312,7 +405,7 @@ def _known(word: str, seen: dict[str, int]) -> int:
 
 
 def _furniture_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = ((rid, i) for rid, _lines, flags in marked(batches) for i, flag in enumerate(flags, 1) if flag)
+    rows = ((rid, i) for rid, _lines, flags, _domain in marked(batches) for i, flag in enumerate(flags, 1) if flag)
     return rows_to_batches(rows, pa.schema([("result_id", pa.int64()), ("line_no", pa.int32())]))
 
 
@@ -325,14 +418,14 @@ def furniture_lines(conversions: DataFrame, pages: DataFrame) -> DataFrame:
     return page_nodes(conversions, pages).mapInArrow(_furniture_rows, "result_id long, line_no int")
 
 
-def main_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[str]]]:
-    """result_id and the lines of the main text of each row of ``page_nodes``."""
-    for rid, lines, flags in marked(batches):
-        yield rid, [line for line, flag in zip(lines, flags) if not flag]
+def main_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[str], str]]:
+    """result_id, the lines of the main text, and domain of each row of ``page_nodes``."""
+    for rid, lines, flags, domain in marked(batches):
+        yield rid, [line for line, flag in zip(lines, flags) if not flag], domain
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = ((rid, "\n".join(lines)) for rid, lines in main_lines(batches))
+    rows = ((rid, "\n".join(lines)) for rid, lines, _domain in main_lines(batches))
     return rows_to_batches(rows, pa.schema([("result_id", pa.int64()), ("main_text", pa.string())]), 500)
 
 

@@ -30,13 +30,11 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.bodies import resemblance
-from leafmill.llm.corpus import hash64, rows_to_batches
-from leafmill.llm.main_text import bare
+from leafmill.llm.bodies import resemblance, runs
+from leafmill.llm.corpus import hash64, rows_to_batches, slices
 from leafmill.session import small_side, written
 
 #: Tokens that lead to a leaf after their number, and share of tokens in which a template's sentences agree.
@@ -73,7 +71,7 @@ _QUOTED = re.compile(r"[\"“„«][^\"”“»]{3,}")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”’»)]*\s+")
 _TOKEN = re.compile(r"[^\W_]+")
 _DIGIT = re.compile(r"\d")
-_LEAD = re.compile(r"^(?:#{1,6}|[-*•–—])\s+")
+_LEAD = re.compile(r"^(?:#{1,6}|[-•–—])\s+[>*_]*")
 
 
 # ---- the sentences of one main text ---------------------------------------------
@@ -95,11 +93,11 @@ def body_sentences(lines: list[str]) -> dict[str, int]:
     paragraphs: list[str] = []
     last = 0  # length of the line before; none after a blank one
     for line in lines:
-        s = bare(line)
+        s = line.strip(" \t\r>*_")
         if not s:
             last = 0
             continue
-        if s[0] in "#-*•–—":
+        if s[0] in "#-•–—":
             s = _LEAD.sub("", s)
         if last > 50 and s[:1].islower():
             paragraphs[-1] += " " + s
@@ -107,17 +105,21 @@ def body_sentences(lines: list[str]) -> dict[str, int]:
             paragraphs.append(s)
         last = len(s)
     for paragraph in paragraphs:
+        quotes = any(map(paragraph.__contains__, "\"“„«"))
         for part in _SENTENCE.split(paragraph):
             tokens = masked(part)
-            if tokens and not _QUOTED.search(part):
+            if tokens and not (quotes and _QUOTED.search(part)):
                 key = " ".join(tokens)
                 out[key] = out.get(key, 0) + len(tokens)
     return out
 
 
-def leaf_of(tokens: list[str]) -> int:
+def leaf_of(sentence: str, tokens: int) -> int:
     """The leaf of the prefix tree: the number of tokens and the first ``DEPTH`` of them."""
-    return hash64(" ".join([str(len(tokens)), *tokens[:DEPTH]]))
+    end = -1
+    for _ in range(min(DEPTH, tokens)):
+        end = sentence.find(" ", end + 1)
+    return hash64(sentence[:end] if end > 0 else sentence, tokens)
 
 
 _made: list[ahocorasick.Automaton] = []
@@ -150,13 +152,13 @@ FIELDS_SQL = "keys array<long>, sentence_words array<int>, leaves array<long>, f
 def sentence_facts(lines: list[str]) -> tuple[list, ...]:
     """The values of ``FIELDS`` of a main text."""
     found = body_sentences(lines)
-    texts = list(found)
+    texts, counts = list(found), list(found.values())
     leaves, flags = [], []
     for text, says in zip(texts, saying(texts)):
-        tokens = text.split(" ")
-        leaves.append(leaf_of(tokens))
-        flags.append(says | (SLOT not in text or tokens.count(SLOT) * TOKENS_A_SLOT <= len(tokens)) << 1)
-    return [hash64(t) for t in texts], list(found.values()), leaves, flags, texts
+        tokens = text.count(" ") + 1
+        leaves.append(leaf_of(text, tokens))
+        flags.append(says | (SLOT not in text or text.count(SLOT) * TOKENS_A_SLOT <= tokens) << 1)
+    return list(map(hash64, texts)), counts, leaves, flags, texts
 
 
 # ---- templates -------------------------------------------------------------------
@@ -205,7 +207,7 @@ def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from merged(held)
 
     def merged(held: list[tuple[int, str]]) -> Iterator[tuple]:
-        leaf = leaf_of(held[0][1].split(" "))
+        leaf = leaf_of(held[0][1], held[0][1].count(" ") + 1)
         for (key, _), template in zip(held, merge_leaf([t for _, t in held])):
             yield key, template, leaf
 
@@ -232,39 +234,29 @@ def mined(sentences: DataFrame) -> DataFrame:
 
 # ---- what the pages of a template have in common ----------------------------------
 
-#: Hash functions of a sketch, and words of a run.
+#: Hash functions of a sketch.
 MINIMA = 8
-RUN = 3
 _MULTIPLY = np.random.default_rng(3).integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Text that two pages of a sentence have in common, on average, if they are copies of one text.
 COPIED = 0.6
 _STUDIED = pa.schema([("result_id", pa.int64()), ("key", pa.int64()), ("sentence", pa.string()), ("host", pa.int64()), ("share", pa.float64()), ("words", pa.int64()), ("said", pa.int32()), ("least", pa.list_(pa.int32()))])
 
 
-def _sketches(sentences: list[str]) -> np.ndarray:
+def _sketches(sentences: list[str], known: dict[str, int]) -> np.ndarray:
     """The least values of each sentence's runs of words, a row for each."""
-    hashes: list[int] = []
-    starts = []
-    for s in sentences:
-        starts.append(len(hashes))
-        words = s.split(" ")
-        if len(words) <= RUN:
-            hashes.append(xxhash.xxh64_intdigest(s))
-        else:
-            hashes += map(xxhash.xxh64_intdigest, map(" ".join, zip(*(words[i:] for i in range(RUN)))))
-    h = np.array(hashes, np.uint64)
-    return np.minimum.reduceat((h[:, None] * _MULTIPLY) >> np.uint64(33), starts, axis=0)
+    return np.stack([(runs(s.split(" "), known)[:, None] * _MULTIPLY >> np.uint64(33)).min(axis=0) for s in sentences])
 
 
 def _studied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each candidate on a page, with a sketch of the page's other sentences."""
 
     def rows() -> Iterator[tuple]:
-        for batch in batches:
+        known: dict[str, int] = {}
+        for batch in slices(batches, 500):
             for rid, host, words, keys, texts, flags, own, share in zip(*(batch.column(c).to_pylist() for c in ("result_id", "host", "words", "keys", "sentences", "flags", "own", "share"))):
                 place = {key: i for i, key in enumerate(keys)}
                 if len(keys) > 1:
-                    m = _sketches(texts)
+                    m = _sketches(texts, known)
                     first, second = np.partition(m, 1, axis=0)[:2]
                 for key in own:
                     i = place[key]
@@ -351,29 +343,14 @@ def message_templates(facts: DataFrame, rows: DataFrame) -> tuple[DataFrame, Dat
     return classified(templates), members.select("key", "template"), seen.select("key", "n")
 
 
-_VARIANT = pa.schema([("key", pa.int64())])
-
-
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sentences that agree with one of the templates of their leaf."""
-
-    def rows() -> Iterator[tuple]:
-        for batch in batches:
-            for key, text, templates in zip(*(batch.column(c).to_pylist() for c in ("key", "sentence", "templates"))):
-                tokens = text.split(" ")
-                if any(sum(map(str.__eq__, t.split(" "), tokens)) >= AGREEMENT * len(tokens) for t in templates):
-                    yield (key,)
-
-    return rows_to_batches(rows(), _VARIANT)
-
-
 def message_sentences(facts: DataFrame, rows: DataFrame) -> DataFrame:
     """(key) of every sentence that is a message."""
     templates, members, seen = message_templates(facts, rows)
     messages = written(templates.where("posterior > 0.5").select("template", "leaf"))
-    of_leaf = messages.groupBy("leaf").agg(F.collect_list("template").alias("templates"))
     parts = facts.select(F.explode(F.arrays_zip("keys", "leaves", "sentences")).alias("s")).select(F.col("s.keys").alias("key"), F.col("s.leaves").alias("leaf"), F.col("s.sentences").alias("sentence"))
-    variants = parts.join(small_side(of_leaf, 2000), "leaf").select("key", "sentence", "templates").mapInArrow(_variants, "key long")
+    tokens = F.split("sentence", " ")
+    same = F.size(F.filter(F.zip_with(tokens, F.split("template", " "), lambda a, b: a == b), lambda x: x))
+    variants = parts.join(small_side(messages, 200), "leaf").where(same >= AGREEMENT * F.size(tokens)).select("key")
     told = members.join(messages.select("template"), "template", "left_semi").select("key")
     known = written(told.unionByName(variants).distinct())
     pages = rows.join(small_side(known, 16), "key", "left_semi").groupBy("result_id").agg(F.sum("n").alias("told"), F.max("words").alias("words"))

@@ -8,9 +8,8 @@ Problem 3 is in ``messages``.
 Problem 6. Statistics of a text, each against a threshold, vote for prose, list,
 table or junk, or abstain. How far each is to be believed is learned by
 expectation-maximization from how they agree, over the counts of all vote
-patterns. A list or a table is what holds more than half of the words, whatever
-the posterior, as the definition is exact; between prose and junk the greater
-posterior probability decides. The posterior given is that of the kind reported.
+patterns, and the kind of the greatest posterior is the text's. As lists and
+tables are defined by an exact share of words, an exact check follows.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import messages
-from leafmill.llm.corpus import rows_to_batches
+from leafmill.llm.corpus import rows_to_batches, settled, unique
 from leafmill.llm.main_text import main_lines, page_nodes
 from leafmill.llm.messages import merge_leaf, residue  # noqa: F401
 from leafmill.session import written
@@ -88,6 +88,8 @@ class Stats:
     slots: int = 0
     longest_token: int = 0
     wide: float = 0.0
+    line_words: float = 0.0
+    delimited_lines: float = 0.0
 
 
 def line_kinds(lines: list[str]) -> list[str]:
@@ -117,9 +119,10 @@ def _block_kinds(lines: list[str], block: list[int], kinds: list[str]) -> None:
     plain: list[int] = []
     for i in block:
         line = lines[i]
-        if _HEAD.match(line):
+        first = line.lstrip()[0]
+        if first == "#" and _HEAD.match(line):
             kinds[i] = "head"
-        elif line.lstrip().startswith("|") or (_RULE.match(line) and "|" in line):
+        elif first == "|" or ("|" in line and _RULE.match(line)):
             kinds[i] = "table"
         elif _MARKED.match(line):
             kinds[i] = "list"
@@ -157,7 +160,7 @@ def statistics(lines: list[str]) -> Stats:
     kinds = line_kinds(lines)
     words: list[str] = []
     of_kind = dict.fromkeys(("list", "table", "code", "head", "text", ""), 0)
-    ended = filled = in_sentences = 0
+    ended = filled = in_sentences = delimited = 0
     pending = 0  # words of the paragraph after its last sentence end; wrapped lines are one paragraph
     for line, kind in zip(lines, kinds):
         if not kind:
@@ -170,6 +173,7 @@ def statistics(lines: list[str]) -> Stats:
         filled += 1
         tail = line.rstrip()[-6:]
         ended += _END.search(tail) is not None
+        delimited += sum(map(line.count, "|;\t")) + line.count("  ") + line.count(",") - line.count(", ") >= 2
         if kind == "text":
             stop = max(map(line.rfind, _STOPS)) if not _STOP_LAST.search(tail) else len(line)
             if stop < 0:
@@ -180,9 +184,6 @@ def statistics(lines: list[str]) -> Stats:
                 pending = left
         else:
             pending = 0
-    slots = 0
-    if any(map(text.__contains__, _SLOT_SIGNS)):
-        slots = len(_SLOT.findall("\n".join(line for line, kind in zip(lines, kinds) if kind not in ("code", "list")) if "code" in kinds or "list" in kinds else text))
     total = max(1, len(words))
     counted = max(1, sum(of_kind.values()) - of_kind["head"])
     visible = sum(map(len, tokens))
@@ -197,39 +198,55 @@ def statistics(lines: list[str]) -> Stats:
         in_list=of_kind["list"] / counted,
         in_table=of_kind["table"] / counted,
         in_sentences=in_sentences / total,
-        # filler has hardly any common words
-        filler=sum(map(FILLER.__contains__, words)) / total if common < 0.3 else 0.0,
-        slots=slots,
+        filler=_filler(words, common),
+        slots=_slots(text, lines, kinds),
         longest_token=max(map(len, tokens)),
         wide=0.0 if text.isascii() else len(_WIDE.findall(text)) / max(1, letters),
+        line_words=len(words) / max(1, filled),
+        delimited_lines=delimited / max(1, filled),
     )
 
 
-_FACTS = pa.schema([("result_id", pa.int64()), ("domain", pa.string()), *((f.name, pa.int64() if f.type == "int" else pa.float64()) for f in fields(Stats)), *messages.FIELDS])
-_FACTS_SQL = "result_id long, domain string, " + ", ".join(f"{f.name} {'long' if f.type == 'int' else 'double'}" for f in fields(Stats)) + ", " + messages.FIELDS_SQL
+def _filler(words: list[str], common: float) -> float:
+    """Share of filler, which has hardly any common words."""
+    return sum(map(FILLER.__contains__, words)) / max(1, len(words)) if common < 0.3 else 0.0
 
 
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    domains: dict[int, str] = {}
+def _slots(text: str, lines: list[str], kinds: list[str] | None = None) -> int:
+    """Unresolved slots outside code and lists."""
+    if not any(map(text.__contains__, _SLOT_SIGNS)):
+        return 0
+    kinds = kinds or line_kinds(lines)
+    return len(_SLOT.findall("\n".join(line for line, kind in zip(lines, kinds) if kind not in ("code", "list")) if "code" in kinds or "list" in kinds else text))
+
+
+def residue_statistics(lines: list[str]) -> tuple[int, float, int]:
+    """words, filler and slots of ``statistics``, which is all that residue needs."""
+    text = "\n".join(lines)
+    words = _WORD.findall(text.lower())
+    return len(words), _filler(words, sum(map(COMMON.__contains__, words)) / max(1, len(words))), _slots(text, lines)
+
+
+def _schema(names: list[str]) -> tuple[pa.Schema, str]:
+    """The facts of a text, of which statistics those in ``names``, for Arrow and for Spark."""
+    own = [(f.name, f.type) for f in fields(Stats) if f.name in names]
+    arrow = pa.schema([("result_id", pa.int64()), ("domain", pa.string()), *((n, pa.int64() if t == "int" else pa.float64()) for n, t in own), *messages.FIELDS])
+    return arrow, "result_id long, domain string, " + ", ".join(f"{n} {'long' if t == 'int' else 'double'}" for n, t in own) + ", " + messages.FIELDS_SQL
 
-    def noted(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            domains.update(zip(batch.column("result_id").to_pylist(), batch.column("domain").to_pylist()))
-            yield batch
 
-    for rid, lines in main_lines(noted(batches)):
-        stats = statistics(lines)
-        held.append((rid, domains.pop(rid), *(getattr(stats, f.name) for f in fields(Stats)), *messages.sentence_facts(lines)))
-        if len(held) >= 2000:
-            yield _arrow(held)
-            held = []
-    if held:
-        yield _arrow(held)
+_FACTS, _FACTS_SQL = _schema([f.name for f in fields(Stats)])
+_RESIDUE, _RESIDUE_SQL = _schema(["words", "filler", "slots"])
 
 
-def _arrow(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FACTS)], schema=_FACTS)
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    values = attrgetter(*(f.name for f in fields(Stats)))
+    rows = ((rid, domain, *values(statistics(lines)), *messages.sentence_facts(lines)) for rid, lines, domain in main_lines(batches))
+    return rows_to_batches(rows, _FACTS, 500)
+
+
+def _residue_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = ((rid, domain, *residue_statistics(lines), *messages.sentence_facts(lines)) for rid, lines, domain in main_lines(batches))
+    return rows_to_batches(rows, _RESIDUE, 500)
 
 
 def text_facts(conversions: DataFrame, pages: DataFrame) -> DataFrame:
@@ -246,7 +263,7 @@ def residue_results(conversions: DataFrame, pages: DataFrame) -> DataFrame:
     Null texts and texts without a body have no verdict; repeated rows count once;
     an empty table gives no rows.
     """
-    return residue(text_facts(conversions, pages))
+    return residue(written(page_nodes(conversions, pages).mapInArrow(_residue_facts, _RESIDUE_SQL)))
 
 
 def articles_only(conversions: DataFrame, pages: DataFrame) -> DataFrame:
@@ -260,22 +277,31 @@ KINDS = ("prose", "list", "table", "junk")
 ABSTAIN = len(KINDS)
 
 
-def labelling_votes() -> list[F.Column]:
-    """Each statistic's vote, the number of a kind or ``ABSTAIN``."""
+def labelling_votes(columns: list[str]) -> list[F.Column]:
+    """The vote of each labelling function on the statistics in ``columns``: the number of a kind, or ``ABSTAIN``.
+
+    Every kind has several that look at different things: lists and tables their words, the words
+    of a line, how lines end and what separates their parts; prose and junk common words,
+    sentences, word lengths, symbols and line ends.
+    """
     prose, lst, tab, junk = (F.lit(i) for i in range(4))
     none = F.lit(ABSTAIN)
     c = F.col
     wide = c("wide") > 0.3
-    return [
-        F.when(c("in_list") > MOST, lst).otherwise(none),
-        F.when(c("in_table") > MOST, tab).otherwise(none),
-        F.when(wide, none).when(c("in_list") + c("in_table") > MOST, none).when(c("common_words") >= 0.15, prose).when(c("common_words") < 0.06, junk).otherwise(none),
-        F.when(c("in_sentences") + c("in_list") * c("common_words") >= 0.5, prose).when((c("in_sentences") < 0.15) & (c("in_list") + c("in_table") <= MOST), junk).otherwise(none),
-        F.when(wide, prose).when((c("mean_word_length") > 11) | (c("mean_word_length") < 1.8), junk).when(c("mean_word_length").between(3.5, 7.5), none).otherwise(none),
-        F.when(c("symbol_ratio") > 0.3, F.when(c("in_table") > MOST, tab).otherwise(junk)).when((c("symbol_ratio") < 0.06) & (c("in_sentences") > 0.4), prose).otherwise(none),
-        F.when(wide, none).when(c("longest_token") > 120, junk).otherwise(none),
-        F.when(c("in_list") + c("in_table") > MOST, none).when(c("ended_lines") >= 0.6, prose).otherwise(none),
-    ]
+    listed, tabled = c("in_list") > MOST, c("in_table") > MOST
+    votes = {
+        "in_list": F.when(listed, lst).otherwise(none),
+        "in_table": F.when(tabled, tab).otherwise(none),
+        "common_words": F.when(wide | listed | tabled, none).when(c("common_words") >= 0.15, prose).when(c("common_words") < 0.06, junk).otherwise(none),
+        "in_sentences": F.when(c("in_sentences") + c("in_list") * c("common_words") >= 0.5, prose).when((c("in_sentences") < 0.15) & ~listed & ~tabled, junk).otherwise(none),
+        "mean_word_length": F.when(wide, prose).when((c("mean_word_length") > 11) | (c("mean_word_length") < 1.8), junk).otherwise(none),
+        "symbol_ratio": F.when(c("symbol_ratio") > 0.3, F.when(tabled, tab).otherwise(junk)).when((c("symbol_ratio") < 0.06) & (c("in_sentences") > 0.4), prose).otherwise(none),
+        "longest_token": F.when(wide, none).when(c("longest_token") > 120, junk).otherwise(none),
+        "ended_lines": F.when(c("ended_lines") >= 0.6, F.when(listed | tabled, none).otherwise(prose)).when((c("ended_lines") <= 0.2) & (c("in_sentences") < 0.2), F.when(listed, lst).when(tabled, tab).otherwise(none)).otherwise(none),
+        "line_words": F.when((c("line_words") <= 9) & (c("in_list") > c("in_table")) & (c("in_sentences") < 0.4), lst).when((c("line_words") >= 25) & (c("in_sentences") >= 0.3), prose).otherwise(none),
+        "delimited_lines": F.when((c("delimited_lines") > 0.5) & (c("in_sentences") < 0.5), tab).otherwise(none),
+    }
+    return [vote for name, vote in votes.items() if name in columns]
 
 
 def learn_accuracies(votes: np.ndarray, counts: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -305,17 +331,17 @@ def learn_accuracies(votes: np.ndarray, counts: np.ndarray, rounds: int = 30) ->
 
 
 def text_types(facts: DataFrame) -> DataFrame:
-    """``facts`` with body_kind and its posterior.
+    """``facts`` with the kind guessed by the posterior, body_kind and its posterior.
 
-    The vote patterns, at most a few thousand whatever the corpus, are what the
+    body_kind is the guess, but for texts whose share of words in items or rows says otherwise. The vote patterns, at most a few thousand whatever the corpus, are what the
     driver learns from.
     """
-    votes = labelling_votes()
+    votes = labelling_votes(facts.columns)
     names = [f"v{i}" for i in range(len(votes))]
     voted = facts.where("words > 0").withColumns(dict(zip(names, (v.cast("int") for v in votes))))
     patterns = voted.groupBy(*names).agg(F.count("*").alias("n")).toPandas()
     if patterns.empty:
-        return facts.where("words > 0").select("*", F.lit("prose").alias("body_kind"), F.lit(1.0).alias("posterior"))
+        return facts.where("words > 0").select("*", F.lit("prose").alias("guess"), F.lit("prose").alias("body_kind"), F.lit(1.0).alias("posterior"))
     post = learn_accuracies(patterns[names].to_numpy(), patterns["n"].to_numpy())
     table = patterns[names].copy()
     for i, name in enumerate(KINDS):
@@ -323,14 +349,17 @@ def text_types(facts: DataFrame) -> DataFrame:
     of = [f"of_{name}" for name in KINDS]
     learned = facts.sparkSession.createDataFrame(table, ", ".join([*(f"{n} int" for n in names), *(f"{n} double" for n in of)]))
     judged = voted.join(F.broadcast(learned), names)
+    most = F.greatest(*of)
+    guess = F.coalesce(*(F.when(F.col(f"of_{name}") == most, name) for name in KINDS))
+    # the definition of lists and tables is exact, so an exact check follows
     kind = (
         F.when((F.col("in_list") > MOST) & (F.col("in_list") >= F.col("in_table")), "list")
         .when(F.col("in_table") > MOST, "table")
-        .when(F.col("of_junk") > F.col("of_prose"), "junk")
-        .otherwise("prose")
+        .when(F.col("guess").isin("prose", "junk"), F.col("guess"))
+        .otherwise(F.when(F.col("of_junk") > F.col("of_prose"), "junk").otherwise("prose"))
     )
     posterior = F.coalesce(*(F.when(F.col("body_kind") == name, F.col(f"of_{name}")) for name in KINDS))
-    return judged.withColumn("body_kind", kind).withColumn("posterior", posterior).drop(*names, *of)
+    return judged.withColumn("guess", guess).withColumn("body_kind", kind).withColumn("posterior", posterior).drop(*names, *of)
 
 
 def not_prose(conversions: DataFrame, pages: DataFrame) -> DataFrame:
@@ -347,8 +376,6 @@ _STATS = ("words", "mean_word_length", "symbol_ratio", "ended_lines", "common_wo
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from leafmill.llm.corpus import rows_to_batches, unique
-
     def rows() -> Iterator[tuple]:
         for rid, md, stored in unique(batches, "result_id", "md_content", "word_count"):
             s = statistics(md.split("\n"))
@@ -360,6 +387,6 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def text_statistics(conversions: DataFrame) -> DataFrame:
     """(result_id, stored_word_count, word_count, mean_word_length, symbol_ratio, ended_lines,
     common_words) of each result with text; an empty text has zeros."""
-    rows = conversions.where("result_id is not null and md_content is not null").select("result_id", "md_content", "word_count").repartition("result_id")
+    rows = settled(conversions.select("result_id", "md_content", "word_count"), "result_id").where("result_id is not null and md_content is not null").repartition("result_id")
     schema = "result_id long, stored_word_count long, word_count long, " + ", ".join(f"{n} double" for n in _STATS[1:])
     return rows.mapInArrow(_statistics, schema)
