@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import reduce
 from pathlib import Path
 
 import pandas as pd
@@ -67,14 +68,22 @@ class Archive:
         self.store.commit(pages=pages, links=links, sources=sources)
 
     def index(self, folder: str | Path, source: str | None = None) -> int:
-        """Reads the notes below ``folder``: registers their URLs and replaces their links. URLs found."""
+        """Reads the notes below ``folder``, which may be one note: registers their URLs and replaces their links. URLs found."""
+        return self._index(folder, source).count()
+
+    def index_all(self) -> int:
+        """Reads every source, in order of their names; a URL of several is registered by the first. URLs found, each once."""
+        found = [self._index(r["path"], r["name"]).select("url") for r in self.store.table("sources").orderBy("name").collect()]
+        return reduce(DataFrame.unionByName, found).distinct().count() if found else 0
+
+    def _index(self, folder: str | Path, source: str | None) -> DataFrame:
         notes, _bad = read_notes(self.spark, folder, source)
         raw = cut_lineage(note_urls(notes))
         told = cut_lineage(with_verdict(raw, "raw", self.rules).where("target is not null"))
         order = F.struct("ord", "pos", "raw")
         found = told.groupBy(F.col("target").alias("url")).agg(F.min(order)["raw"].alias("original_url"))
         self._register(found, links=told.select(F.col("target").alias("url"), "file_path", "source_name").distinct(), files=notes.select("file_path"))
-        return found.count()
+        return found
 
     def register(self, urls: list[str]) -> int:
         """Adds URLs given directly; the first of several forms of one is its original."""
@@ -136,17 +145,16 @@ class Archive:
     def list(self, **options) -> DataFrame:
         return catalog.list_fetched(self.store.table("pages"), self.store.table("links"), **options)
 
-    def prune(self, mode: str, dry_run: bool = False) -> list[str]:
-        """Slugs of the pages removed; with ``dry_run`` of those that would be."""
+    def prune(self, mode: str, dry_run: bool = False) -> DataFrame:
+        """(slug) of the pages removed, in order; with ``dry_run`` of those that would be."""
         pages, links = self.store.table("pages"), self.store.table("links")
         victims = cut_lineage(catalog.prune_victims(pages, links, mode).select("url", "slug"))
-        slugs = sorted(r["slug"] for r in victims.select("slug").toLocalIterator())
-        if slugs and not dry_run:
+        if not dry_run and not victims.isEmpty():
             pages, links = catalog.without(pages, links, victims)
             gone = victims.select("slug")
             changed = {n: self.store.table(n).join(gone, "slug", "left_anti") for n in ("raw_pages", "parsed_pages")}
             self.store.commit(pages=pages, links=links, **changed)
-        return slugs
+        return victims.select("slug").orderBy("slug")
 
     def page(self, url: str) -> dict:
         """The parsed page of a URL, given as stored or in another form; LookupError says why not."""
@@ -185,14 +193,14 @@ class Archive:
         relative = F.regexp_replace("file_path", "^" + _quoted(root) + "/", "")
         files = read_files(self.spark, paths).select(relative.alias("file_path"), F.col("content").cast("string").alias("text"), "error")
         current = cut_lineage(chunked(files.where("error is null and is_valid_utf8(text)")))
-        mine, others = (self.store.table("vectors").where(c) for c in (F.col("collection") == collection, F.col("collection") != collection))
+        mine = self.store.table("vectors", collection)
         walked = files.select(F.col("file_path").alias("source")) if prune else None
         new, stale, gone = (cut_lineage(x) for x in search.index_changes(mine, current, walked))
         drop = stale.select("source", "id").unionByName(gone.select("source", "id"))
         added = _embedded(new, embed).withColumn("collection", F.lit(collection))
-        columns = others.columns
+        columns = mine.columns
         kept = mine.join(drop, ["source", "id"], "left_anti").select(columns)
-        changes = {"vectors": others.unionByName(kept).unionByName(added.select(columns))}
+        changes = {"vectors": {collection: kept.unionByName(added.select(columns))}} if not (new.isEmpty() and drop.isEmpty()) else {}
         if paths and not pinned:
             changes["roots"] = roots.unionByName(self.spark.createDataFrame([(collection, root)], roots.schema))
         self.store.commit(**changes)
@@ -220,9 +228,7 @@ class Archive:
 
     def query(self, text: str, k: int = 5, collection: str | None = None, embed: Embed = hashed_words) -> DataFrame:
         """(rank, confidence, collection, source, line, document): the best chunks of all collections, or one."""
-        vectors = self.store.table("vectors")
-        if collection is not None:
-            vectors = vectors.where(F.col("collection") == collection)
+        vectors = self.store.table("vectors", collection)
         ask = self.spark.createDataFrame([(0, embed([text])[0])], "query_id long, embedding array<float>")
         hits = search.merged(search.nearest(ask, vectors, k, key="id", collection="collection"), k, key="id")
         rows = hits.join(vectors.select("collection", "id", "source", "line", "document"), ["collection", "id"])

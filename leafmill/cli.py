@@ -47,6 +47,7 @@ def parser() -> argparse.ArgumentParser:
     add("source-list")
     add("source-remove", (["name"], text), (["--remove-pages"], flag))
     add("index", (["name"], {"nargs": "?"}), (["--all"], flag))
+    add("index-path", (["path"], text))
     add("get", (["urls"], {"nargs": "+", "help": "- reads them from standard input"}))
     add("extract", (["files"], {"nargs": "*"}), (["-f", "--files-from"], {"help": "file of paths, - for standard input"}))
     add("parse", (["--reparse"], flag))
@@ -94,7 +95,11 @@ def run(a: argparse.Namespace, archive: Archive) -> None:
     elif a.command == "index":
         if bool(a.name) == a.all:
             raise Fail(USAGE, "give a source or --all")
-        print(sum(archive.index(sources[n], n) for n in ([a.name] if a.name else sorted(sources))))
+        print(archive.index(sources[a.name], a.name) if a.name else archive.index_all())
+    elif a.command == "index-path":
+        if not Path(a.path).exists():
+            raise Fail(NO_INPUT, f"no such note or folder: {a.path}")
+        print(archive.index(a.path))
     elif a.command == "get":
         print(archive.register(_lines(sys.stdin) if a.urls == ["-"] else a.urls))
     elif a.command == "extract":
@@ -121,8 +126,7 @@ def run(a: argparse.Namespace, archive: Archive) -> None:
         rows = archive.list(limit=a.n or None, newest=not a.reverse, domain=a.domain, source=a.source)
         show(rows.select(F.left("fetched_at", F.lit(19)).alias("fetched_at"), "domain", "url"), a.json)
     elif a.command == "prune":
-        for slug in archive.prune(a.mode, dry_run=not a.force):
-            print(slug)
+        show(archive.prune(a.mode, dry_run=not a.force), a.json)
     elif a.command == "path":
         try:
             page = archive.page(a.url)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.functions import urlspec
+from leafmill.sources.suffixes import Suffixes
 
 # Public suffixes of two labels that are in wide use. Others are taken to have one label.
 TWO_LABEL_SUFFIXES = (
@@ -39,22 +42,56 @@ def path(url: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), r";[^/]*\z", "")
 
 
-def registered_domain(url: Column, suffixes: list[str] = TWO_LABEL_SUFFIXES) -> Column:
-    """The domain under the public suffix, "" of an address, a single label or a bare suffix."""
+def registered_domain(url: Column, suffixes: Suffixes | list[str] = TWO_LABEL_SUFFIXES) -> Column:
+    """The domain under the public suffix, "" of an address, a single label or a bare suffix.
+
+    ``suffixes`` are those of ``sources.suffixes.read_suffixes``, or a list of such of two labels.
+    """
+    known = suffixes if isinstance(suffixes, Suffixes) else Suffixes(frozenset(suffixes))
     h = F.regexp_replace(host(netloc(url)), r"\.\z", "")
+    if known.labels() > 2 or known.wildcards or known.exceptions:
+        return _let(h, lambda name: _let(_suffix_labels(name, known), lambda of: _registered(name, of, known.labels())))
+    wide = F.substring_index(h, ".", -2).isin(sorted(known.rules))
     labels = F.size(F.split(h, r"\."))
-    wide = F.substring_index(h, ".", -2).isin(list(suffixes))
-    address = h.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}\z|[\[\]]")
     return (
-        F.when(address | (labels < 2) | (wide & (labels == 2)), F.lit(""))
+        F.when(h.rlike(_ADDRESS) | (labels < 2) | (wide & (labels == 2)), F.lit(""))
         .when(wide, F.substring_index(h, ".", -3))
         .otherwise(F.substring_index(h, ".", -2))
     )
 
 
-def domain_for_url(url: Column) -> Column:
+_ADDRESS = r"^\d{1,3}(?:\.\d{1,3}){3}\z|[\[\]]"
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``value``, which is worked out once however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _suffix_labels(name: Column, known: Suffixes) -> Column:
+    """Labels of the public suffix of a host: those of the longest rule that holds, one without any."""
+    of = F.lit(1)
+    for k in range(2, known.labels() + 1):
+        tail, parent = F.substring_index(name, ".", -k), F.substring_index(name, ".", 1 - k)
+        rule = tail.isin(sorted(x for x in known.rules if x.count(".") == k - 1))
+        if wild := sorted(x for x in known.wildcards if x.count(".") == k - 2):
+            rule = rule | parent.isin(wild)
+        of = F.when((F.size(F.split(name, r"\.")) >= k) & rule, F.lit(k)).otherwise(of)
+        if exceptions := sorted(x for x in known.exceptions if x.count(".") == k - 1):
+            of = F.when(tail.isin(exceptions), F.lit(k - 1)).otherwise(of)
+    return of
+
+
+def _registered(name: Column, of: Column, most: int) -> Column:
+    found = F.lit("")
+    for k in range(1, most + 1):
+        found = F.when(of == k, F.substring_index(name, ".", -k - 1)).otherwise(found)
+    return F.when(name.rlike(_ADDRESS) | (F.size(F.split(name, r"\.")) <= of), F.lit("")).otherwise(found)
+
+
+def domain_for_url(url: Column, suffixes: Suffixes | list[str] = TWO_LABEL_SUFFIXES) -> Column:
     """What a URL is filed under: the registered domain, else its netloc in lower case without www."""
-    found = registered_domain(url)
+    found = registered_domain(url, suffixes)
     return F.when(found != "", found).otherwise(F.regexp_replace(F.lower(netloc(url)), r"^www\.", ""))
 
 

@@ -77,6 +77,12 @@ def failures_for(pages: DataFrame, urls: DataFrame) -> DataFrame:
     return lookup(pages.where(F.col("fail_reason").isNotNull()), urls)
 
 
+def run_failures(pages: DataFrame, urls: DataFrame, most: int = 10) -> DataFrame:
+    """(domain, fail_reason, n) of the failures among the ``urls`` of one run, the most frequent first."""
+    rows = failures_for(pages, urls).groupBy("domain", "fail_reason").agg(F.count("*").alias("n"))
+    return rows.orderBy(F.desc("n"), "domain", "fail_reason").limit(most)
+
+
 def candidates(urls: DataFrame, pages: DataFrame, refetch: bool = False) -> DataFrame:
     """(url, original_url) of the urls to fetch: new ones and pending ones, or all with ``refetch``.
 

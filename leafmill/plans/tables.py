@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import html, markdown, urls
 from leafmill.functions.chunks import chunked
-from leafmill.functions.links import extract_urls
+from leafmill.functions.embed import embedded
+from leafmill.functions.links import extract_urls, page_links
 from leafmill.functions.text import word_count
-from leafmill.operators import catalog, crawl, search, verdicts
+from leafmill.operators import catalog, crawl, parse, search, verdicts
 from leafmill.plans.rules import DEFAULT_RULES
-from leafmill.session import table
+from leafmill.session import cut_lineage, table
+from leafmill.sources.fetching import transient
+from leafmill.sources.rules import parse_rules
 from leafmill.streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,10 +137,10 @@ def _vectors(s: SparkSession, d: str) -> DataFrame:
 
 
 def _index_changes(s: SparkSession, d: str) -> DataFrame:
-    """The collection as stored before chunk 5 of each file was written, against the table as it is
-    without first chunks; files of the last source names are gone."""
-    vectors = _vectors(s, d).select("source", "id", "chunk_index")
-    stored, current = vectors.where("chunk_index < 5"), vectors.where("chunk_index > 0 and source < 'r'")
+    """The collection as stored, against the files as they are read now: each first chunk has another text, and so
+    another id, and files whose path has a length divisible by seven are gone."""
+    stored = _vectors(s, d).select("source", "id", "chunk_index")
+    current = stored.where("length(source) % 7 <> 0").withColumn("id", F.when(F.col("chunk_index") == 0, F.md5("id")).otherwise(F.col("id")))
     new, stale, gone = search.index_changes(stored, current, current.select("source").distinct())
     parts = [df.select("source", "id", F.lit(n).alias("change")) for n, df in (("new", new), ("stale", stale), ("pruned", gone))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -177,16 +181,133 @@ def _ranks(s: SparkSession, d: str) -> DataFrame:
 
 
 def _crawl(s: SparkSession, d: str) -> DataFrame:
-    """From each domain's first page: a page's links are those of the files that link it, within its domain."""
-    links = _links(s, d).select("url", "file_path")
+    """From each domain's first page: a page's links are those of the files that link it, within its domain.
+
+    A file's pages are met through the file, so that a file with many makes no product."""
     domains = _pages(s, d, "domain")
+    linked = cut_lineage(_links(s, d).select("url", "file_path").join(domains, "url"))
     seeds = domains.groupBy("domain").agg(F.min("url").alias("url"))
-    # a file's pages of one domain, each linked to the next, so that a much linked page makes no product
-    from pyspark.sql import Window
 
-    order = Window.partitionBy("file_path", "domain").orderBy("url")
-    edges = links.join(domains, "url").select("url", F.lead("url").over(order).alias("link")).where("link is not null").distinct()
-    return crawl.crawl(seeds, lambda frontier: edges.join(frontier, "url", "left_semi"), 2)
+    def links_of(frontier: DataFrame) -> DataFrame:
+        files = linked.join(frontier, "url", "left_semi").select("file_path", "domain").distinct()
+        return linked.join(files, ["file_path", "domain"], "left_semi").select(F.col("url").alias("link"))
+
+    return crawl.crawl(seeds, links_of, 2)
+
+
+def _top_domain(s: SparkSession, d: str) -> str:
+    return _pages(s, d, "domain").groupBy("domain").count().orderBy(F.desc("count"), "domain").first()["domain"]
+
+
+def _rule_actions(s: SparkSession, d: str) -> DataFrame:
+    """Every kind of match and of action, on the pages as they are."""
+    top = _top_domain(s, d)
+    rules = parse_rules(rf"""
+[[rule]]
+name = "no blog of its own"
+type = "host"
+match = "blog.{top}"
+  [[rule.action]]
+  type = "replace"
+  old = "://blog."
+  new = "://"
+[[rule]]
+name = "by way of a mirror"
+type = "starts_with"
+match = "https://docs."
+  [[rule.action]]
+  type = "prepend"
+  text = "https://mirror.example/"
+[[rule]]
+name = "a year is enough"
+type = "regex"
+match = '^https://[^/]+/\d{{4}}/\d\d/'
+  [[rule.action]]
+  type = "regex_replace"
+  pattern = '/(\d{{4}})/\d\d/'
+  replacement = "/$1/"
+[[rule]]
+name = "not this site"
+type = "domain"
+match = "{top}"
+  [[rule.action]]
+  type = "skip"
+  reason = "too much of it"
+""")
+    return verdicts.with_verdict(_pages(s, d, "url"), "url", rules)
+
+
+def _run_failures(s: SparkSession, d: str) -> DataFrame:
+    """The ten most frequent failures among the pages of one run: those of one source's links."""
+    run = _links(s, d).where(F.col("source_name") == _source(s, d))
+    return catalog.run_failures(_pages(s, d, "domain", "fail_reason"), run)
+
+
+def _fetch_errors(s: SparkSession, d: str) -> DataFrame:
+    """What a browser may say of each page, in short, and whether it is worth another attempt."""
+    said = ("Timeout 30000ms exceeded.", "net::ERR_NAME_NOT_RESOLVED at https://x\nCall log", "net::ERR_CONNECTION_REFUSED", "net::ERR_CONNECTION_RESET at", "odd\nmore", "timeout")
+    message = F.element_at(F.array(*map(F.lit, said)), F.length("url") % len(said) + 1)
+    rows = _pages(s, d, "url").select("url", message.alias("message"))
+    return rows.select("url", html.fetch_error(F.col("message")).alias("reason"), transient(F.col("message")).alias("again"))
+
+
+def _site_html() -> F.Column:
+    """HTML of a page, of a size and with a number of words that follow from its address."""
+    n = F.length("url")
+    return F.concat(
+        F.lit("<html><head><title> "), F.coalesce("title", F.lit("")), F.lit(" </title><style>"), F.repeat(F.lit("x"), 20 * (n % 31)), F.lit("</style></head><body><nav>Home</nav><h1>"), F.col("slug"),
+        F.lit("</h1><p>"), F.repeat(F.lit("plain words here "), n % 23), F.lit("</p><ul><li>first</li><li>second</li></ul><footer>the end</footer></body></html>"),
+    )
+
+
+def _parsed_pages(s: SparkSession, d: str) -> DataFrame:
+    pages = _pages(s, d, "slug", "title", "content_type")
+    return parse.parsed(pages, pages.select("slug", _site_html().alias("html")))
+
+
+def _page_links(s: SparkSession, d: str) -> DataFrame:
+    """Links of a page that names its address, a neighbour and a mail address."""
+    body = F.concat(F.lit("<p><a href=\""), F.col("url"), F.lit("\">x</a> <a href=\"/next\">y</a> <a href=\"mailto:a@b.example\">z</a></p>"))
+    rows = _pages(s, d, "url").withColumn("html", body)
+    return rows.select("url", F.explode(page_links("html", "url")).alias("link"))
+
+
+class LetterShares:
+    """An embedder that a reader can follow: how often each letter of the alphabet occurs."""
+
+    dimension = 26
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        counts = np.array([[t.lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts], float)
+        counts[counts.sum(axis=1) == 0, 0] = 1
+        return counts / np.linalg.norm(counts, axis=1, keepdims=True)
+
+
+def _embedded(s: SparkSession, d: str) -> DataFrame:
+    vectors = _vectors(s, d).select("vec_id", embedded(F.col("document"), LetterShares()).alias("v"))
+    return vectors.select("vec_id", F.posexplode("v").alias("letter", "share")).select("vec_id", "letter", F.round(F.col("share").cast("double"), 3).alias("share"))
+
+
+def _plain_steps(s: SparkSession, d: str) -> DataFrame:
+    """The steps of the clean-up that need no look-around."""
+    return _documents(s, d).select("doc_id", markdown.clean_markdown(F.col("text"), ("missing spaces",)).alias("spaced"))
+
+
+def _chunk_checks(s: SparkSession, d: str) -> DataFrame:
+    """Of each document with chunks: that they are numbered without a gap, no longer than they may be, in order of
+    their lines and addressed by their content."""
+    docs = _documents(s, d)
+    chunks = chunked(docs)
+    own = F.sha2(F.concat_ws(":", "source", F.col("index").cast("string"), F.col("line").cast("string"), "text"), 256)
+    made = chunks.groupBy("source").agg(
+        F.count("*").alias("chunks"), F.max("index").alias("last"), F.max(F.length("text") - F.length("heading")).alias("longest"),
+        F.min((F.col("id") == own).cast("int")).alias("addressed"), F.transform(F.sort_array(F.collect_list(F.struct("index", "line"))), lambda x: x["line"]).alias("lines"),
+    )
+    rows = docs.select(F.col("file_path").alias("source")).join(made, "source")
+    return rows.select(
+        "source", (F.col("last") == F.col("chunks") - 1).alias("numbered"), (F.col("longest") <= 1200 + 200 + 2).alias("short"),
+        (F.col("addressed") == 1).alias("addressed"), (F.col("lines") == F.sort_array("lines")).alias("in_order"),
+    )
 
 
 def _stream_windows(s: SparkSession, d: str) -> DataFrame:
@@ -236,6 +357,14 @@ def queries() -> dict[str, Query]:
         "retrieval_metrics": lambda s, d: search.metrics(_ranks(s, d)),
         "imperfect_queries": lambda s, d: search.imperfect(_ranks(s, d)),
         "crawl": _crawl,
+        "rule_actions": _rule_actions,
+        "run_failures": _run_failures,
+        "fetch_errors": _fetch_errors,
+        "parsed_pages": _parsed_pages,
+        "page_links": _page_links,
+        "embedded_chunks": _embedded,
+        "markdown_spaces": _plain_steps,
+        "chunk_checks": _chunk_checks,
         "event_windows": lambda s, d: events.windowed(table(s, d, "events")).withColumn("total", F.round("total", 2)),
         "event_sliding_windows": lambda s, d: events.windowed(table(s, d, "events"), "2 days", slide="1 day").select("start", "event_type", "n"),
         "event_sessions": lambda s, d: events.sessions(table(s, d, "events")),

@@ -45,23 +45,39 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder; what is there goes when the driver ends."""
+    path = f"{checkpoint_dir(spark)}/leafmill-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once to a Parquet table in the shared checkpoint folder, and read back.
 
     It cuts the lineage as checkpoint() does but runs the plan only once, and later
-    passes read only the columns they need. The tables go when the driver ends.
+    passes read only the columns they need. The tables go when the driver ends, or
+    when ``discard`` is told that they are not needed any more.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/leafmill-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._leafmill_path = path
+    return back
 
 
 #: The name under which iterations cut their lineage.
 cut_lineage = written
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that no result depends on; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "_leafmill_path", None):
+            _remove(df.sparkSession, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -18,7 +18,9 @@ FRONT_MATTER = r"(?Uds)\A---\s*\n.*?\n---\s*\n"
 
 
 def find_notes(folder: str | Path, suffixes: tuple[str, ...] = SUFFIXES) -> list[str]:
-    """Paths of all notes below ``folder``, hidden ones too, in order of their parts."""
+    """Paths of all notes below ``folder``, hidden ones too, in order of their parts; ``folder`` may be one note."""
+    if Path(folder).is_file():
+        return [str(folder)] if Path(folder).suffix in suffixes else []
     return [str(p) for p in sorted(p for p in Path(folder).rglob("*") if p.suffix in suffixes and p.is_file())]
 
 

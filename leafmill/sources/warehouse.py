@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leafmill.schema import TABLES
 
+#: Tables with a snapshot for each value of a column, so that a change rewrites its part only.
+PARTS = {"vectors": "collection"}
 NAME = re.compile(r"[a-zA-Z0-9][a-zA-Z0-9._-]{1,510}[a-zA-Z0-9]")
 
 
@@ -26,33 +28,40 @@ class Warehouse:
         self.folder = Path(folder)
         self.pointer = self.folder / "CURRENT.json"
 
-    def versions(self) -> dict[str, str]:
+    def versions(self) -> dict[str, str | dict[str, str]]:
         try:
             return json.loads(self.pointer.read_text(encoding="utf-8"))
         except FileNotFoundError:
             return {}
 
-    def table(self, name: str) -> DataFrame:
-        """The current snapshot; an empty table before the first commit."""
+    def table(self, name: str, part: str | None = None) -> DataFrame:
+        """The current snapshot, or that of one ``part`` of a table in ``PARTS``; an empty table before the first commit."""
         version = self.versions().get(name)
-        if version is None:
+        if isinstance(version, dict):
+            version = [version[part]] if part in version else [] if part is not None else list(version.values())
+        if not version:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(str(self.folder / name / version))
+        paths = [str(self.folder / name / v) for v in ([version] if isinstance(version, str) else version)]
+        return self.spark.read.schema(TABLES[name]).parquet(*paths)
 
-    def commit(self, **tables: DataFrame) -> None:
-        """New snapshots of some tables; what cannot be written changes nothing."""
+    def commit(self, **tables: DataFrame | dict[str, DataFrame]) -> None:
+        """New snapshots of some tables, or of some parts of a table in ``PARTS``, given by part; what cannot be written changes nothing."""
         versions = self.versions()
-        old = {n: versions.get(n) for n in tables}
-        for name, df in tables.items():
-            version = uuid.uuid4().hex
+        old = []
+        for name, content in tables.items():
             columns = [f.name for f in TABLES[name].fields]
-            df.select(*columns).write.parquet(str(self.folder / name / version))
-            versions[name] = version
+            parts = content if name in PARTS else {None: content}
+            for part, df in parts.items():
+                version = uuid.uuid4().hex
+                df.select(*columns).write.parquet(str(self.folder / name / version))
+                where, key = (versions, name) if part is None else (versions.setdefault(name, {}), part)
+                old.append((name, where.get(key)))
+                where[key] = version
         self.folder.mkdir(parents=True, exist_ok=True)
         new = self.pointer.with_suffix(f".{uuid.uuid4().hex}")
         new.write_text(json.dumps(versions), encoding="utf-8")
         os.replace(new, self.pointer)
-        for name, version in old.items():
+        for name, version in old:
             if version:
                 shutil.rmtree(self.folder / name / version, ignore_errors=True)
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.session import checkpoint_dir
+from leafmill.session import scratch
 
 
 def read_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -42,7 +41,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
 
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "append", state: str | None = None) -> None:
     """Runs a stream over all that is there and stops; a restart with the same ``state`` goes on where it ended."""
-    place = state or f"{checkpoint_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    place = state or scratch(stream.sparkSession)
     query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", place).trigger(availableNow=True).start()
     query.awaitTermination()
 
@@ -50,7 +49,7 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], mod
 def streamed_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """The result of a stream over all that is there: of complete mode its last state, of append mode all rows."""
     spark = stream.sparkSession
-    path = f"{checkpoint_dir(spark)}/result-{uuid.uuid4().hex}"
+    path = scratch(spark)
 
     def sink(batch: DataFrame, _number: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)

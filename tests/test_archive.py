@@ -69,3 +69,31 @@ def test_search_index(spark, tmp_path):
             raise AssertionError("accepted")
         except ValueError:
             pass
+
+
+def test_one_note_and_all_sources(spark, tmp_path):
+    for name, text in (("one", "https://e.com/a https://e.com/b"), ("two", "https://e.com/b?utm_source=x https://e.com/c")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "n.md").write_text(text, encoding="utf-8")
+    archive = Archive(spark, tmp_path / "home")
+    assert archive.index(tmp_path / "one" / "n.md") == 2 and archive.index(tmp_path / "one" / "n.png") == 0
+    assert archive.index_all() == 0
+    for name in ("two", "one"):
+        archive.add_source(name, str(tmp_path / name))
+    assert archive.index_all() == 3
+    assert {r["original_url"] for r in archive.store.table("pages").collect()} == {"https://e.com/a", "https://e.com/b", "https://e.com/c"}
+
+
+def test_a_collection_is_a_part_of_its_own(spark, tmp_path):
+    archive = Archive(spark, tmp_path / "home")
+    for name in ("cats", "dogs"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "n.md").write_text(f"# {name}\n{name} sleep\n", encoding="utf-8")
+        assert archive.index_documents(tmp_path / name, name) == (1, 1, 0)
+    before = archive.store.versions()["vectors"]
+    (tmp_path / "dogs" / "n.md").write_text("# dogs\ndogs run\n", encoding="utf-8")
+    assert archive.index_documents(tmp_path / "dogs", "dogs") == (1, 1, 0) and archive.index_documents(tmp_path / "cats", "cats") == (1, 0, 0)
+    after = archive.store.versions()["vectors"]
+    assert before["cats"] == after["cats"] and before["dogs"] != after["dogs"]
+    assert {r["collection"] for r in archive.query("cats", 5).collect()} == {"cats", "dogs"} and archive.query("cats", 5, "dogs").count() == 1
+    assert archive.store.table("vectors", "none").count() == 0

@@ -44,8 +44,8 @@ def test_anchors():
 
 
 def python_clean(text):
-    for pattern, by in [(markdown.INLINE_CODE, r"\1"), *((p, r"\1") for p in markdown.EMPHASIS), (markdown.MISSING_SPACE, r"\1 \2"), *((p, "") for p in (*markdown.LIST_LEFTOVERS, *markdown.ORPHAN_BRACKETS))]:
-        text = re.sub(pattern, by, text)
+    for _step, pattern, by in markdown.REWRITES:
+        text = re.sub(pattern, by.replace("$", "\\"), text)
     return text
 
 

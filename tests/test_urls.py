@@ -181,3 +181,14 @@ def test_plan_stays_small(spark, plan):
     df = spark.createDataFrame([("https://a.com/x/", 2)], "u string, o int")
     text = registered(df, "u", "o", RULES)._jdf.queryExecution().optimizedPlan().toString()
     assert len(text) < 60_000
+
+
+def test_public_suffixes_of_a_file(spark, tmp_path):
+    from leafmill.sources.suffixes import read_suffixes
+
+    path = tmp_path / "suffixes.dat"
+    path.write_text("// a remark\ncom\nco.uk\ngithub.io\n*.ck\n!www.ck\npvt.k12.ma.us\n\nde // another\n", encoding="utf-8")
+    known = read_suffixes(path)
+    hosts = {"a.b.co.uk": "b.co.uk", "me.github.io": "me.github.io", "github.io": "", "x.y.ck": "x.y.ck", "y.ck": "", "a.www.ck": "www.ck", "www.ck": "www.ck", "s.pvt.k12.ma.us": "s.pvt.k12.ma.us", "a.ma.us": "ma.us", "a.b.de": "b.de", "1.2.3.4": "", "de": ""}
+    rows = spark.createDataFrame([(f"https://{h}/x",) for h in hosts], "u string")
+    assert [r[0] for r in rows.select(urls.registered_domain(F.col("u"), known)).collect()] == list(hosts.values())
