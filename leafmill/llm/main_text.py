@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.bodies import MINIMA, page_sketches, resemblance
@@ -60,19 +60,19 @@ _ANNOUNCE = r"^[\s\p{Z}>*_]*\p{L}[^\p{Nd}|;{}()=<\[\]\t]{8,90}$"
 _HEADED = r"^[ >*_]*#"
 _SENTENCE = r"[.!?][\"”’]?(?:\s|$)"
 _FIRST = re.compile(r"[^\W\d_]+")
+_SKETCH = [f"m{i}" for i in range(MINIMA)]
 _NODE = pa.schema(
     [("domain", pa.string()), ("key", pa.int64()), ("first", pa.int32()), ("n_domain", pa.int64()), ("result_id", pa.int64()), ("n", pa.int64()), ("apart", pa.int64())]
-    + [("beside", pa.int64()), ("headed", pa.int64()), ("drawn", pa.list_(pa.list_(pa.int32())))]
+    + [("beside", pa.int64()), ("headed", pa.int64()), *((m, pa.int32()) for m in _SKETCH)]
 )
-_NODE_SQL = "domain string, key long, first int, n_domain long, result_id long, n long, apart long, beside long, headed long, drawn array<array<int>>"
+_NODE_SQL = "domain string, key long, first int, n_domain long, result_id long, n long, apart long, beside long, headed long, " + ", ".join(f"{m} int" for m in _SKETCH)
 #: Pages whose lines are counted before the counts are handed on.
 AT_ONCE = 4000
 
 
 def _count_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of each node over the pages of a task: pages, as a line apart, beside an article, as a heading; and the
-    texts, sketched, of a few pages that have it as a line apart. Of hosts with more than ``WIDE`` pages a row for each
-    line apart and page, too, with result_id and without counts."""
+    """Counts of each node over the pages of a task: pages, as a line apart, beside an article, as a heading; and for
+    each line apart and page a row with result_id and a sketch of the page, and without counts."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in distinct_rows(batches):
@@ -125,27 +125,15 @@ def _nodes(pages: pa.Table) -> Iterator[pa.RecordBatch]:
     beside = article[page] & (flags > 0)
     columns = [domain[page[starts]], hashes[code[starts]], firsts[code[starts]], n_domain[page[starts]], np.diff(np.append(starts, len(own)))]
     columns += [np.add.reduceat(x.astype(np.int64), starts) for x in (flags > 0, beside, flags > 1)]
-    # the pages of the smallest hashes, and their sketches
+    nothing = [pa.nulls(len(starts), pa.int32())] * MINIMA
+    rows = [domains.dictionary.take(pa.array(columns[0])), *map(pa.array, columns[1:4]), pa.nulls(len(starts), pa.int64()), *map(pa.array, columns[4:]), *nothing]
+    yield pa.RecordBatch.from_arrays(rows, schema=_NODE)
     plain = flags == 1
-    drawn_by = (rid.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int32)
-    sketches = np.column_stack([drawn_by, page_sketches(unique_keys, page, code, len(rid))])
-    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(own))))[plain]
-    first = np.lexsort((drawn_by[page[plain]], group))
-    group, drawn_page = group[first], page[plain][first]
-    begins = _starts(group)
-    few = np.arange(len(group)) - np.repeat(begins, np.diff(np.append(begins, len(group)))) < DRAWN
-    group, drawn_page = group[few], drawn_page[few]
-    per_node = np.bincount(group, minlength=len(starts))
-    inner = pa.ListArray.from_arrays(pa.array(np.arange(len(drawn_page) + 1, dtype=np.int32) * sketches.shape[1]), pa.array(sketches[drawn_page].ravel()))
-    drawn = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_node)]).astype(np.int32)), inner)
-    rows = [domains.dictionary.take(pa.array(columns[0])), *map(pa.array, columns[1:4]), pa.nulls(len(starts), pa.int64()), *map(pa.array, columns[4:]), drawn]
+    p, c = page[plain], code[plain]
+    sketches = page_sketches(unique_keys, page, code, len(rid))[p]
+    none = pa.array(np.zeros(len(p), np.int64))
+    rows = [domains.dictionary.take(pa.array(domain[p])), pa.array(hashes[c]), pa.array(firsts[c]), pa.array(n_domain[p]), pa.array(rid[p]), none, none, none, none, *(pa.array(sketches[:, i]) for i in range(MINIMA))]
     yield pa.RecordBatch.from_arrays(rows, schema=_NODE)
-    wide = plain & (n_domain[page] > WIDE)
-    if wide.any():
-        p, c = page[wide], code[wide]
-        none = pa.array(np.zeros(len(p), np.int64))
-        rows = [domains.dictionary.take(pa.array(domain[p])), pa.array(hashes[c]), pa.array(firsts[c]), pa.array(n_domain[p]), pa.array(rid[p]), none, none, none, none, pa.nulls(len(p), _NODE.field("drawn").type)]
-        yield pa.RecordBatch.from_arrays(rows, schema=_NODE)
 
 
 def _starts(values: np.ndarray) -> np.ndarray:
@@ -168,8 +156,7 @@ def _templates(conversions: DataFrame, where: DataFrame) -> tuple[DataFrame, Dat
     texts = beside_text(conversions, where.select("result_id", "domain", "n_domain"))
     parts = texts.mapInArrow(_count_nodes, _NODE_SQL)
     counted = parts.groupBy("key", "domain", "result_id").agg(
-        F.max("first").alias("first"), F.max("n_domain").alias("of"), *(F.sum(c).alias(c) for c in ("n", "apart", "beside", "headed")),
-        F.slice(F.sort_array(F.flatten(F.collect_list("drawn"))), 1, DRAWN).alias("drawn"),
+        F.max("first").alias("first"), F.max("n_domain").alias("of"), *(F.sum(c).alias(c) for c in ("n", "apart", "beside", "headed")), *(F.max(m).alias(m) for m in _SKETCH)
     )
     # an article's own headings return, too; a heading of the page is on most pages
     heading = (F.col("headed") * 2 > F.col("n")) & (F.col("n") * 2 < F.col("of"))
@@ -181,15 +168,17 @@ def _templates(conversions: DataFrame, where: DataFrame) -> tuple[DataFrame, Dat
     shared = hosts.where(
         (F.col("hosts") >= MIN_HOSTS) & (F.col("all_beside") >= BESIDE_ARTICLE * F.col("all_apart")) & (F.col("all_headed") <= AS_HEADING * F.col("all_apart"))
     )
-    pages = apart.join(shared.select("key"), "key", "left_semi").select("key", F.explode("drawn").alias("page"))
-    alike = resemblance(pages.select("key", F.slice("page", 2, MINIMA).alias("least")), "key")
+    some = Window.partitionBy("key", "domain").orderBy(F.xxhash64("result_id"))
+    lines = nodes.where("result_id is not null")
+    pages = lines.join(shared.select("key"), "key", "left_semi").withColumn("drawn", F.row_number().over(some)).where(F.col("drawn") <= DRAWN)
+    alike = resemblance(pages.select("key", F.array(*_SKETCH).alias("least")), "key")
     shared = written(alike.where(F.col("alike") < ALIKE).select("key"))
     own = nodes.where(constant & F.col("result_id").isNull()).select("domain", "key", "first", F.lit(1).alias("kind"))
     common = apart.join(shared, "key", "left_semi").select("domain", "key", "first", (F.col("n") * WIDE >= F.col("of")).alias("often"))
     of = lambda kind: F.collect_set(F.when(F.col("kind") == kind, F.col("key")))
     frequent = common.where("often").select("domain", "key", "first", F.lit(2).alias("kind"))
     by_domain = own.unionByName(frequent).groupBy("domain").agg(of(1).alias("constant"), of(2).alias("shared"), F.collect_set("first").alias("firsts"))
-    seldom = nodes.where("result_id is not null").join(common.where("not often").select("domain", "key"), ["domain", "key"], "left_semi")
+    seldom = lines.join(common.where("not often").select("domain", "key"), ["domain", "key"], "left_semi")
     by_page = seldom.groupBy("result_id").agg(F.collect_set("key").alias("rare"), F.collect_set("first").alias("rare_firsts"))
     return by_domain, by_page
 

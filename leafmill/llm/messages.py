@@ -68,7 +68,7 @@ PHRASES = tuple(
 
 SLOT = "<*>"
 _QUOTED = re.compile(r"[\"“„«][^\"”“»]{3,}")
-_SENTENCE = re.compile(r"(?<=[.!?…])[\"”’»)]*\s+")
+_SENTENCE = re.compile(r"[.!?…][\"”’»)]*\s+")
 _TOKEN = re.compile(r"[^\W_]+")
 _DIGIT = re.compile(r"\d")
 _LEAD = re.compile(r"^(?:#{1,6}|[-•–—])\s+[>*_]*")
@@ -77,19 +77,18 @@ _LEAD = re.compile(r"^(?:#{1,6}|[-•–—])\s+[>*_]*")
 # ---- the sentences of one main text ---------------------------------------------
 
 
-def masked(sentence: str) -> list[str]:
-    """The tokens of ``sentence`` in lower case; one with a digit is a slot."""
-    low = sentence.lower()
-    tokens = _TOKEN.findall(low)
-    return [SLOT if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(low) else tokens
+def masked(tokens: list[str]) -> list[str]:
+    """``tokens``; one with a digit is a slot."""
+    return [SLOT if _DIGIT.search(t) else t for t in tokens]
 
 
-def body_sentences(lines: list[str]) -> dict[str, int]:
-    """The masked sentences of a main text, each with its words; lines of a wrapped paragraph are joined.
+def body_sentences(lines: list[str], rare: frozenset[str] = frozenset(), common: frozenset[str] = frozenset()) -> tuple[dict[str, int], int, int, int]:
+    """The masked sentences of a main text, each with its words; all its words; those in ``rare``, and in ``common``.
 
-    What is quoted is no message, and no sentence with a quotation is here.
+    Lines of a wrapped paragraph are joined. What is quoted is no message, and no sentence with a quotation is here.
     """
     out: dict[str, int] = {}
+    words = in_rare = in_common = 0
     paragraphs: list[str] = []
     last = 0  # length of the line before; none after a blank one
     for line in lines:
@@ -105,13 +104,21 @@ def body_sentences(lines: list[str]) -> dict[str, int]:
             paragraphs.append(s)
         last = len(s)
     for paragraph in paragraphs:
-        quotes = any(map(paragraph.__contains__, "\"“„«"))
+        paragraph = paragraph.lower()
+        quotes = '"' in paragraph or "“" in paragraph or "„" in paragraph or "«" in paragraph
+        digits = _DIGIT.search(paragraph)
         for part in _SENTENCE.split(paragraph):
-            tokens = masked(part)
-            if tokens and not (quotes and _QUOTED.search(part)):
-                key = " ".join(tokens)
+            tokens = _TOKEN.findall(part)
+            if not tokens:
+                continue
+            words += len(tokens)
+            if rare:
+                in_rare += sum(map(rare.__contains__, tokens))
+                in_common += sum(map(common.__contains__, tokens))
+            if not (quotes and _QUOTED.search(part)):
+                key = " ".join(masked(tokens) if digits else tokens)
                 out[key] = out.get(key, 0) + len(tokens)
-    return out
+    return out, words, in_rare, in_common
 
 
 def leaf_of(sentence: str, tokens: int) -> int:
@@ -149,16 +156,15 @@ FIELDS = [("keys", pa.list_(pa.int64())), ("sentence_words", pa.list_(pa.int32()
 FIELDS_SQL = "keys array<long>, sentence_words array<int>, leaves array<long>, flags array<int>, sentences array<string>"
 
 
-def sentence_facts(lines: list[str]) -> tuple[list, ...]:
-    """The values of ``FIELDS`` of a main text."""
-    found = body_sentences(lines)
-    texts, counts = list(found), list(found.values())
+def sentence_facts(found: dict[str, int]) -> tuple[list, ...]:
+    """The values of ``FIELDS`` of a main text with these sentences."""
+    texts = list(found)
     leaves, flags = [], []
     for text, says in zip(texts, saying(texts)):
         tokens = text.count(" ") + 1
         leaves.append(leaf_of(text, tokens))
         flags.append(says | (SLOT not in text or text.count(SLOT) * TOKENS_A_SLOT <= tokens) << 1)
-    return list(map(hash64, texts)), counts, leaves, flags, texts
+    return list(map(hash64, texts)), list(found.values()), leaves, flags, texts
 
 
 # ---- templates -------------------------------------------------------------------
@@ -324,8 +330,8 @@ def message_templates(facts: DataFrame, rows: DataFrame) -> tuple[DataFrame, Dat
     pages = found.groupBy("result_id").agg((F.sum("n") / F.max("words")).alias("share"))
     shared = found.select("result_id", "key").join(pages, "result_id")
     kept = shared.groupBy("key").agg(F.avg((F.col("share") >= BODY).cast("int")).alias("most")).where(F.col("most") >= BODY).select("key")
-    own = shared.join(kept, "key", "left_semi").groupBy("result_id").agg(F.collect_list("key").alias("own"), F.max("share").alias("share"))
-    bodies = facts.select("result_id", F.xxhash64("domain").alias("host"), "words", "keys", "sentences", "flags").join(own.hint("shuffle_hash"), "result_id")
+    own = written(shared.join(kept, "key", "left_semi").groupBy("result_id").agg(F.collect_list("key").alias("own"), F.max("share").alias("share")))
+    bodies = facts.select("result_id", F.xxhash64("domain").alias("host"), "words", "keys", "sentences", "flags").join(small_side(own, 400), "result_id")
     studied = written(bodies.mapInArrow(_studied, "result_id long, key long, sentence string, host long, share double, words long, said int, least array<int>"))
     of_key = resemblance(studied.where(F.size("least") > 0).select("key", "least"), "key").where("pages > 1")
     sentences = studied.groupBy("key").agg(F.first("sentence").alias("sentence"), F.max("said").alias("said")).join(of_key, "key", "left")

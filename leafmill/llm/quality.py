@@ -62,6 +62,7 @@ _WORD = re.compile(r"\w+")
 _STOPS = ".!?…。！？"
 _STOP_LAST = re.compile(r"[.!?…。！？][\"”’»)*_]*$")
 _MARKED = re.compile(r"^\s*(?:[-*•–—‣+·]|\d{1,3}[.)]|[a-z]\))\s+\S")
+_MARK_SIGNS = frozenset("-*•–—‣+·")
 _RULE = re.compile(r"^[\s|:+=-]+$")
 _END = re.compile(r"[.!?…。！？:][\"”’»)*_]*$")
 _HEAD = re.compile(r"^\s*#{1,6}\s")
@@ -124,7 +125,7 @@ def _block_kinds(lines: list[str], block: list[int], kinds: list[str]) -> None:
             kinds[i] = "head"
         elif first == "|" or ("|" in line and _RULE.match(line)):
             kinds[i] = "table"
-        elif _MARKED.match(line):
+        elif (first in _MARK_SIGNS or first.isdigit() or ")" in line[:8]) and _MARKED.match(line):
             kinds[i] = "list"
         else:
             kinds[i] = "text"
@@ -220,11 +221,10 @@ def _slots(text: str, lines: list[str], kinds: list[str] | None = None) -> int:
     return len(_SLOT.findall("\n".join(line for line, kind in zip(lines, kinds) if kind not in ("code", "list")) if "code" in kinds or "list" in kinds else text))
 
 
-def residue_statistics(lines: list[str]) -> tuple[int, float, int]:
-    """words, filler and slots of ``statistics``, which is all that residue needs."""
-    text = "\n".join(lines)
-    words = _WORD.findall(text.lower())
-    return len(words), _filler(words, sum(map(COMMON.__contains__, words)) / max(1, len(words))), _slots(text, lines)
+def residue_facts(lines: list[str]) -> tuple:
+    """words, filler and slots of ``statistics``, which is all that residue needs, and the sentences."""
+    found, words, filler, common = messages.body_sentences(lines, FILLER, COMMON)
+    return words, filler / max(1, words) if common < 0.3 * words else 0.0, _slots("\n".join(lines), lines), *messages.sentence_facts(found)
 
 
 def _schema(names: list[str]) -> tuple[pa.Schema, str]:
@@ -240,12 +240,12 @@ _RESIDUE, _RESIDUE_SQL = _schema(["words", "filler", "slots"])
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     values = attrgetter(*(f.name for f in fields(Stats)))
-    rows = ((rid, domain, *values(statistics(lines)), *messages.sentence_facts(lines)) for rid, lines, domain in main_lines(batches))
+    rows = ((rid, domain, *values(statistics(lines)), *messages.sentence_facts(messages.body_sentences(lines)[0])) for rid, lines, domain in main_lines(batches))
     return rows_to_batches(rows, _FACTS, 500)
 
 
 def _residue_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = ((rid, domain, *residue_statistics(lines), *messages.sentence_facts(lines)) for rid, lines, domain in main_lines(batches))
+    rows = ((rid, domain, *residue_facts(lines)) for rid, lines, domain in main_lines(batches))
     return rows_to_batches(rows, _RESIDUE, 500)
 
 
