@@ -8,8 +8,8 @@ the largest prefix that at most ``CANDIDATES`` vectors share; where fewer than
 half as many do, it ascends to the prefix around that, so in every tree it meets
 ``CANDIDATES / 2`` others at least. Candidates are compared exactly where they
 lie. Where even whole strings are shared by more, further bits are drawn inside
-that run, so dense groups are split like any other. The best of all trees are
-merged.
+that run, so dense groups are split like any other, and over several tasks if
+they are too large for one. The best of all trees are merged.
 
 Projections are fitted on a bounded sample: random directions scaled by its
 covariance, thresholds at its medians. Every vector is indexed and queried.
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.corpus import rows_to_batches
+from leafmill.session import written
 
 #: Neighbours of each vector.
 K = 5
@@ -76,10 +77,12 @@ def unit_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: s
     return units.groupBy("vec_id").agg(F.min_by("same", "same").alias("same"), F.min_by("unit", "same").alias("unit"))
 
 
-def projections(units: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Directions and thresholds of all trees, fitted on ``SAMPLE`` vectors that a hash of vec_id draws; these."""
-    rows = units.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("unit").collect()
-    sample = np.stack([np.frombuffer(r[0], np.float32) for r in rows]).astype(np.float64)
+def projections(units: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Directions and thresholds of all trees, fitted on about ``SAMPLE`` of the ``n`` vectors, those that a hash of vec_id draws; these."""
+    drawn = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 32)) < int((1 << 32) * min(1.0, SAMPLE / n))
+    rows = units.where(drawn).select("vec_id", "unit").collect() or units.limit(1).select("vec_id", "unit").collect()
+    rows.sort()
+    sample = np.stack([np.frombuffer(r["unit"], np.float32) for r in rows]).astype(np.float64)
     size = sample.shape[1]
     values, axes = np.linalg.eigh(np.cov(sample.T).reshape(size, size) if len(sample) > 1 else np.eye(size))
     spread = axes * np.sqrt(np.maximum(values, 1e-9))
@@ -116,25 +119,54 @@ def cells_of(strings: np.ndarray, n: int) -> np.ndarray:
     return np.array(sorted(starts), np.int64)
 
 
+#: Of a whole string that more entries share than a cell should hold: further directions and thresholds, which cut it.
+Cut = tuple[np.ndarray, np.ndarray]
+
+
+def crowded(strings: np.ndarray, sample: np.ndarray, n: int, tree: int) -> dict[int, Cut]:
+    """How the whole strings of a tree of ``n`` entries that are too large for a task are cut into 2, 4, ... cells, told
+    from the ``strings`` of a sample: around what its vectors have in common, in each tree another way."""
+    out = {}
+    values, counts = np.unique(strings, return_counts=True)
+    for value, count in zip(values.tolist(), counts.tolist()):
+        cuts = min(int(np.ceil(np.log2(max(1.0, count * n / len(strings) / RUN)))), int(np.log2(max(1, count // SAMPLED))))
+        if cuts > 0:
+            own = sample[strings == value]
+            rng = np.random.default_rng([tree, value, 1])
+            basis = own - own.mean(axis=0)
+            directions = (basis.T @ rng.standard_normal((len(own), cuts)).astype(np.float32)).astype(np.float32)
+            out[value] = directions, np.median(own @ directions, axis=0)
+    return out
+
+
 _ENTRY = "tree int, cell int, string long, ids array<long>, unit binary"
 
 
-def _strings(directions: np.ndarray, thresholds: np.ndarray, cells: list[np.ndarray] | None = None):
+def _strings(directions: np.ndarray, thresholds: np.ndarray, cells: list[np.ndarray] | None = None, cuts: list[dict[int, Cut]] | None = None):
     starts = cells or [np.zeros(1, np.int64)] * TREES
     first = np.cumsum([0, *map(len, starts)])
+    further: list[dict[int, tuple[int, Cut]]] = []
+    at = int(first[-1])
+    for of_tree in cuts or [{}] * TREES:
+        further.append({})
+        for value, cut in of_tree.items():
+            further[-1][value] = at, cut
+            at += 1 << len(cut[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                if not part.num_rows:
-                    continue
                 unit = part.column("unit")
                 x = np.stack([np.frombuffer(u, np.float32) for u in unit.to_pylist()])
                 strings = strings_of(x, directions, thresholds)
                 for t in range(TREES):
                     own = np.ascontiguousarray(strings[:, t])
                     cell = (first[t] + np.searchsorted(starts[t], own, side="right") - 1).astype(np.int32)
+                    for value, (base, (more, above)) in further[t].items():
+                        rows = np.flatnonzero(own == value)
+                        if len(rows):
+                            cell[rows] = base + (x[rows] @ more > above) @ (1 << np.arange(len(above)))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(x), t, np.int32)), pa.array(cell), pa.array(own), part.column("ids"), unit], ["tree", "cell", "string", "ids", "unit"]
                     )
@@ -268,19 +300,23 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", vector_column: str =
     others there are fewer rows.
     """
     spark = vectors.sparkSession
-    units = unit_vectors(vectors, id_column, vector_column)
-    if units.isEmpty():
+    units = written(unit_vectors(vectors, id_column, vector_column))  # five uses follow
+    n = units.count()
+    if not n:
         return spark.createDataFrame([], "vec_id long, near_id long, rank int, cosine double")
-    directions, thresholds, sample = projections(units)
+    directions, thresholds, sample = projections(units, n)
     # of each direction the k + 1 smallest ids answer for all; salted, as one direction may have any share of the rows
     narrow = units.select("same", "vec_id", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt"))
     few = _smallest(_smallest(narrow, k + 1, "same", "salt"), k + 1, "same").groupBy("same").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     entries = units.select("vec_id", "unit", "same").join(few, "same").where(F.col("vec_id") == F.get("ids", F.lit(0))).select("ids", "unit")
     different = np.unique(sample, axis=0)
-    n = vectors.count() * len(different) // len(sample)
-    cells = [cells_of(of_tree, n) for of_tree in strings_of(different, directions, thresholds).T]
-    strings = entries.mapInArrow(_strings(directions, thresholds, cells), _ENTRY)
-    placed = strings.repartition(sum(map(len, cells)), "cell").sortWithinPartitions("cell", "string")
+    n = n * len(different) // len(sample)
+    by_tree = strings_of(different, directions, thresholds).T
+    cells = [cells_of(of_tree, n) for of_tree in by_tree]
+    cuts = [crowded(of_tree, different, n, t) for t, of_tree in enumerate(by_tree)]
+    strings = entries.mapInArrow(_strings(directions, thresholds, cells, cuts), _ENTRY)
+    tasks = sum(map(len, cells)) + sum(1 << len(above) for of_tree in cuts for _, above in of_tree.values())
+    placed = strings.repartition(tasks, "cell").sortWithinPartitions("cell", "string")
     found = placed.mapInArrow(_search(k, CANDIDATES), "vec_id long, ids array<long>, near array<long>, cosine array<double>")
     merged = found.groupBy("vec_id").agg(F.first("ids").alias("ids"), F.collect_list("near").alias("nears"), F.collect_list("cosine").alias("cosines"))
     own = merged.mapInArrow(_merge(k), "vec_id long, near_id long, rank int, cosine double")

@@ -104,3 +104,17 @@ def test_few_ascend_to_the_prefix_around():
     starts = V.cells_of(many, 100_000)
     sizes = np.bincount(np.searchsorted(starts, many, side="right") - 1)
     assert len(starts) > 3 and sizes.min() >= 20 and sizes.sum() == 1000
+
+
+def test_a_string_of_too_many_is_cut_over_cells(spark, monkeypatch):
+    """A near-equal cluster several times as large as a cell lies in several, and is searched as well."""
+    monkeypatch.setattr(V, "RUN", 600)
+    monkeypatch.setattr(V, "CANDIDATES", 300)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal(16) + 0.01 * rng.standard_normal((3000, 16))
+    strings = np.full(3000, 77, np.int64)
+    cut = V.crowded(strings, x.astype(np.float32), 3000, 0)
+    assert list(cut) == [77] and len(cut[77][1]) == 3 and V.crowded(np.arange(3000), x, 3000, 0) == {}
+    rows = [(i, v.astype(np.float32)) for i, v in enumerate(x)]
+    got, want = found(frame(spark, rows)), brute(rows)
+    assert np.mean([len(set(got[i]) & set(want[i])) / 5 for i in want]) >= 0.8
