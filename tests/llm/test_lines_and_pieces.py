@@ -221,3 +221,28 @@ def test_copies_of_an_article_are_no_announcement(spark):
     found = {(r["result_id"], r["line_no"]) for r in main_text.furniture_lines(c, p).collect()}
     lines = {(i, n): x for i, (_u, _d, t) in enumerate(rows) for n, x in enumerate(t.split("\n"), 1)}
     assert {k for k, x in lines.items() if x == prompt} == found
+
+
+def test_rows_of_one_key_that_differ(spark, monkeypatch):
+    """Exact repeats drop, however many there are; different texts under one key all count."""
+    from leafmill.llm import tokens
+
+    rows = [(1, "one text"), (1, "one text"), (1, "another text"), (2, "one text")]
+    items = spark.createDataFrame(rows, "result_id long, md_content string")
+    docs = items.toDF("doc_id", "text")
+    for repeats in (1000, 1):
+        monkeypatch.setattr(corpus, "REPEATS", repeats)
+        assert sorted((r["result_id"], r["piece"]) for r in pieces.pieces(items).collect()) == [(1, "another text"), (1, "one text"), (2, "one text")]
+        assert sorted(r["doc_id"] for r in tokens.token_ids(docs).collect()) == [1, 1, 2]
+        assert corpus.settled(items, "result_id").where("result_id = 1").count() == (3 if repeats == 1000 else 2)
+
+
+def test_announcements_of_few_pages_of_a_large_host(spark, monkeypatch):
+    """They are kept by page instead of by host, and found as well."""
+    prompt, rng = "Please tell your friends about these pages", random.Random(1)
+    rows = [(f"https://h{i % 6}.com/{i}", f"h{i % 6}.com", f"# {word(rng)} {word(rng)} {word(rng)}\n\n{prose(i)}" + (f"\n\n{prompt}" if i % 5 == 0 else "")) for i in range(60)]
+    c, p = tables(spark, rows)
+    found = sorted(map(tuple, main_text.furniture_lines(c, p).collect()))
+    monkeypatch.setattr(main_text, "WIDE", 2)
+    assert sorted(map(tuple, main_text.furniture_lines(c, p).collect())) == found
+    assert {r for r, _ in found} == {i for i in range(60) if i % 5 == 0}

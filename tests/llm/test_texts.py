@@ -277,3 +277,48 @@ def test_subjects(spark):
     unseen = [i for i in truth if i % 4 and (i - 1) % 6]
     assert sum(got[i] == truth[i] for i in unseen) >= 0.97 * len(unseen)
     assert subjects.document_subjects(d, l.limit(0), a).count() == subjects.document_subjects(d.limit(0), l, a).count() == 0
+
+
+def test_pairs_across_two_blocks():
+    """Only pairs of a fingerprint of one block and one of the other, and all of these."""
+    rng = np.random.default_rng(2)
+    high, low = (rng.integers(0, 1 << 63, 120, dtype=np.uint64) for _ in range(2))
+    high[60:] = high[:60] ^ np.uint64(9)
+    low[60:] = low[:60]
+    side = np.array([0, 3] * 60)
+    found = {tuple(sorted(p)) for a, b in N.GrayIndex(side, high, low).close_pairs(52, across=True) for p in zip(a.tolist(), b.tolist())}
+    far = lambda i, j: bin(int(high[i] ^ high[j])).count("1") + bin(int(low[i] ^ low[j])).count("1")
+    assert found == {(i, j) for i in range(120) for j in range(i + 1, 120) if side[i] != side[j] and far(i, j) <= 52}
+    assert not list(N.GrayIndex(np.zeros(5, int), high[:5], low[:5]).close_pairs(128, across=True))
+
+
+def test_crowded_leaves_grow_until_they_are_small(spark, monkeypatch):
+    from leafmill.llm import messages
+
+    monkeypatch.setattr(messages, "LEAF", 5)
+    rows = [(i, f"the request number {w} failed at the {w} gate") for i, w in enumerate(WORDS[:20])] + [(100, "the request number none came to an end"), (101, "one alone")]
+    got = {r["key"]: r["template"] for r in messages.mined(spark.createDataFrame(rows, "key long, sentence string")).collect()}
+    assert set(got) == {k for k, _ in rows} and got[101] == "one alone"
+    monkeypatch.setattr(messages, "LEAF", 2000)
+    got = {r["key"]: r["template"] for r in messages.mined(spark.createDataFrame(rows, "key long, sentence string")).collect()}
+    assert {got[i] for i in range(20)} == {"the request number <*> failed at the <*> gate"} and got[100] == rows[20][1]
+
+
+def test_features_of_templates_are_learned():
+    from leafmill.llm import messages
+
+    messages_, passages = [3, 2, 0, 2, 0], [1, 2, 2, 3, 0]
+    patterns = np.array([messages_, passages, [3, 2, 0, 2, 1], [0, 0, 2, 1, 0]])
+    post = messages.learned(patterns, np.array([30.0, 4000.0, 10.0, 500.0]))
+    assert post[0] > 0.9 and post[2] > 0.99 and max(post[1], post[3]) < 0.05
+
+
+def test_slots_of_a_template_in_the_middle_of_nothing(spark):
+    """A notice that names another thing on each page fits the template of those that return."""
+    rng = random.Random(3)
+    notice = lambda w: f"The shop of {w} opens its doors to members who come with a card."
+    often = [notice(w) for w in WORDS[:4] for _ in range(12)]
+    texts = [f"# {rng.choice(WORDS)} {rng.choice(WORDS)} {rng.choice(WORDS)}\n\n{n}" for n in often] + [f"# {rng.choice(WORDS)} {rng.choice(WORDS)}\n\n{notice(w)}" for w in WORDS[10:16]]
+    texts += ["# A title\n\n" + article(rng, 60) for _ in range(20)]
+    c, p = tables(spark, texts, hosts=30)
+    assert sorted(r[0] for r in quality.residue_results(c, p).collect()) == list(range(len(often) + 6))
