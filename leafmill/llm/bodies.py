@@ -24,40 +24,33 @@ _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
 _PLACE = np.array([0x9FB21C651E98DF25, 0xA24BAED4963EE407, 0xE7037ED1A0B428DB], np.uint64)
 
 
-def runs(words: list[str], known: dict[str, int]) -> np.ndarray:
-    """A hash of each run of ``SHINGLE`` words, or of all if they are fewer; ``known`` remembers the hashes of words."""
-    if len(known) > 300_000:
-        known.clear()
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh64_intdigest(w)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - SHINGLE + 1)
-    out = np.zeros(n, np.uint64)
-    for i in range(min(SHINGLE, len(h))):
-        out += h[i : i + n] * _PLACE[i]
-    return out ^ out >> np.uint64(32)
-
-
-def page_sketches(keys: pa.Array, page: np.ndarray, code: np.ndarray, pages: int) -> np.ndarray:
-    """A row of least values for each of ``pages``, whose ``keys`` are given by pairs of ``page`` and ``code``.
-
-    Of each page the longest keys count that hold half of its characters: running text rather than menus.
-    """
-    length = pc.utf8_length(keys).to_numpy().astype(np.int64)
+def least_values(keys: pa.Array, multiply: np.ndarray) -> np.ndarray:
+    """A row for each of ``keys``: the least value of each hash function over its runs of ``SHINGLE`` words, of all words if they are fewer."""
     words = pc.split_pattern(keys, " ")
     at = words.offsets.to_numpy().astype(np.int64)
+    at -= at[0]
     coded = words.flatten().dictionary_encode()
     known = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
     h = np.append(known[coded.indices.to_numpy()], np.zeros(SHINGLE - 1, np.uint64))
     n = len(h) - SHINGLE + 1
+    size = np.repeat(np.diff(at), np.diff(at))
     left = np.repeat(at[1:], np.diff(at)) - np.arange(n)  # words of the key from here on
     run = sum((np.where(left > i, h[i : i + n], np.uint64(0)) * _PLACE[i] for i in range(1, SHINGLE)), h[:n] * _PLACE[0])
     run ^= run >> np.uint64(32)
-    begins = left == np.repeat(np.diff(at), np.diff(at))
-    counts = (left >= SHINGLE) | begins
-    of_key = np.empty((len(keys), MINIMA), np.int64)
-    for i, m in enumerate(_MULTIPLY):
-        of_key[:, i] = np.minimum.reduceat(np.where(counts, run * m, np.uint64(0xFFFFFFFFFFFFFFFF)), at[:-1]) >> np.uint64(33)
+    counts = (left >= SHINGLE) | (left == size)
+    out = np.empty((len(keys), len(multiply)), np.int64)
+    for i, m in enumerate(multiply if len(keys) else ()):
+        out[:, i] = np.minimum.reduceat(np.where(counts, run * m, np.uint64(0xFFFFFFFFFFFFFFFF)), at[:-1]) >> np.uint64(33)
+    return out
+
+
+def page_sketches(keys: pa.Array, page: np.ndarray, code: np.ndarray, pages: int) -> np.ndarray:
+    """A row of least values for each of ``pages``, whose ``keys`` are given by pairs of ``page`` and ``code``.
+
+    Of each page the longest keys count that hold half of its characters: running text rather than menus.
+    """
+    length = pc.utf8_length(keys).to_numpy().astype(np.int64)
+    of_key = least_values(keys, _MULTIPLY)
     order = np.lexsort((code, -length[code], page))
     page, code = page[order], code[order]
     starts = np.flatnonzero(np.concatenate([[True], page[1:] != page[:-1]]))

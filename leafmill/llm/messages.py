@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.bodies import resemblance, runs
+from leafmill.llm.bodies import least_values, resemblance
 from leafmill.llm.corpus import hash64, rows_to_batches, slices
 from leafmill.session import small_side, written
 
@@ -69,56 +69,54 @@ PHRASES = tuple(
 SLOT = "<*>"
 _QUOTED = re.compile(r"[\"“„«][^\"”“»]{3,}")
 _SENTENCE = re.compile(r"[.!?…][\"”’»)]*\s+")
-_TOKEN = re.compile(r"[^\W_]+")
+_TOKENS = re.compile(r"\w+|[.!?…](?=[\"”’»)]*(?:\s|$))")
 _DIGIT = re.compile(r"\d")
-_LEAD = re.compile(r"^(?:#{1,6}|[-•–—])\s+[>*_]*")
 
 
 # ---- the sentences of one main text ---------------------------------------------
 
 
-def masked(tokens: list[str]) -> list[str]:
-    """``tokens``; one with a digit is a slot."""
-    return [SLOT if _DIGIT.search(t) else t for t in tokens]
+def tokenised(lines: list[str]) -> list[list[str]]:
+    """The words of each line in lower case, with a full stop for each end of a sentence."""
+    out = []
+    for line in lines:
+        tokens = _TOKENS.findall(line.lower())
+        if "!" in line or "?" in line or "…" in line:
+            tokens = ["." if t in "!?…" else t for t in tokens]
+        out.append(tokens)
+    return out
+
+
+def masked(sentence: str) -> str:
+    """``sentence``, of which a token with a digit is a slot."""
+    return " ".join([SLOT if _DIGIT.search(t) else t for t in sentence.split(" ")]) if _DIGIT.search(sentence) else sentence
 
 
-def body_sentences(lines: list[str], rare: frozenset[str] = frozenset(), common: frozenset[str] = frozenset()) -> tuple[dict[str, int], int, int, int]:
-    """The masked sentences of a main text, each with its words; all its words; those in ``rare``, and in ``common``.
+def body_sentences(lines: list[str], tokens: list[list[str]]) -> dict[str, int]:
+    """The masked sentences of a main text, each with its words; lines of a wrapped paragraph are joined.
 
-    Lines of a wrapped paragraph are joined. What is quoted is no message, and no sentence with a quotation is here.
+    What is quoted is no message, and no sentence with a quotation is here.
     """
     out: dict[str, int] = {}
-    words = in_rare = in_common = 0
-    paragraphs: list[str] = []
+    paragraphs: list[tuple[list[str], list[str]]] = []  # lines and tokens
     last = 0  # length of the line before; none after a blank one
-    for line in lines:
-        s = line.strip(" \t\r>*_")
-        if not s:
-            last = 0
-            continue
-        if s[0] in "#-•–—":
-            s = _LEAD.sub("", s)
+    for line, own in zip(lines, tokens):
+        s = line.strip(" \t\r>*_#-•–—")
         if last > 50 and s[:1].islower():
-            paragraphs[-1] += " " + s
-        elif s:
-            paragraphs.append(s)
+            paragraphs[-1][0].append(s)
+            paragraphs[-1] = paragraphs[-1][0], paragraphs[-1][1] + own
+        elif own:
+            paragraphs.append(([s], own))
         last = len(s)
-    for paragraph in paragraphs:
-        paragraph = paragraph.lower()
-        quotes = '"' in paragraph or "“" in paragraph or "„" in paragraph or "«" in paragraph
-        digits = _DIGIT.search(paragraph)
-        for part in _SENTENCE.split(paragraph):
-            tokens = _TOKEN.findall(part)
-            if not tokens:
-                continue
-            words += len(tokens)
-            if rare:
-                in_rare += sum(map(rare.__contains__, tokens))
-                in_common += sum(map(common.__contains__, tokens))
-            if not (quotes and _QUOTED.search(part)):
-                key = " ".join(masked(tokens) if digits else tokens)
-                out[key] = out.get(key, 0) + len(tokens)
-    return out, words, in_rare, in_common
+    for text, own in paragraphs:
+        parts = (" " + " ".join(own)).split(" .")
+        if any('"' in s or "“" in s or "„" in s or "«" in s for s in text):
+            parts = [" ".join(t for t in _TOKENS.findall(part) if len(t) > 1 or t not in ".!?…") for part in _SENTENCE.split(" ".join(text).lower()) if not _QUOTED.search(part)]
+        for part in parts:
+            if part := part.strip():
+                key = masked(part)
+                out[key] = out.get(key, 0) + part.count(" ") + 1
+    return out
 
 
 def leaf_of(sentence: str, tokens: int) -> int:
@@ -248,26 +246,24 @@ COPIED = 0.6
 _STUDIED = pa.schema([("result_id", pa.int64()), ("key", pa.int64()), ("sentence", pa.string()), ("host", pa.int64()), ("share", pa.float64()), ("words", pa.int64()), ("said", pa.int32()), ("least", pa.list_(pa.int32()))])
 
 
-def _sketches(sentences: list[str], known: dict[str, int]) -> np.ndarray:
-    """The least values of each sentence's runs of words, a row for each."""
-    return np.stack([(runs(s.split(" "), known)[:, None] * _MULTIPLY >> np.uint64(33)).min(axis=0) for s in sentences])
-
-
 def _studied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each candidate on a page, with a sketch of the page's other sentences."""
 
     def rows() -> Iterator[tuple]:
-        known: dict[str, int] = {}
         for batch in slices(batches, 500):
-            for rid, host, words, keys, texts, flags, own, share in zip(*(batch.column(c).to_pylist() for c in ("result_id", "host", "words", "keys", "sentences", "flags", "own", "share"))):
-                place = {key: i for i, key in enumerate(keys)}
+            column = batch.column("sentences")
+            ends = column.offsets.to_numpy() - column.offsets[0].as_py()
+            texts = column.flatten()
+            sketches = least_values(texts, _MULTIPLY)
+            for i, (rid, host, words, keys, flags, own, share) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("result_id", "host", "words", "keys", "flags", "own", "share")))):
+                at = {key: j for j, key in enumerate(keys, ends[i])}
+                m = sketches[ends[i] : ends[i + 1]]
                 if len(keys) > 1:
-                    m = _sketches(texts, known)
                     first, second = np.partition(m, 1, axis=0)[:2]
                 for key in own:
-                    i = place[key]
-                    least = np.where(m[i] == first, second, first).tolist() if len(keys) > 1 else []
-                    yield rid, key, texts[i], host, share, words, flags[i] & 1, least
+                    j = at[key]
+                    least = np.where(sketches[j] == first, second, first).tolist() if len(keys) > 1 else []
+                    yield rid, key, texts[j].as_py(), host, share, words, flags[j - ends[i]] & 1, least
 
     return rows_to_batches(rows(), _STUDIED, 2000)
 

@@ -152,24 +152,26 @@ def _block_kinds(lines: list[str], block: list[int], kinds: list[str]) -> None:
                 kinds[i] = "list"
 
 
-def statistics(lines: list[str]) -> Stats:
-    """The statistics of a text given by its lines."""
+def statistics(lines: list[str], found: list[list[str]] | None = None) -> Stats:
+    """The statistics of a text given by its lines, and by their tokens if these are known."""
     text = "\n".join(lines)
     tokens = text.split()
     if not tokens:
         return Stats()
+    found = messages.tokenised(lines) if found is None else found
     kinds = line_kinds(lines)
     words: list[str] = []
     of_kind = dict.fromkeys(("list", "table", "code", "head", "text", ""), 0)
-    ended = filled = in_sentences = delimited = 0
+    ended = filled = in_sentences = delimited = stops = 0
     pending = 0  # words of the paragraph after its last sentence end; wrapped lines are one paragraph
-    for line, kind in zip(lines, kinds):
+    for line, kind, own in zip(lines, kinds, found):
         if not kind:
             pending = 0
             continue
-        found = _WORD.findall(line.lower())
-        n = len(found)
-        words += found
+        marks = own.count(".")
+        n = len(own) - marks
+        words += own
+        stops += marks
         of_kind[kind] += n
         filled += 1
         tail = line.rstrip()[-6:]
@@ -185,13 +187,14 @@ def statistics(lines: list[str]) -> Stats:
                 pending = left
         else:
             pending = 0
-    total = max(1, len(words))
+    n_words = len(words) - stops
+    total = max(1, n_words)
     counted = max(1, sum(of_kind.values()) - of_kind["head"])
     visible = sum(map(len, tokens))
-    letters = sum(map(len, words))
+    letters = sum(map(len, words)) - stops
     common = sum(map(COMMON.__contains__, words)) / total
     return Stats(
-        words=len(words),
+        words=n_words,
         mean_word_length=letters / total,
         symbol_ratio=1 - letters / visible if visible else 0.0,
         ended_lines=ended / max(1, filled),
@@ -199,20 +202,15 @@ def statistics(lines: list[str]) -> Stats:
         in_list=of_kind["list"] / counted,
         in_table=of_kind["table"] / counted,
         in_sentences=in_sentences / total,
-        filler=_filler(words, common),
+        filler=sum(map(FILLER.__contains__, words)) / total if common < 0.3 else 0.0,  # filler has hardly any common words
         slots=_slots(text, lines, kinds),
         longest_token=max(map(len, tokens)),
         wide=0.0 if text.isascii() else len(_WIDE.findall(text)) / max(1, letters),
-        line_words=len(words) / max(1, filled),
+        line_words=n_words / max(1, filled),
         delimited_lines=delimited / max(1, filled),
     )
 
 
-def _filler(words: list[str], common: float) -> float:
-    """Share of filler, which has hardly any common words."""
-    return sum(map(FILLER.__contains__, words)) / max(1, len(words)) if common < 0.3 else 0.0
-
-
 def _slots(text: str, lines: list[str], kinds: list[str] | None = None) -> int:
     """Unresolved slots outside code and lists."""
     if not any(map(text.__contains__, _SLOT_SIGNS)):
@@ -221,10 +219,22 @@ def _slots(text: str, lines: list[str], kinds: list[str] | None = None) -> int:
     return len(_SLOT.findall("\n".join(line for line, kind in zip(lines, kinds) if kind not in ("code", "list")) if "code" in kinds or "list" in kinds else text))
 
 
+def all_facts(lines: list[str]) -> tuple:
+    """All statistics, and the sentences."""
+    found = messages.tokenised(lines)
+    return *_VALUES(statistics(lines, found)), *messages.sentence_facts(messages.body_sentences(lines, found))
+
+
 def residue_facts(lines: list[str]) -> tuple:
     """words, filler and slots of ``statistics``, which is all that residue needs, and the sentences."""
-    found, words, filler, common = messages.body_sentences(lines, FILLER, COMMON)
-    return words, filler / max(1, words) if common < 0.3 * words else 0.0, _slots("\n".join(lines), lines), *messages.sentence_facts(found)
+    found = messages.tokenised(lines)
+    words = len([t for own in found for t in own if t != "."])
+    of = lambda known: sum(sum(map(known.__contains__, own)) for own in found) / max(1, words)
+    filler = of(FILLER) if of(COMMON) < 0.3 else 0.0
+    return words, filler, _slots("\n".join(lines), lines), *messages.sentence_facts(messages.body_sentences(lines, found))
+
+
+_VALUES = attrgetter(*(f.name for f in fields(Stats)))
 
 
 def _schema(names: list[str]) -> tuple[pa.Schema, str]:
@@ -239,14 +249,11 @@ _RESIDUE, _RESIDUE_SQL = _schema(["words", "filler", "slots"])
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    values = attrgetter(*(f.name for f in fields(Stats)))
-    rows = ((rid, domain, *values(statistics(lines)), *messages.sentence_facts(messages.body_sentences(lines)[0])) for rid, lines, domain in main_lines(batches))
-    return rows_to_batches(rows, _FACTS, 500)
+    return rows_to_batches(((rid, domain, *all_facts(lines)) for rid, lines, domain in main_lines(batches)), _FACTS, 500)
 
 
 def _residue_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = ((rid, domain, *residue_facts(lines)) for rid, lines, domain in main_lines(batches))
-    return rows_to_batches(rows, _RESIDUE, 500)
+    return rows_to_batches(((rid, domain, *residue_facts(lines)) for rid, lines, domain in main_lines(batches)), _RESIDUE, 500)
 
 
 def text_facts(conversions: DataFrame, pages: DataFrame) -> DataFrame:
