@@ -65,7 +65,8 @@ def fetch_error(message: Column) -> Column:
     )
 
 
-_DROPPED = {"script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form", "button", "svg", "iframe", "select", "head"}
+#: Elements that are left out with all that is in them; a parameter of the conversion.
+DROPPED = frozenset({"script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form", "button", "svg", "iframe", "select", "head"})
 _BLOCKS = {"p", "div", "section", "article", "main", "blockquote", "figure", "figcaption", "dd", "dt", "dl", "ul", "ol", "table", "body"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr", "col", "area", "base", "embed", "track"}
 
@@ -73,9 +74,9 @@ _VOID = {"br", "hr", "img", "input", "meta", "link", "source", "wbr", "col", "ar
 class _Markdown(HTMLParser):
     """Markdown of a page's content: headings, paragraphs, lists, tables and, if wanted, code."""
 
-    def __init__(self, code: bool) -> None:
+    def __init__(self, code: bool, dropped: frozenset[str]) -> None:
         super().__init__(convert_charrefs=True)
-        self.keep_code = code
+        self.keep_code, self.dropped = code, dropped
         self.blocks: list[str] = []
         self.text: list[str] = []
         self.prefix = ""
@@ -101,7 +102,7 @@ class _Markdown(HTMLParser):
                 self.skip.append(tag)
             return
         edit = tag == "span" and "mw-editsection" in (dict(attrs).get("class") or "")
-        if tag in _DROPPED or edit or (tag in ("pre", "code") and not self.keep_code):
+        if tag in self.dropped or edit or (tag in ("pre", "code") and not self.keep_code):
             self.skip.append(tag)
         elif re.fullmatch(r"h[1-6]", tag):
             self.close_block()
@@ -163,10 +164,10 @@ class _Markdown(HTMLParser):
             self.text.append(data)
 
 
-def markdown_of(html: str, code: bool = False) -> str | None:
+def markdown_of(html: str, code: bool = False, dropped: frozenset[str] = DROPPED) -> str | None:
     """Markdown of the content of a page, or None if there is none. Links lose their targets;
-    a block that occurs again in the page is dropped; the page's furniture elements are left out."""
-    parser = _Markdown(code)
+    a block that occurs again in the page is dropped; the elements in ``dropped`` are left out."""
+    parser = _Markdown(code, dropped)
     parser.feed(html)
     parser.close_block()
     seen: set[str] = set()
@@ -182,13 +183,18 @@ def markdown_of(html: str, code: bool = False) -> str | None:
     return text or None
 
 
-@F.pandas_udf(T.StructType([T.StructField("stripped", T.StringType()), T.StructField("whole", T.StringType())]))
-def html_to_markdown(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Markdown without code blocks and, where that is short, with them; null pages and pages without content give null."""
-    for html in batches:
-        rows = []
-        for h in html:
-            stripped = markdown_of(h) if h else None
-            short = h and len(re.findall(r"\w+", stripped or "")) < MIN_WORDS
-            rows.append((stripped, markdown_of(h, code=True) if short else None))
-        yield pd.DataFrame(rows, columns=["stripped", "whole"])
+def html_to_markdown(html: Column, dropped: frozenset[str] = DROPPED) -> Column:
+    """A struct of the markdown without code blocks and, where that is short, with them; null pages and pages
+    without content give null."""
+
+    @F.pandas_udf(T.StructType([T.StructField("stripped", T.StringType()), T.StructField("whole", T.StringType())]))
+    def convert(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for h in batch:
+                stripped = markdown_of(h, dropped=dropped) if h else None
+                short = h and len(re.findall(r"\w+", stripped or "")) < MIN_WORDS
+                rows.append((stripped, markdown_of(h, True, dropped) if short else None))
+            yield pd.DataFrame(rows, columns=["stripped", "whole"])
+
+    return convert(html)

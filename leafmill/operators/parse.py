@@ -11,19 +11,19 @@ from leafmill.functions.text import word_count
 from leafmill.functions.urls import is_raw_text_url
 
 
-def parsed(pages: DataFrame, raw_pages: DataFrame, min_words: int = H.MIN_WORDS) -> DataFrame:
+def parsed(pages: DataFrame, raw_pages: DataFrame, min_words: int = H.MIN_WORDS, dropped: frozenset[str] = H.DROPPED) -> DataFrame:
     """(url, slug, markdown, title, word_count, fail_reason) of each page; either markdown or fail_reason is null.
 
     Plain text is stored as it is. HTML is checked, fixed, converted, cleaned and
     counted; the gate counts code blocks where the text without them is too short,
-    the stored count leaves them out. PDF text comes extracted, in ``raw_pages.html``.
+    the stored count leaves them out. ``dropped`` are the elements that are no content. PDF text comes extracted, in ``raw_pages.html``.
     """
     rows = pages.select("url", "slug", "content_type").join(raw_pages.select("slug", "html"), "slug", "left")
     plain = is_raw_text_url(F.col("url"))
     is_html = ~plain & (F.coalesce("content_type", F.lit("html")) != "pdf")
     checked = rows.withColumn("_bad", F.when(F.col("html").isNull(), F.concat(F.lit("raw file missing on disk ("), F.coalesce("content_type", F.lit("html")), F.lit(")"))).when(is_html, H.check_html(F.col("html"))))
     # a Python function is run for all rows, whatever guards it: the others get null
-    made = checked.withColumn("_md", H.html_to_markdown(F.when(is_html & F.col("_bad").isNull(), H.fix_html(F.col("html")))))
+    made = checked.withColumn("_md", H.html_to_markdown(F.when(is_html & F.col("_bad").isNull(), H.fix_html(F.col("html"))), dropped))
     text = made.withColumn("_text", F.when(is_html, clean_markdown(F.col("_md.stripped"))).otherwise(F.col("html")))
     counted = text.withColumn("_n", word_count(F.col("_text"))).withColumn("_gate", F.greatest(F.col("_n"), F.when(is_html, word_count(F.col("_md.whole"))).otherwise(F.lit(0))))
     kind = F.when(F.col("content_type") == "pdf", "pdf").otherwise("html")

@@ -60,6 +60,7 @@ SQL: dict[str, str] = {
     "page_states": f"WITH {_PAGES} SELECT url, {_STATE} AS state FROM p",
     "fail_summary": f"WITH {_PAGES} SELECT domain, fail_reason, count(*) AS n FROM p WHERE fail_reason IS NOT NULL GROUP BY ALL",
     "duplicate_slugs": f"WITH {_PAGES} SELECT slug, count(*) AS n FROM p GROUP BY slug HAVING count(*) > 1",
+    "shared_folders": f"WITH {_PAGES}, d AS (SELECT regexp_replace(slug, '-[0-9a-f]{{16}}$', '') AS slug FROM p) SELECT slug, count(*) AS n FROM d GROUP BY slug HAVING count(*) > 1",
     "list_newest": f"WITH {_PAGES} SELECT url, fetched_at FROM p WHERE fetched_at IS NOT NULL ORDER BY fetched_at DESC, url LIMIT 20",
     "list_of_source": f"""WITH {_PAGES}, {_LINKS}, {_FIRST} SELECT url, domain, fetched_at FROM p
         WHERE fetched_at IS NOT NULL AND url IN (SELECT url FROM k, s WHERE source_name = name)""",
@@ -74,6 +75,8 @@ SQL: dict[str, str] = {
         AND url NOT IN (SELECT url FROM k, s WHERE source_name IS DISTINCT FROM name)""",
     "dangling_links": f"""WITH {_LINKS} SELECT url, file_path, 'page' AS missing FROM k WHERE url NOT IN (SELECT url FROM pages)
         UNION ALL SELECT url, file_path, 'source' FROM k WHERE source_name IS NOT NULL AND source_name NOT IN (SELECT name FROM sources)""",
+    "dangling_after_prune": f"""WITH {_LINKS}, {_FIRST} SELECT url, file_path, 'page' AS missing FROM k WHERE url NOT IN (SELECT url FROM pages WHERE fail_reason IS NULL)
+        UNION ALL SELECT url, file_path, 'source' FROM k, s WHERE source_name IS NOT NULL AND (source_name = name OR source_name NOT IN (SELECT name FROM sources))""",
     "newest_links": f"WITH {_LINKS} SELECT * FROM k",
     "replace_links": f"""WITH {_LINKS}, {_FIRST}, f AS (SELECT DISTINCT file_path FROM links, s WHERE source_name = name)
         SELECT url, file_path, source_name, indexed_at FROM k WHERE file_path NOT IN (SELECT file_path FROM f)

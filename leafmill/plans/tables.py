@@ -323,6 +323,7 @@ def queries() -> dict[str, Query]:
         "page_states": _of(STATE, lambda p: p.select("url", catalog.state().alias("state"))),
         "fail_summary": _of(("domain", "fail_reason"), catalog.fail_summary),
         "duplicate_slugs": _of(("slug",), catalog.duplicate_slugs),
+        "shared_folders": _of(("slug",), lambda p: catalog.duplicate_slugs(p.withColumn("slug", F.regexp_replace("slug", "-[0-9a-f]{16}$", "")))),
         "list_newest": lambda s, d: catalog.list_fetched(_pages(s, d, "fetched_at"), limit=20).select("url", "fetched_at"),
         "list_of_source": lambda s, d: catalog.list_fetched(_pages(s, d, "domain", "fetched_at"), _links(s, d), source=_source(s, d)).select("url", "domain", "fetched_at"),
         "unparsed": _of(STATE, lambda p: p.where(catalog.unparsed()).select("url")),
@@ -333,6 +334,7 @@ def queries() -> dict[str, Query]:
         "links_after_prune": _pruned_links,
         "exclusive_pages": lambda s, d: catalog.exclusive_pages(_pages(s, d, "url"), _links(s, d), _source(s, d)).select("url"),
         "dangling_links": lambda s, d: catalog.dangling_links(_links(s, d), _pages(s, d, "url"), table(s, d, "sources")).select("url", "file_path", "missing"),
+        "dangling_after_prune": lambda s, d: catalog.dangling_links(_links(s, d), _pages(s, d, "fail_reason").where("fail_reason is null"), table(s, d, "sources").where("name <> '" + _source(s, d) + "'")).select("url", "file_path", "missing"),
         "newest_links": _on(links, lambda x: x),
         "replace_links": _replace_links,
         "remove_source": lambda s, d: catalog.remove_source(table(s, d, "sources"), _links(s, d), _source(s, d))[1],

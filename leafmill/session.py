@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,9 +67,36 @@ def written(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._leafmill_path = path
+    for tables in _open.tables[-1:] if hasattr(_open, "tables") else ():
+        tables.append(back)
     return back
 
 
+_open = threading.local()
+
+
+@contextmanager
+def temporaries() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Inside, tables of ``written`` are noted, and deleted at the end but for those that the function given is called with.
+
+    Nothing that is used later may still depend on the others.
+    """
+    _open.tables = [*getattr(_open, "tables", []), []]
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        noted = _open.tables.pop()
+        discard(*(df for df in noted if all(df is not k for k in kept)))
+        for tables in _open.tables[-1:]:
+            tables += kept
+
+
 #: The name under which iterations cut their lineage.
 cut_lineage = written
 

@@ -69,3 +69,14 @@ def test_discarded_tables_are_gone(spark):
     assert table.count() == 5 and os.path.isdir(path)
     session.discard(table, spark.range(3))
     assert not os.path.exists(path)
+
+
+def test_temporaries_are_gone_at_the_end(spark):
+    with session.temporaries() as keep:
+        first = session.written(spark.range(3))
+        with session.temporaries() as keep_inner:
+            inner = keep_inner(session.written(first))
+            other = session.written(inner)
+        assert inner.count() == 3 and not os.path.exists(other._leafmill_path.removeprefix("file:"))
+        last = keep(session.written(inner.where("id > 0")))
+    assert last.count() == 2 and not any(os.path.exists(t._leafmill_path.removeprefix("file:")) for t in (first, inner))
