@@ -80,7 +80,8 @@ def pack(sizes: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
     """
     grouped = sizes.where("n_tokens > 0").withColumn("g", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(groups)).cast("int"))
     schema = "doc_id long, part_no int, from_token int, n_tokens int, container_id long, place int"
-    return grouped.groupBy("g").applyInPandas(_pack(capacity), schema)
+    # a number that is asked for is kept, though the rows are narrow: packing takes time, not space
+    return grouped.repartition(groups, "g").groupBy("g").applyInPandas(_pack(capacity), schema)
 
 
 def packed_documents(documents: DataFrame, capacity: int = CAPACITY, group: int = GROUP, **tokenizer: str) -> DataFrame:
