@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -135,4 +137,11 @@ def rows_to_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 20_000
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*rows), schema)], schema=schema)
+    return pa.RecordBatch.from_arrays([_column(column, field.type) for column, field in zip(zip(*rows), schema)], schema=schema)
+
+
+def _column(values: tuple, kind: pa.DataType) -> pa.Array:
+    if not pa.types.is_list(kind) or pa.types.is_list(kind.value_type) or None in values:
+        return pa.array(values, kind)
+    ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(list(chain.from_iterable(values)), kind.value_type))

@@ -212,6 +212,7 @@ _TAGS = re.compile(r"^(?:#+\s*)?(?:\w+:\s*|\w+ \w+:?\s+)?([^\W\d_]+(?:, [^\W\d_]
 _SHORT_TAGS = re.compile(r"^(?:\w+:|\w+ \w+:) ([^\W\d_]+(?:, [^\W\d_]+)*)$")
 _FOLIO = re.compile(r"^(.{8,}?)\s+\d{1,4}$")
 _PAGER = re.compile(r"^(?:←|«|‹|<<|⟵)|(?:→|»|›|>>|⟶)$")
+_ARROWS = ("", "←", "«", "‹", "<", "⟵")
 _MENU = re.compile(r"\s[|·•/]\s")
 
 
@@ -286,6 +287,13 @@ def furniture(lines: list[str], constant: dict[int, int], kind: str) -> list[boo
     seen_title = False
     title = ""
     for block in blocks:
+        i = block[0]
+        if len(block) == 1 and not pdf and not inside[i] and (i + 1) not in constant:
+            s = lines[i].strip()
+            # no form of furniture ends as a sentence does, unless it begins with an arrow
+            if s[-1] in ".!?…" and s.lstrip(">* ")[:1] not in _ARROWS:
+                seen_title = True
+                continue
         texts_ = [bare(lines[i]) or lines[i].strip() for i in block]
         fixed = [(i + 1) in constant and not inside[i] for i in block]
         if pdf:

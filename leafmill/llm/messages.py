@@ -30,12 +30,13 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.bodies import least_values, resemblance
 from leafmill.llm.corpus import hash64, rows_to_batches, slices
-from leafmill.session import small_side, written
+from leafmill.session import small_side, temporaries, written
 
 #: Tokens that lead to a leaf after their number, and share of tokens in which a template's sentences agree.
 DEPTH = 2
@@ -119,12 +120,16 @@ def body_sentences(lines: list[str], tokens: list[list[str]]) -> dict[str, int]:
     return out
 
 
-def leaf_of(sentence: str, tokens: int) -> int:
-    """The leaf of the prefix tree: the number of tokens and the first ``DEPTH`` of them."""
+def _beginning(sentence: str, tokens: int) -> str:
     end = -1
     for _ in range(min(DEPTH, tokens)):
         end = sentence.find(" ", end + 1)
-    return hash64(sentence[:end] if end > 0 else sentence, tokens)
+    return sentence[:end] if end > 0 else sentence
+
+
+def leaf_of(sentence: str, tokens: int) -> int:
+    """The leaf of the prefix tree: the number of tokens and the first ``DEPTH`` of them."""
+    return hash64(_beginning(sentence, tokens), tokens)
 
 
 _made: list[ahocorasick.Automaton] = []
@@ -157,12 +162,11 @@ FIELDS_SQL = "keys array<long>, sentence_words array<int>, leaves array<long>, f
 def sentence_facts(found: dict[str, int]) -> tuple[list, ...]:
     """The values of ``FIELDS`` of a main text with these sentences."""
     texts = list(found)
-    leaves, flags = [], []
-    for text, says in zip(texts, saying(texts)):
-        tokens = text.count(" ") + 1
-        leaves.append(leaf_of(text, tokens))
-        flags.append(says | (SLOT not in text or text.count(SLOT) * TOKENS_A_SLOT <= tokens) << 1)
-    return list(map(hash64, texts)), list(found.values()), leaves, flags, texts
+    tokens = [text.count(" ") + 1 for text in texts]
+    flags = [says | (SLOT not in text or text.count(SLOT) * TOKENS_A_SLOT <= n) << 1 for text, says, n in zip(texts, saying(texts), tokens)]
+    keys = np.fromiter(map(xxhash.xxh64_intdigest, texts), np.uint64, len(texts))
+    leaves = np.fromiter(map(xxhash.xxh64_intdigest, map(_beginning, texts, tokens), tokens), np.uint64, len(texts))
+    return keys.view(np.int64).tolist(), list(found.values()), leaves.view(np.int64).tolist(), flags, texts
 
 
 # ---- templates -------------------------------------------------------------------
@@ -347,6 +351,11 @@ def message_templates(facts: DataFrame, rows: DataFrame) -> tuple[DataFrame, Dat
 
 def message_sentences(facts: DataFrame, rows: DataFrame) -> DataFrame:
     """(key) of every sentence that is a message."""
+    with temporaries() as keep:
+        return keep(_message_sentences(facts, rows))
+
+
+def _message_sentences(facts: DataFrame, rows: DataFrame) -> DataFrame:
     templates, members, seen = message_templates(facts, rows)
     messages = written(templates.where("posterior > 0.5").select("template", "leaf"))
     parts = facts.select(F.explode(F.arrays_zip("keys", "leaves", "sentences")).alias("s")).select(F.col("s.keys").alias("key"), F.col("s.leaves").alias("leaf"), F.col("s.sentences").alias("sentence"))
