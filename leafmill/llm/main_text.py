@@ -195,7 +195,7 @@ def template_nodes(conversions: DataFrame, where: DataFrame) -> DataFrame:
 
 # ---- the page as a tree ----------------------------------------------------
 
-#: Names of months in English, German and Spanish, as bylines write them.
+#: Names of months in English, German and Spanish, as bylines write them.
 MONTHS = (
     "january february march april may june july august september october november december "
     "januar februar märz mai juni juli oktober dezember "

@@ -326,7 +326,7 @@ def message_templates(facts: DataFrame, rows: DataFrame) -> tuple[DataFrame, Dat
         rows.groupBy("key").agg(F.count("*").alias("n"), F.min("host").alias("one"), F.max("host").alias("another"), F.max("flag").alias("flag"))
         .select("key", "n", (((F.col("one") != F.col("another")) | F.col("flag").bitwiseAND(1).cast("boolean")) & (F.col("flag") >= 2)).alias("may"))
     )
-    found = written(rows.join(seen.where("may").select("key"), "key", "left_semi").select("result_id", "key", "n", "words"))
+    found = written(rows.join(small_side(seen.where("may").select("key"), 16), "key", "left_semi").select("result_id", "key", "n", "words"))
     pages = found.groupBy("result_id").agg((F.sum("n") / F.max("words")).alias("share"))
     shared = found.select("result_id", "key").join(pages, "result_id")
     kept = shared.groupBy("key").agg(F.avg((F.col("share") >= BODY).cast("int")).alias("most")).where(F.col("most") >= BODY).select("key")
@@ -366,8 +366,8 @@ def _message_sentences(facts: DataFrame, rows: DataFrame) -> DataFrame:
     known = written(told.unionByName(variants).distinct())
     pages = rows.join(small_side(known, 16), "key", "left_semi").groupBy("result_id").agg(F.sum("n").alias("told"), F.max("words").alias("words"))
     pages = written(pages.where(F.col("told") >= BESIDE_WORDS * F.col("words")).select("result_id"))
-    near = rows.join(small_side(pages, 16), "result_id", "left_semi").groupBy("key").agg(F.count("*").alias("with"))
-    beside = seen.join(near, "key").where((F.col("n") > 1) & (F.col("with") >= BESIDE * F.col("n"))).select("key")
+    near = written(rows.join(small_side(pages, 16), "result_id", "left_semi").groupBy("key").agg(F.count("*").alias("with")))
+    beside = seen.join(small_side(near, 32), "key").where((F.col("n") > 1) & (F.col("with") >= BESIDE * F.col("n"))).select("key")
     return written(known.unionByName(beside).distinct())
 
 
