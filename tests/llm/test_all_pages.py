@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from leafmill.llm import main_text
+from leafmill.llm import main_text, quality
 
 HOSTS, PAGES = 4, 140
 PROMPTS = ["Please tell your friends about these pages", "Our readers may write to us here", "Kindly support the work of this house"]
@@ -47,3 +47,10 @@ def test_announcements_are_told_by_all_pages(spark):
     they are not though four pages of each host differ."""
     assert prompts_found(*large_hosts(spark, ("copied", 4), ("own", 9))[:2]) == (True, HOSTS * 13 * len(PROMPTS))
     assert prompts_found(*large_hosts(spark, ("own", 4), ("copied", 12))[:2]) == (False, 0)
+
+
+def test_a_list_under_announcements(spark):
+    """p6: a list is the whole body, whatever announcements stand under it."""
+    c, p, at = large_hosts(spark, ("copied", 4), ("own", 9), ["\n".join(f"- {text(random.Random(i), 1, 3)[:-1]}" for i in range(6))])
+    kinds = {r["result_id"]: r["body_kind"] for r in quality.not_prose(c, p).collect()}
+    assert len(at) == HOSTS and {kinds.get(i) for i in at} == {"list"}
