@@ -49,6 +49,14 @@ def test_announcements_are_told_by_all_pages(spark):
     assert prompts_found(*large_hosts(spark, ("own", 4), ("copied", 12))[:2]) == (False, 0)
 
 
+def test_residue_under_announcements(spark):
+    """p3: filler is the whole body, whatever announcements stand under it."""
+    filler = "# Vorel\n\nLorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut."
+    c, p, at = large_hosts(spark, ("copied", 4), ("own", 9), [filler])
+    found = {r["result_id"] for r in quality.residue_results(c, p).collect()}
+    assert len(at) == HOSTS and set(at) == found
+
+
 def test_a_list_under_announcements(spark):
     """p6: a list is the whole body, whatever announcements stand under it."""
     c, p, at = large_hosts(spark, ("copied", 4), ("own", 9), ["\n".join(f"- {text(random.Random(i), 1, 3)[:-1]}" for i in range(6))])
