@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from leafmill.llm import main_text, quality
+from leafmill.llm import main_text, near_duplicates, quality
 
 HOSTS, PAGES = 4, 140
 PROMPTS = ["Please tell your friends about these pages", "Our readers may write to us here", "Kindly support the work of this house"]
@@ -57,6 +57,13 @@ def test_residue_under_announcements(spark):
     assert len(at) == HOSTS and set(at) == found
 
 
+def test_pairs_without_announcements(spark):
+    """p5: texts that have 80 words only with the announcements under them are too short for a link."""
+    c, p, at = large_hosts(spark, ("copied", 4), ("own", 9), [text(random.Random(6), 7, 10)])
+    pairs = [tuple(r) for r in near_duplicates.linked_pairs(c, p).collect()]
+    assert pairs and len(at) == HOSTS and not any(a in at or b in at for a, b in pairs)
+
+
 def test_a_list_under_announcements(spark):
     """p6: a list is the whole body, whatever announcements stand under it."""
     c, p, at = large_hosts(spark, ("copied", 4), ("own", 9), ["\n".join(f"- {text(random.Random(i), 1, 3)[:-1]}" for i in range(6))])
