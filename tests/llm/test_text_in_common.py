@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from leafmill.llm import main_text, near_duplicates
+from leafmill.llm import main_text, near_duplicates, quality
 
 HOSTS, PAGES = 8, 2
 PROMPTS = ["Please tell your friends about these pages", "Our readers may write to us here"]
@@ -47,3 +47,9 @@ def test_short_texts_over_prompts(spark):
     c, p, ids = different(spark, [[text], [text]])
     pairs = {tuple(r) for r in near_duplicates.linked_pairs(c, p).collect()}
     assert not any(ids & set(pair) for pair in pairs)
+
+
+def test_a_list_over_prompts(spark):
+    """p6: a list is the whole body."""
+    c, p, ids = different(spark, [[f"- {'abcdefg'[i:]} word{'abcdefg'[:i]} name" for i in range(4)]])
+    assert {r["body_kind"] for r in quality.not_prose(c, p).collect() if r["result_id"] in ids} == {"list"}
