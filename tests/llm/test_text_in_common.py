@@ -53,3 +53,9 @@ def test_a_list_over_prompts(spark):
     """p6: a list is the whole body."""
     c, p, ids = different(spark, [[f"- {'abcdefg'[i:]} word{'abcdefg'[:i]} name" for i in range(4)]])
     assert {r["body_kind"] for r in quality.not_prose(c, p).collect() if r["result_id"] in ids} == {"list"}
+
+
+def test_filler_over_prompts(spark):
+    """p3: filler is the whole body."""
+    c, p, ids = different(spark, [["Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod."]])
+    assert ids <= {r["result_id"] for r in quality.residue_results(c, p).collect()}
