@@ -40,6 +40,14 @@ def test_a_result_with_two_texts(spark):
     assert set(range(1, HOSTS)) <= {r["result_id"] for r in quality.residue_results(c, p).collect()}
 
 
+def test_lists_of_notices_with_part_of_their_text_in_common(spark):
+    """p6: a list whose items are a notice, with part of their text in common, is residue, and so none of the lists."""
+    rng = random.Random(2)
+    names = "\n".join(f"- {sentence(rng, 4).capitalize()}" for _ in range(5))
+    c, p = notices(spark, lambda sentences: "\n".join(f"- {s.capitalize()}" for s in sentences), [(HOSTS, "https://h0.com/b", names)])
+    assert [tuple(r) for r in quality.not_prose(c, p).collect()] == [(HOSTS, "list")]
+
+
 def share_in_common(pages):
     """Text of two of ``pages`` (phrases and their words) that is in both, as a share of all their text, each page weighing by the last value of it."""
     common = weight = 0
