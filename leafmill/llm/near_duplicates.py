@@ -17,6 +17,7 @@ split into blocks, and pairs of blocks are searched in separate tasks.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -43,8 +44,16 @@ RADIUS = 47
 #: Children of an index node, and fingerprints that are searched in one task.
 FANOUT = 8
 BLOCK = 4096
+#: Shingles whose minima are found at once.
+SLICE = 16_384
 
-_WORD = re.compile(r"\w+")
+#: Texts that are cut into words and hashed at once, and about how many characters of them.
+AT_ONCE = 200
+CHARS = 500_000
+
+#: Which bytes of a lower-case text are part of a word, once other signs beyond ASCII are blanks.
+_IN_WORD = np.array([b > 127 or chr(b).isalnum() or b == ord("_") for b in range(256)])
+_NO_WORD = re.compile(r"[^\x00-\x7f\w]+")
 _RNG = np.random.default_rng(5)
 _MULTIPLY = _RNG.integers(0, 1 << 31, BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, BITS, dtype=np.uint32)
@@ -52,56 +61,114 @@ _MIX = _RNG.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.u
 _U32, _U64 = np.uint64(32), np.uint64(64)
 
 
+def _plain(text: str) -> bytes:
+    """``text`` in lower case, with no sign beyond ASCII but those of words."""
+    low = text.lower()
+    return (low if low.isascii() else _NO_WORD.sub(" ", low)).encode()
+
+
 class Shingles:
     """Hashed shingles of texts; remembers the hashes of words."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
 
     def __call__(self, text: str) -> np.ndarray | None:
         """The distinct shingles, or None of a text of too few words."""
-        words = _WORD.findall(text.lower())
-        if len(words) < MIN_WORDS:
-            return None
+        return self.each([text])[0]
+
+    def each(self, texts: list[str]) -> list[np.ndarray | None]:
+        """The same of each text; words are cut and hashed over many texts at once."""
+        out: list[np.ndarray | None] = []
+        held: list[bytes] = []
+        size = 0
+        for text in texts:
+            held.append(_plain(text))
+            size += len(held[-1])
+            if size >= CHARS or len(held) >= AT_ONCE:
+                out += self._distinct(held)
+                held, size = [], 0
+        return out + self._distinct(held) if held else out
+
+    def _words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of each word of all texts, and the number of words before each text and at the end."""
+        data = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
+        in_word = _IN_WORD[data]
+        edges = np.flatnonzero(in_word[1:] != in_word[:-1]) + 1
+        starts = edges[0::2]
+        ends = np.cumsum([1, *(len(t) + 1 for t in texts)])
+        offsets = np.concatenate([[0], np.cumsum(edges[1::2] - starts)]).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[in_word])]).dictionary_encode()
         known = self.known
         if len(known) > 300_000:
             known.clear()
-        for w in set(words).difference(known):
+        names = words.dictionary.to_pylist()
+        for w in set(names).difference(known):
             known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        n = len(h) - SHINGLE + 1
+        hashes = np.fromiter(map(known.__getitem__, names), np.uint64, len(names))
+        return hashes[words.indices.to_numpy()], np.searchsorted(starts, ends)
+
+    def _distinct(self, texts: list[bytes]) -> list[np.ndarray | None]:
+        h, bounds = self._words(texts)
+        n = max(0, len(h) - SHINGLE + 1)
         s = sum((h[i : i + n] * _MIX[i] for i in range(1, SHINGLE)), h[:n] * _MIX[0])
         s ^= s >> _U32
-        return np.unique(s * np.uint64(0x9E3779B97F4A7C15))
+        s *= np.uint64(0x9E3779B97F4A7C15)
+        out: list[np.ndarray | None] = []
+        for start, end in itertools.pairwise(bounds.tolist()):
+            if end - start < MIN_WORDS:
+                out.append(None)
+                continue
+            own = s[start : end - SHINGLE + 1]
+            own.sort()
+            first = np.empty(len(own), bool)
+            first[0] = True
+            np.not_equal(own[1:], own[:-1], out=first[1:])
+            out.append(own[first])
+        return out
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The least value of each of ``BITS`` hash functions over the shingles.
+def minima(shingles: list[np.ndarray]) -> np.ndarray:
+    """For each text, a row: the least value of each of ``BITS`` hash functions over its shingles.
 
     32 bits are enough to find the least of a text's shingles, and much faster.
     """
-    short = (shingles >> _U32).astype(np.uint32)
-    least = np.full(BITS, np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(short), 512):  # long texts in slices
-        least = np.minimum(least, (short[at : at + 512, None] * _MULTIPLY + _ADD).min(axis=0))
-    return least
-
-
-def fingerprint(least: np.ndarray) -> tuple[int, int]:
-    """One bit of each minimum, as two signed 64-bit halves."""
+    short = (np.concatenate(shingles) >> _U32).astype(np.uint32)
+    sizes = np.fromiter(map(len, shingles), np.int64, len(shingles))
+    least = np.empty((BITS, len(shingles)), np.uint32)
+    # a few texts at a time, and long ones in slices, so that their values stay in the cache
+    starts = np.cumsum(sizes) - sizes
+    at = 0
+    value = np.empty(0, np.uint32)
+    while at < len(shingles):
+        to = max(at + 1, int(np.searchsorted(starts + sizes, starts[at] + SLICE, "right")))
+        part = short[starts[at] : starts[to - 1] + sizes[to - 1]]
+        if len(value) < len(part):
+            value = np.empty(len(part), np.uint32)
+        v, first = value[: len(part)], starts[at:to] - starts[at]
+        for i in range(BITS):
+            np.multiply(part, _MULTIPLY[i], out=v)
+            np.add(v, _ADD[i], out=v)
+            np.minimum.reduceat(v, first, out=least[i, at:to])
+        at = to
+    return np.ascontiguousarray(least.T)
+
+
+def fingerprints(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One bit of each minimum of each text, as two signed 64-bit halves."""
     bits = ((least * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
-    high, low = np.packbits(bits).view(">i8").tolist()
-    return high, low
+    halves = np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+    return halves[:, 0], halves[:, 1]
 
 
-def band_keys(least: np.ndarray) -> list[int]:
-    """A hash of each band's minima."""
-    rows = least[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS)
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A hash of each band's minima, a row for each text."""
+    rows = least[:, : BANDS * ROWS].astype(np.uint64).reshape(-1, BANDS, ROWS)
     key = np.arange(BANDS, dtype=np.uint64)
     for i in range(ROWS):
-        key = (key ^ rows[:, i]) * np.uint64(0xD6E8FEB86659FD93)
+        key = (key ^ rows[:, :, i]) * np.uint64(0xD6E8FEB86659FD93)
         key ^= key >> _U32
-    return key.view(np.int64).tolist()
+    return key.view(np.int64)
 
 
 _SIGNED = pa.schema([("result_id", pa.int64()), ("text", pa.string()), ("same", pa.int64()), ("high", pa.int64()), ("low", pa.int64()), ("bands", pa.list_(pa.int64()))])
@@ -109,18 +176,18 @@ _SIGNED = pa.schema([("result_id", pa.int64()), ("text", pa.string()), ("same",
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingles = Shingles()
-    held: list[tuple] = []
-    for rid, lines, _domain in main_lines(batches):
-        text = "\n".join(lines)
-        s = shingles(text)
-        if s is not None:
-            least = minima(s)
-            held.append((rid, text, hash64(s.tobytes()), *fingerprint(least), band_keys(least)))
-        if len(held) >= 500:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _SIGNED)], schema=_SIGNED)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _SIGNED)], schema=_SIGNED)
+    texts = ((rid, "\n".join(lines)) for rid, lines, _domain in main_lines(batches))
+    for held in itertools.batched(texts, 500):
+        long_enough = [(rid, text, s) for (rid, text), s in zip(held, shingles.each([text for _, text in held])) if s is not None]
+        if long_enough:
+            yield _signed(*zip(*long_enough))
+
+
+def _signed(rid: tuple[int, ...], texts: tuple[str, ...], shingles: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    least = minima(shingles)
+    same = [hash64(s.tobytes()) for s in shingles]
+    bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(rid) + 1, BANDS, dtype=np.int32)), pa.array(band_keys(least).ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(texts, pa.string()), pa.array(same, pa.int64()), *map(pa.array, fingerprints(least)), bands], schema=_SIGNED)
 
 
 def signed_texts(conversions: DataFrame, pages: DataFrame) -> DataFrame:
@@ -289,19 +356,19 @@ def _in_shards(entries: DataFrame) -> DataFrame:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shingles = Shingles()
     for batch in batches:
-        a, b, n_shared = [], [], []
-        kept: dict[int, np.ndarray] = {}
-        for x, y, tx, ty in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
-            for k, t in ((x, tx), (y, ty)):
-                if k not in kept:
-                    kept[k] = shingles(t)
-            common = len(np.intersect1d(kept[x], kept[y], assume_unique=True))
-            share = common / (len(kept[x]) + len(kept[y]) - common)
-            if share >= SIMILARITY:
-                a.append(x)
-                b.append(y)
-                n_shared.append(share)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n_shared, pa.float64())], ["a", "b", "similarity"])
+        a, b = _columns(batch, "a", "b")
+        # each text of the batch once
+        ids, first = np.unique(np.concatenate([a, b]), return_index=True)
+        left, right = first[first < len(a)], first[first >= len(a)] - len(a)
+        of_a, of_b = (batch.column(c).take(pa.array(at)).to_pylist() for c, at in (("text_a", left), ("text_b", right)))
+        kept = dict(zip([*a[left].tolist(), *b[right].tolist()], shingles.each([*of_a, *of_b])))
+        shares = np.empty(len(a))
+        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+            s, t = kept[x], kept[y]
+            common = len(np.intersect1d(s, t, assume_unique=True))
+            shares[i] = common / (len(s) + len(t) - common)
+        linked = shares >= SIMILARITY
+        yield pa.RecordBatch.from_arrays([pa.array(a[linked]), pa.array(b[linked]), pa.array(shares[linked])], ["a", "b", "similarity"])
 
 
 def distinct_links(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
